@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .langid import fit, held_out, identify
+from .pii import scan_pii
+from .secrets import scan_secrets
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +29,28 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def span_text(spans) -> F.Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def count_of(kind: str, spans) -> F.Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* count base spans; n_added those that the field adds."""
+    out = scan_pii(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    return out.select(
+        "doc_id",
+        *[count_of(k, base) for k in ("email", "ip", "card", "phone")],
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: ~x["base"])).cast("bigint").alias("n_added"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
@@ -78,6 +103,25 @@ FROM documents
 """
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
+    return out.select(
+        "doc_id",
+        *[count_of(k, F.col("spans")) for k in ("assign", "access", "hex")],
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("bigint").alias("n_added"),
+    )
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out()))
+    out = identify(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.array_join("languages", "+").alias("lang_set"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
     return out.select(
@@ -89,8 +133,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_secrets": op6_secrets,
+    "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
 }
 
