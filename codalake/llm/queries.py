@@ -12,6 +12,7 @@ from .bpe import bpe_round_trip
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .langid import fit, held_out, identify
+from .near_dedup import near_dedup
 from .pii import scan_pii
 from .secrets import scan_secrets
 
@@ -115,6 +116,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
@@ -137,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secrets": op6_secrets,
+    "op8_near_dedup": op8_near_dedup,
     "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
 }
