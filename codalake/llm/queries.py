@@ -12,9 +12,12 @@ from .bpe import bpe_round_trip
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .langid import fit, held_out, identify
+from .licenses import scan_licenses
 from .near_dedup import near_dedup
 from .pii import scan_pii
 from .secrets import scan_secrets
+from .substring_dedup import repeated_passages
+from .url_filter import filter_urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +55,15 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_passages(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "end", "n_words", "n_chunks", "first_ids", "kept")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
@@ -116,6 +128,20 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """families: of the confirmed notices; notices: family:start:end:probability of all, unknown ones included."""
+    out = scan_licenses(read(spark, sf_dir, "documents"))
+    known = F.filter("notices", lambda x: x["family"] != "unknown")
+    return out.select(
+        "doc_id",
+        "n_paragraphs",
+        F.array_join(F.array_sort(F.array_distinct(F.transform(known, lambda x: x["family"]))), ",").alias("families"),
+        F.size(known).cast("bigint").alias("n_notices"),
+        (F.size("notices") - F.size(known)).cast("bigint").alias("n_unknown"),
+        F.array_join(F.transform("notices", lambda x: F.concat_ws(":", x["family"], x["start"], x["end"], F.round(x["probability"], 3))), ",").alias("notices"),
+    )
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"))
 
@@ -139,9 +165,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secrets": op6_secrets,
+    "op7_licenses": op7_licenses,
     "op8_near_dedup": op8_near_dedup,
     "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
