@@ -58,3 +58,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in dropped (distinct ids, checkpointed): by broadcast while these are few, so that texts stay where they are."""
+    return docs.join(small(dropped), id_col, "left_anti")

@@ -15,8 +15,8 @@
 5. Survivors are verified exactly on their full shingle sets.
 6. Verified links are contracted to components between rounds.
 
-A pair at the threshold shares no bucket with probability (1 - t^ROWS)^BANDS, 2e-8 at
-0.85; the bound MISS adds at most 1e-6 per pair. Only ids, signatures and the sets of
+A pair at the threshold shares no bucket with probability (1 - t^ROWS)^BANDS, 3e-6 at
+0.8 and 2e-8 at 0.85; the bound MISS adds at most 1e-6 per pair. Only ids, signatures and the sets of
 bucket members are shuffled, never the corpus.
 
 Results for unusual input: a text that is null or has no words has an empty set, links
@@ -127,7 +127,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 

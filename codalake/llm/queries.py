@@ -143,7 +143,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(read(spark, sf_dir, "documents"))
+    return near_dedup(read(spark, sf_dir, "documents"), percent=85, shingle=3)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
