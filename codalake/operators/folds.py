@@ -46,7 +46,7 @@ class Bucket:
 def drop_automaton(df: DataFrame, by: str, order: list[str], bits: str, credit: float, cap: float, optimal: float, water_mark: int) -> DataFrame:
     """Adds level (after the row) and dropped.
 
-    Each row is credited, up to the cap. A negative level drops the row. Below the mark
+    Each row is credited, up to the cap. Without a water mark nothing is dropped. A negative level drops the row. Below the mark
     (water_mark percent of optimal, a whole number) a decimation factor counts up from 1,
     above it counts down; with a factor, each kept row is followed by so many dropped
     ones. A dropped row is not debited.
@@ -55,7 +55,7 @@ def drop_automaton(df: DataFrame, by: str, order: list[str], bits: str, credit:
 
     def step(s: Bucket, row) -> tuple[float, bool]:
         s.level = min(s.level + credit, cap)
-        drop = s.level < 0
+        drop = water_mark > 0 and s.level < 0
         if not drop and water_mark > 0:
             if s.level > mark and s.factor > 0:
                 s.factor -= 1
@@ -82,26 +82,49 @@ class Cap:
 
 
 def cap_controller(df: DataFrame, by: str, order: list[str], elapsed: str, interval: str, requested: str, lower_after: int = 3, raise_after: int = 30, least: int = 1) -> DataFrame:
-    """Adds cap: a streak of overruns (elapsed > 2 * interval) lowers it, a streak of rows within the interval raises it; a changed request resets both."""
+    """Adds cap: a streak of overruns (elapsed > 2 * interval) lowers it, a streak of fast rows (elapsed < 3/4 of the interval)
+    raises it again up to the request; other rows end both streaks, and a changed request takes effect at once."""
 
     def step(s: Cap, row) -> tuple[int]:
         want = getattr(row, requested)
         if s.requested != want:
             s.active, s.requested, s.slow, s.fast = want, want, 0, 0
         took, due = getattr(row, elapsed), getattr(row, interval)
-        if took > 2 * due:
-            s.slow, s.fast = s.slow + 1, 0
-            if s.slow >= lower_after:
-                s.active, s.slow = max(least, s.active - 1), 0
-        else:
-            s.slow, s.fast = 0, s.fast + 1 if took <= due else 0
-            if s.fast >= raise_after:
-                s.active, s.fast = min(s.requested, s.active + 1), 0
+        s.slow = s.slow + 1 if took > 2 * due > 0 and s.active > least else 0
+        s.fast = s.fast + 1 if 4 * took < 3 * due and s.active < s.requested else 0
+        if s.slow >= lower_after:
+            s.active, s.slow = s.active - 1, 0
+        if s.fast >= raise_after:
+            s.active, s.fast = s.active + 1, 0
         return (s.active,)
 
     return ordered_fold(df, by, order, lambda: Cap(-1, -1), step, "cap bigint")
 
 
+def skin_smoothing(df: DataFrame, key: str, rows: str, cols: str, cells: str) -> DataFrame:
+    """key, smoothed: inner cells of a 0/1 map in raster order, each seeing the earlier changes. A set cell without
+    set neighbours is cleared, a clear one with eight set neighbours is set; maps below 3 x 3 stay."""
+
+    def one(n: int, m: int, flat) -> list[int]:
+        import numpy as np
+
+        grid = np.asarray(flat, np.int64)[: n * m].reshape(n, m).copy()
+        for i in range(1, n - 1):
+            for j in range(1, m - 1):
+                around = int((grid[i - 1 : i + 2, j - 1 : j + 2] != 0).sum())
+                if around == 1 and grid[i, j]:
+                    grid[i, j] = 0
+                elif around == 8 and not grid[i, j]:
+                    grid[i, j] = 1
+        return grid.ravel().tolist()
+
+    @F.udf("array<int>", useArrow=True)
+    def smooth(n, m, flat):
+        return one(n, m, flat) if n >= 3 and m >= 3 and len(flat) >= n * m else list(flat)
+
+    return df.select(key, smooth(rows, cols, cells).alias("smoothed"))
+
+
 def rolling_average(df: DataFrame, by: str, order: list[str], value: str, weight: int = 3, shift: int = 2) -> DataFrame:
     """Adds rolling: (weight * before + value + half) >> shift in whole numbers, from the first value."""
     half = 1 << (shift - 1)

@@ -42,6 +42,10 @@ def test_controllers(spark):
     assert [r["cap"] for r in folds.cap_controller(df, "s", ["i"], "t", "d", "w", 2, 2).orderBy("i").collect()] == [3, 2, 2, 3, 2]
     df = spark.createDataFrame([(1, i, *x) for i, x in enumerate([(0, False, 0), (1, True, 7), (1, True, 7), (1, False, 0)])], "s int, i int, layer long, dropped boolean, sig long")
     assert [(r["picture_id"], r["tl0"]) for r in folds.picture_ids(df, "s", ["i"], "layer", "dropped", "sig").orderBy("i").collect()] == [(0, 0), (1, 0), (None, 0), (2, 0)]
+    grid = [0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 0, 1, 1, 1, 1, 1, 1]
+    df = spark.createDataFrame([(1, 4, 3, grid[:12]), (2, 3, 4, [1] * 5 + [0] + [1] * 6), (3, 2, 2, [1, 0, 0, 0])], "k int, n int, m int, g array<int>")
+    out = {r["k"]: r["smoothed"] for r in folds.skin_smoothing(df, "k", "n", "m", "g").collect()}
+    assert out == {1: grid[:12], 2: [1] * 12, 3: [1, 0, 0, 0]}
     assert list(folds.kmeans_1d([1, 1, 1, 9, 9], 2)) == [1, 9] and not len(folds.kmeans_1d([]))
 
 
