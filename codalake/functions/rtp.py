@@ -305,6 +305,49 @@ def superframe_frames(packet: Column | str) -> Column:
     return _column(parse_superframe, "array<binary>")(packet)
 
 
+def packed_superframe(frames: Column | str) -> Column:
+    """A superframe from an array of one to eight frames; null otherwise."""
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        def one(f):
+            try:
+                return None if f is None else pack_superframe([bytes(x) for x in f])
+            except ValueError:
+                return None
+
+        return rows.map(one)
+
+    return run(frames)
+
+
+def vp8_packets(frame: Column | str, mtu: int, desc: dict | None = None) -> Column:
+    """array<struct<payload, marker>> of a frame; null for an empty one."""
+
+    @F.pandas_udf("array<struct<payload:binary,marker:boolean>>")
+    def run(rows: pd.Series) -> pd.Series:
+        cut = lambda f: [{"payload": p, "marker": m} for p, m in packetize_vp8(desc or {}, bytes(f), mtu)] if f else None
+        return rows.map(cut)
+
+    return run(frame)
+
+
+def vp8_frame(fragments: Column | str) -> Column:
+    """The frame of an ordered array of structs with payload and marker; null where they are no whole frame."""
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        def one(f):
+            try:
+                return None if f is None else assemble_vp8([bytes(x["payload"]) for x in f], [bool(x["marker"]) for x in f])
+            except ValueError:
+                return None
+
+        return rows.map(one)
+
+    return run(fragments)
+
+
 def next_id(value: Column, bits: int) -> Column:
     """A sequence number of so many bits, plus one."""
     return (value + 1).bitwiseAND((1 << bits) - 1)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codalake.functions import headers, rtp, scalars
 from codalake.operators import aggregates as agg
 from codalake.operators import compare, folds, intervals, ordered, packets, sets, traces
 
@@ -456,3 +457,95 @@ def pricing_summary(spark, sf_dir):
 query("""
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
        round(avg(l_discount), 4) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")(pricing_summary)
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) || ':' || strlen(text) AS sha8 FROM documents")
+def payload_sha8(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", headers.payload_sha8(F.col("text").cast("binary")).alias("sha8"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey + 15) // 16 AS mb_rows, least(greatest(l_partkey, 10), 500) AS clamped,
+       (l_partkey * l_suppkey // 100)::BIGINT AS pct, (l_suppkey * 90000 // 30)::BIGINT AS ticks,
+       CASE WHEN l_partkey <= 0 THEN 0 ELSE l_partkey * 8 END AS bits, round(abs(l_partkey - l_suppkey) * 100.0 / greatest(abs(l_suppkey), 1), 4) AS delta FROM lineitem""")
+def scalar_math(spark, sf_dir):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        scalars.macroblock_rows(p).alias("mb_rows"),
+        scalars.clamp(p, F.lit(10), F.lit(500)).alias("clamped"),
+        scalars.percent_of(p, s).alias("pct"),
+        scalars.clock_ticks(s, F.lit(30)).alias("ticks"),
+        scalars.size_bits(p).alias("bits"),
+        r(scalars.pct_delta(p, s)).alias("delta"),
+    )
+
+
+@query("""
+SELECT c_custkey, (40 * c_custkey // 100)::BIGINT AS l0, (60 * c_custkey // 100)::BIGINT - (40 * c_custkey // 100)::BIGINT AS l1, c_custkey - (60 * c_custkey // 100)::BIGINT AS l2 FROM customer""")
+def layer_bitrates(spark, sf_dir):
+    rates = scalars.layer_differences(scalars.layer_bitrates(F.col("c_custkey"), 3))
+    c = read(spark, sf_dir, "customer").select("c_custkey", rates.alias("d"))
+    return c.select("c_custkey", *[F.get("d", F.lit(i)).alias(f"l{i}") for i in range(3)])
+
+
+@query("""
+WITH n AS (SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 4 AS idx FROM events),
+     p AS (SELECT * FROM (VALUES (0, 0, 4), (1, 2, 1), (2, 1, 2), (3, 2, 1)) t(idx, layer, decimator))
+SELECT event_id, layer, decimator FROM n JOIN p USING (idx)""")
+def temporal_pattern_join(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    at = compare.numbered(e, ["user_id"], ["ts", "event_id"]).withColumn("idx", (F.col("position") - 1) % 4)
+    pattern = scalars.temporal_patterns(spark).where("mode = 'three_layers'").drop("mode")
+    return at.join(F.broadcast(pattern), "idx").select("event_id", "layer", "decimator")  # four rows
+
+
+@query(_ZIP + "SELECT user_id, coalesce(min(position) FILTER (NOT coalesce(abs(lv - rv) <= 50, false)), max(position) + 1) - 1 AS prefix FROM z GROUP BY user_id")
+def matched_prefix(spark, sf_dir):
+    z = _clicks_and_purchases(spark, sf_dir, "full")
+    out = compare.matched_prefix(z, ["user_id"], compare.within(F.col("l.value"), F.col("r.value"), F.lit(50.0)))
+    return out.withColumn("prefix", F.col("prefix").cast("bigint"))
+
+
+@query(_ZIP + "SELECT count(*) AS n, count(*) FILTER (abs(lv - rv) > greatest(20, abs(rv) * 0.5)) AS value_out FROM z WHERE le IS NOT NULL AND re IS NOT NULL")
+def tolerance_violations(spark, sf_dir):
+    return compare.tolerance_violations(_clicks_and_purchases(spark, sf_dir, "inner"), {"value": (20.0, 0.5)})
+
+
+@query("""
+SELECT event_id, (rn - coalesce(max(CASE WHEN NOT hit THEN rn END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0))::BIGINT AS streak
+FROM (SELECT *, value < 40 AS hit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)""")
+def running_streak(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    out = ordered.running_streak(e, ["user_id"], ["ts", "event_id"], F.col("value") < 40, "streak")
+    return out.select("event_id", F.col("streak").cast("bigint").alias("streak"))
+
+
+@query("SELECT event_type, round(avg(value), 4) AS mean, round(median(value), 4) AS median, floor(sum(value::DECIMAL(18, 2)) / count(*))::BIGINT AS whole FROM events GROUP BY 1")
+def means(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy("event_type")
+    return e.agg(r(agg.mean_finite(F.col("value"))).alias("mean"), r(agg.median_or_nan(F.col("value"))).alias("median"), agg.integer_mean(F.sum(F.col("value").cast("decimal(18,2)")), F.count(F.lit(1))).cast("bigint").alias("whole"))
+
+
+@query("SELECT conv_id, count(*) AS frames, sum(strlen(text))::BIGINT AS bytes FROM (SELECT * FROM conversations WHERE strlen(text) > 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 8) GROUP BY 1")
+def superframe_round_trip(spark, sf_dir):
+    """Packs the first eight turns of a conversation into a superframe and reads it again."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("text")).where(F.length("text") > 0)
+    first = compare.numbered(c, ["conv_id"], ["turn"]).where("position <= 8")
+    packed = first.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("f")).select("conv_id", rtp.packed_superframe("f").alias("packet"))
+    frames = packed.select("conv_id", rtp.superframe_frames("packet").alias("f"))
+    total = F.aggregate("f", F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))
+    return frames.select("conv_id", F.size("f").cast("bigint").alias("frames"), total.alias("bytes"))
+
+
+@query("SELECT doc_id, md5(text) AS payload_md5 FROM documents WHERE strlen(text) > 0")
+def rtp_round_trip(spark, sf_dir):
+    """Cuts each document into RTP packets with descriptors, and assembles it from them."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text")).where(F.length("text") > 0)
+    packets_ = d.select("doc_id", F.posexplode(rtp.vp8_packets("text", 1200)).alias("seq", "p")).select("doc_id", "seq", "p.payload", "p.marker")
+    whole = packets_.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "payload", "marker"))).alias("f"))
+    return whole.select("doc_id", F.md5(rtp.vp8_frame("f")).alias("payload_md5"))
