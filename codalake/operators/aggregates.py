@@ -110,3 +110,36 @@ def noise_level(df: DataFrame, by: list[str], variance: str, bins: int = 20, wid
     spread = binned.select(*by, F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), "n").where((F.col("bin") >= 0) & (F.col("bin") < bins))
     smooth = spread.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     return argmax_first(smooth, by, "n", ["bin"])
+
+
+def scene_cuts(blocks: DataFrame, by: list[str], reference: str, intra: str, least_reference: int, high_reference: int, ratio: int = 4, percent: int = 75) -> DataFrame:
+    """by, blocks, promotes: whether a frame should become a key frame.
+
+    Its reference error reaches least_reference per block, intra wins (by more than `ratio`) in `percent` of the
+    blocks, and as many have a high reference error.
+    """
+    ref, own = F.col(reference).cast("bigint"), F.col(intra).cast("bigint")
+    out = blocks.groupBy(*by).agg(F.count(F.lit(1)).alias("blocks"), F.sum(ref).alias("err"), F.count_if(ref > own * ratio).alias("better"), F.count_if(ref >= high_reference).alias("high"))
+    share = lambda c: F.col(c) * 100 >= F.col("blocks") * percent
+    return out.select(*by, "blocks", ((F.col("err") >= F.col("blocks") * least_reference) & share("better") & share("high")).alias("promotes"))
+
+
+def metric_kind(name: Column) -> Column:
+    """How a baseline figure reads: a match rate (gap to 100), a gap already, or a plain value."""
+    gap = name.contains("_to_") | name.rlike("_(delta|delta_pct|drift|diff|l1)$") | (name == "divergent_rows")
+    return F.when(name.endswith("_match_pct"), "gap_pp").when(gap, "gap_raw").otherwise("value")
+
+
+def layer_sync(df: DataFrame, by: list[str], order: list[str], layer: str, reads: str, writes: str, buffers: list[str]) -> DataFrame:
+    """Adds sync: the frame is above the base layer and every buffer that it reads was last written by a lower layer.
+
+    reads and writes: arrays of buffer names. A buffer that nothing has written yet counts as the base layer's.
+    """
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ok = F.col(layer) > 0
+    out = df
+    for b in buffers:
+        writer = F.coalesce(F.last(F.when(F.array_contains(writes, b), F.col(layer)), ignorenulls=True).over(w), F.lit(0))
+        out = out.withColumn(f"__{b}", writer)
+        ok = ok & (~F.array_contains(reads, b) | (F.col(f"__{b}") < F.col(layer)))
+    return out.withColumn("sync", ok).drop(*[f"__{b}" for b in buffers])

@@ -27,3 +27,26 @@ def test_layers(spark):
     for layers, decimators in s.TEMPORAL_PATTERNS.values():
         for k, d in enumerate(decimators):
             assert sum(x <= k for x in layers) * d == len(layers)
+
+
+def test_quantizers(spark):
+    from codalake.functions import quantizers as q
+
+    for table, top in ((q.VP8_INDEX, 127), (q.VP9_INDEX, 255)):
+        assert len(table) == 64 and table == sorted(table) and table[-1] == top
+        rows = spark.range(top + 1).select(q.to_public(F.col("id"), table).alias("p"), q.to_index(q.to_public(F.col("id"), table), table).alias("i"), "id").collect()
+        assert all(r["i"] >= r["id"] and (r["p"] == 0 or table[r["p"] - 1] < r["id"]) for r in rows)
+    assert one(spark, q.to_index(F.lit(-3), q.VP8_INDEX), q.to_index(F.lit(99), q.VP9_INDEX)) == (0, 255)
+
+
+def test_frames(spark):
+    from codalake.operators import aggregates as a
+
+    df = spark.createDataFrame([(1, 900, 10), (1, 900, 10), (2, 900, 800), (2, 900, 10)], "f int, r int, i int")
+    assert {x["f"]: x["promotes"] for x in a.scene_cuts(df, ["f"], "r", "i", 500, 800).collect()} == {1: True, 2: False}
+    rows = [(0, 0, ["last"], ["last"]), (1, 1, ["last"], ["golden"]), (2, 1, ["last", "golden"], []), (3, 2, ["last", "golden"], [])]
+    df = spark.createDataFrame([(1, *r) for r in rows], "s int, i int, layer int, rd array<string>, wr array<string>")
+    got = a.layer_sync(df, ["s"], ["i"], "layer", "rd", "wr", ["last", "golden"]).orderBy("i").collect()
+    assert [r["sync"] for r in got] == [False, True, False, True]
+    kinds = spark.createDataFrame([("mode_match_pct",), ("hist_l1",), ("q_mean",)], "n string").select(a.metric_kind(F.col("n")))
+    assert [r[0] for r in kinds.collect()] == ["gap_pp", "gap_raw", "value"]
