@@ -26,36 +26,32 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, heavy: DataFrame)
     )
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few; df should be checkpointed."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, n: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if its rows (n, or else counted) are few; df should be checkpointed."""
+    n = df.limit(most + 1).count() if n is None else n
+    return F.broadcast(df) if n <= most else df
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges reaches. Alternates large and small stars
-    (Kiveris and others, 2014), which takes a logarithmic number of rounds."""
-    edges = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-
-    def state(df):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    """(node, root): the smallest node that each node of the edges reaches.
 
-    now = state(edges)
-    while now[0]:
-        # Large star: each node's larger neighbours go to its smallest neighbour.
+    Alternates large and small stars (Kiveris and others, 2014) until the edges are stars, which takes a logarithmic
+    number of rounds; edges that are stars at once, as most are, take none.
+    """
+    edges = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    while True:
+        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+        loose = ends.groupBy("n").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 OR (up = 1 AND low = 0)")
+        if loose.isEmpty():
+            break
+        # Large star: each node's larger neighbours go to the smallest of it and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # A node that is its own least has only larger neighbours; its edges stay as they are.
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: each node and its smaller neighbours go to the smallest of them.
-        large = checkpointed(large)
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(smallest, "u")
-        edges = checkpointed(
-            moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
-        )
-        before, now = now, state(edges)
-        if now == before:
-            break
+        moved = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        edges = checkpointed(moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 

@@ -4,11 +4,13 @@
    class, represented by its smallest id, so exact copies cost one representative.
 2. Representatives get a signature of BANDS x ROWS minima; those that agree in all rows
    of a band share a bucket.
-3. Buckets are worked off in rounds. In round 0 the smallest member is compared with the
-   others, in later rounds 8 times more members each time (by a fixed hash), until the
-   bucket's members are one component or all of them have been compared. Members that
-   links already connect are never paired, so a group of near copies costs its size, not
-   its square; what is left is compared in full, with no cap.
+3. Buckets are worked off in rounds of leaders that are compared with the other members:
+   the smallest id, then the member with the fewest shingles of its own, then STEP times
+   more each round (by a fixed hash), until the bucket's members are one component or all
+   of them have led. Members that links already connect are never paired, nor are those
+   whose intersection is too small by their counts alone (a shingle that no other member
+   has is in no intersection), so a group of near copies costs about its size; what is
+   left is compared in full, with no cap.
 4. A candidate pair's signatures are compared batch by batch. After n positions with m
    agreements, the posterior probability (uniform prior) that the similarity reaches the
    threshold is P(Binomial(n + 1, threshold) <= m); below MISS the pair is pruned.
@@ -47,6 +49,9 @@ MISS = 1e-6
 STEP = 8
 
 
+_PAIR = ["a", "b", "comp_a", "comp_b"]
+
+
 def least_matches(threshold: float, miss: float = MISS, length: int = BANDS * ROWS, batch: int = BATCH) -> list[int]:
     """After each batch, the fewest agreements with which a pair goes on."""
     out = []
@@ -91,7 +96,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def _pruned(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, signature_a, signature_b) that survive the posterior bounds."""
+    """The pairs, with signature_a and signature_b, that survive the posterior bounds."""
     needed = least_matches(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,30 +105,26 @@ def _pruned(pairs: DataFrame, percent: int) -> DataFrame:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in ("signature_a", "signature_b"))
             left = pa.array(posterior_survivors(a, b, needed))
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(left) for c in ("a", "b")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(left) for c in _PAIR], names=_PAIR)
 
-    kind = dict(pairs.dtypes)
-    return pairs.mapInArrow(run, f"a {kind['a']}, b {kind['b']}")
+    kind = dict(pairs.dtypes)["a"]
+    return pairs.mapInArrow(run, ", ".join(f"{c} {kind}" for c in _PAIR))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are similar on their full sets. Only sets of paired members move."""
-    hint = small(pairs)
-    left = sets.join(hint, sets["id"] == hint["a"]).select("a", "b", F.col("shingles").alias("x"))
-    right = sets.join(hint, sets["id"] == hint["b"]).select("a", "b", F.col("shingles").alias("y"))
+    left = sets.join(pairs, sets["id"] == pairs["a"]).select(*_PAIR, F.col("shingles").alias("x"))
+    right = sets.join(pairs, sets["id"] == pairs["b"]).select("a", "b", F.col("shingles").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [
-                i
-                for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True))
-                if similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
-            ]
+            (x, at_x), (y, at_y) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("x"), batch.column("y")))
+            good = [i for i in range(batch.num_rows) if similar(x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]], percent)]
             at = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("a", "b")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in _PAIR], names=_PAIR)
 
-    kind = dict(pairs.dtypes)
-    return left.join(right, ["a", "b"]).mapInArrow(run, f"a {kind['a']}, b {kind['b']}")
+    kind = dict(pairs.dtypes)["a"]
+    return left.join(right, ["a", "b"]).mapInArrow(run, ", ".join(f"{c} {kind}" for c in _PAIR))
 
 
 def near_dedup(
@@ -176,48 +177,89 @@ def _roots(docs: DataFrame, reps: DataFrame, percent: int, shingle: int) -> Data
 
     def rows(texts):
         for i, x in enumerate(shingle_sets(texts, shingle)):
-            yield i, x.tobytes()
+            yield i, x.view(np.int64)
 
     # A representative's id may stand on several rows with the same text: one is enough.
-    sets = checkpointed(map_texts(docs.join(hint, "id", "left_semi"), "id", "text", [("shingles", "binary")], rows).dropDuplicates(["id"]))
+    sets = checkpointed(map_texts(docs.join(hint, "id", "left_semi"), "id", "text", [("shingles", "array<bigint>")], rows).dropDuplicates(["id"]))
 
-    links = tested = roots = None
-    sequence = 0
+    labels = checkpointed(ids.select("id", F.col("id").alias("comp")))
+    tested = counts = None
+    round_ = 0
     while True:
-        if roots is None:
-            now = members.withColumn("comp", F.col("id"))
+        if round_ == 0:
+            candidates = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("first").alias("comp_a"), F.col("id").alias("comp_b"))
         else:
-            now = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-        # Members are leaders by their place in a fixed order: round r has those below STEP^r / size.
-        place = F.pmod(F.xxhash64("bucket", "id"), F.lit(1 << 40)) / float(1 << 40) * F.col("size")
-        now = now.withColumn("place", F.when(F.col("id") == F.col("first"), F.lit(-1.0)).otherwise(place))
-        low, high = (-2.0, 0.0) if sequence == 0 else (0.0 if sequence == 1 else float(STEP ** (sequence - 1)), float(STEP**sequence))
-        open_ = now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("place").alias("far")).where((F.col("c0") != F.col("c1")) & (F.col("far") >= low))
-        open_ = checkpointed(open_.select("bucket"))
-        if open_.isEmpty():
-            break
-        live = checkpointed(now.join(small(open_), "bucket", "left_semi"))
-        leaders = live.where((F.col("place") >= low) & (F.col("place") < high)).select("bucket", F.col("id").alias("lead"), F.col("comp").alias("lead_comp"), F.col("place").alias("lead_place"))
-        leaders = checkpointed(leaders)
-        candidates = (
-            live.join(small(leaders), "bucket")
-            .where("comp != lead_comp AND (place > lead_place OR (place = lead_place AND id > lead))")
-            .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            candidates = candidates.join(tested, ["a", "b"], "left_anti")
-        candidates = checkpointed(candidates)
-        some = small(candidates)
-        left = signatures.join(some, signatures["id"] == some["a"]).select("a", "b", F.col("signature").alias("signature_a"))
+            live = _open_members(members, labels, round_)
+            if live is None:
+                break
+            if counts is None:
+                counts = _counts(sets, live)
+            candidates = _candidates(live.join(counts, "id"), round_, percent).join(tested, ["a", "b"], "left_anti")
+        candidates = checkpointed(candidates.distinct())
+        n = candidates.count()
+        some = small(candidates, n)
+        left = signatures.join(some, signatures["id"] == some["a"]).select(*_PAIR, F.col("signature").alias("signature_a"))
         right = signatures.join(some, signatures["id"] == some["b"]).select("a", "b", F.col("signature").alias("signature_b"))
         survivors = checkpointed(_pruned(left.join(right, ["a", "b"]), percent))
-        found = checkpointed(_verified(survivors, sets, percent))
-        tested = candidates if tested is None else tested.unionByName(candidates)
+        found = checkpointed(_verified(small(survivors, n), sets, percent))
+        pairs = candidates.select("a", "b")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            roots = checkpointed(components(links, "a", "b"))
-        sequence += 1
-    if roots is None:
-        roots = reps.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
-    return roots
+            merged = components(found, "comp_a", "comp_b")
+            labels = checkpointed(labels.join(merged, labels["comp"] == merged["node"], "left").select("id", F.coalesce("root", "comp").alias("comp")))
+        round_ += 1
+    return labels.select(F.col("id").alias("node"), F.col("comp").alias("root"))
+
+
+def _leaders(round_: int) -> tuple[float, float]:
+    """Places of the leaders of a round from 2 on."""
+    return (0.0 if round_ == 2 else float(STEP ** (round_ - 2))), float(STEP ** (round_ - 1))
+
+
+def _open_members(members: DataFrame, labels: DataFrame, round_: int) -> DataFrame | None:
+    """Members (bucket, id, comp, place) of the buckets that hold several components and have leaders left; None without any."""
+    place = F.pmod(F.xxhash64("bucket", "id"), F.lit(1 << 40)) / float(1 << 40) * F.col("size")
+    now = members.join(labels, "id").withColumn("place", F.when(F.col("id") == F.col("first"), F.lit(-1.0)).otherwise(place))
+    state = now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("place").alias("far"))
+    least = 0.0 if round_ == 1 else _leaders(round_)[0]
+    open_ = checkpointed(state.where((F.col("c0") != F.col("c1")) & (F.col("far") >= least)).select("bucket"))
+    n = open_.count()
+    if not n:
+        return None
+    return checkpointed(now.join(small(open_, n), "bucket", "left_semi").select("bucket", "id", "comp", "place"))
+
+
+def _counts(sets: DataFrame, live: DataFrame) -> DataFrame:
+    """id, n (set size), common (shingles that another live member has too). Links join live members only, so a
+    shingle that one of them alone has is in no intersection."""
+    ids = checkpointed(live.select("id").distinct())
+    own = sets.join(small(ids), "id", "left_semi")
+    alone = own.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id")).where("df = 1")
+    private = alone.groupBy("id").agg(F.count(F.lit(1)).alias("private"))
+    sizes = own.select("id", F.size("shingles").cast("bigint").alias("n")).join(private, "id", "left")
+    return checkpointed(sizes.select("id", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common")))
+
+
+def _candidates(live: DataFrame, round_: int, percent: int) -> DataFrame:
+    """Pairs of a bucket's leaders with members of other components that may be similar by their counts.
+
+    Round 1 has one leader, the member with the smallest share of shingles of its own: the middle of a group of near
+    copies, to which all that link with any of them mostly link. Later rounds take leaders by their place in a fixed order.
+    """
+    if round_ == 1:
+        middle = F.min(F.struct((-F.col("common") / F.col("n")).alias("share"), "id", "comp", "n", "common")).alias("m")
+        leaders = live.groupBy("bucket").agg(middle).select("bucket", *[F.col(f"m.{c}").alias(f"lead_{c}") for c in ("id", "comp", "n", "common")], F.lit(-2.0).alias("lead_place"))
+    else:
+        low, high = _leaders(round_)
+        leaders = live.where((F.col("place") >= low) & (F.col("place") < high)).select("bucket", *[F.col(c).alias(f"lead_{c}") for c in ("id", "comp", "n", "common", "place")])
+    # The intersection is at most the smaller common part.
+    most = F.least("common", "lead_common")
+    may = 100 * most >= percent * (F.col("n") + F.col("lead_n") - most)
+    met = live.join(leaders, "bucket").where(F.expr("comp != lead_comp AND (place > lead_place OR (place = lead_place AND id > lead_id))") & may)
+    first = F.col("id") < F.col("lead_id")
+    return met.select(
+        F.least("id", "lead_id").alias("a"),
+        F.greatest("id", "lead_id").alias("b"),
+        F.when(first, F.col("comp")).otherwise(F.col("lead_comp")).alias("comp_a"),
+        F.when(first, F.col("lead_comp")).otherwise(F.col("comp")).alias("comp_b"),
+    )
