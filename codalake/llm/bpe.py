@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: Pretokens kept in a worker: two generations of so many, none longer than CACHED_CHARS.
-CACHE = 300_000
+CACHE = 150_000
 CACHED_CHARS = 48
 
 # Fixed value: the pretoken pattern of the byte-level vocabulary.

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: a Python worker holds one batch of texts at a time.
-BATCH_ROWS = 2048
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 
 def tune(spark: SparkSession) -> None:
