@@ -8,8 +8,8 @@
    the smallest id, then the member with the fewest shingles of its own, then STEP times
    more each round (by a fixed hash), until the bucket's members are one component or all
    of them have led. Members that links already connect are never paired, nor are those
-   whose intersection is too small by their counts alone (a shingle that no other member
-   has is in no intersection), so a group of near copies costs about its size; what is
+   whose intersection is too small by their counts alone (a shingle that no member of
+   another component has is in no further intersection), so a group of near copies costs about its size; what is
    left is compared in full, with no cap.
 4. A candidate pair's signatures are compared batch by batch. After n positions with m
    agreements, the posterior probability (uniform prior) that the similarity reaches the
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_texts, tune
@@ -183,7 +183,7 @@ def _roots(docs: DataFrame, reps: DataFrame, percent: int, shingle: int) -> Data
     sets = checkpointed(map_texts(docs.join(hint, "id", "left_semi"), "id", "text", [("shingles", "array<bigint>")], rows).dropDuplicates(["id"]))
 
     labels = checkpointed(ids.select("id", F.col("id").alias("comp")))
-    tested = counts = None
+    tested = None
     round_ = 0
     while True:
         if round_ == 0:
@@ -192,8 +192,10 @@ def _roots(docs: DataFrame, reps: DataFrame, percent: int, shingle: int) -> Data
             live = _open_members(members, labels, round_)
             if live is None:
                 break
-            if counts is None:
+            if round_ == 1:
                 counts = _counts(sets, live)
+            else:
+                counts = _foreign_counts(sets, live)
             candidates = _candidates(live.join(counts, "id"), round_, percent).join(tested, ["a", "b"], "left_anti")
         candidates = checkpointed(candidates.distinct())
         n = candidates.count()
@@ -240,6 +242,16 @@ def _counts(sets: DataFrame, live: DataFrame) -> DataFrame:
     return checkpointed(sizes.select("id", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common")))
 
 
+def _foreign_counts(sets: DataFrame, live: DataFrame) -> DataFrame:
+    """The same with a tighter bound, once components have formed: common counts the shingles that a live member of
+    another component has too. Groups of near copies that share buckets by a common passage only are told apart by it."""
+    ids = checkpointed(live.select("id", "comp").distinct())
+    rows = sets.join(small(ids), "id").select("id", "comp", F.explode("shingles").alias("s"))
+    w = Window.partitionBy("s")
+    foreign = rows.withColumn("foreign", F.min("comp").over(w) != F.max("comp").over(w))
+    return checkpointed(foreign.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if("foreign").alias("common")))
+
+
 def _candidates(live: DataFrame, round_: int, percent: int) -> DataFrame:
     """Pairs of a bucket's leaders with members of other components that may be similar by their counts.
 
