@@ -1,17 +1,24 @@
 """Licence scanning with a trained paragraph classifier.
 
-A paragraph (a line of text) is described by the word uni- and bigrams that it has of
-the training vocabulary. Multinomial logistic regression over these sparse features gives
+A paragraph is a block of lines that are not blank (a line without a letter or digit is).
+Notices are sought in each of its lines and in each window of consecutive lines of it, as
+notices are often wrapped. What is looked at is described by the word uni- and bigrams that
+it has of the training vocabulary. Multinomial logistic regression over these sparse features gives
 each licence family, and the class of text without a licence, a probability; one
 temperature, fitted on held-out examples, calibrates them. Where no family is probable
-enough, or where the family's templates share too few n-grams with the paragraph, a
-paragraph that is unlikely to be ordinary text counts as 'unknown'.
+enough, or where the family's templates share too few n-grams with the text, a line that is
+unlikely to be ordinary text counts as 'unknown' (or neighbouring lines that are so only together).
+
+A window needs a family, and each of its outer lines must add a word pair to what it has of
+the family's template. Between windows and lines that overlap, the one that has most pairs
+of its template is taken, then the shorter, then the earlier one. The inner lines of a
+window have at most INNER words, twice the longest template.
 
 The model is trained here, in a few seconds in the driver, on variations of the notices
 below and on generated text that is none of them. Documents are scanned where they lie,
 whole, without a shuffle.
 
-Results for unusual input: null and empty texts have no paragraphs; blank lines are no
+Results for unusual input: null and empty texts have no paragraphs; blank lines part
 paragraphs; rows that are there twice give two rows; an empty table gives an empty
 result; other columns are ignored; ties between families go to the one listed first.
 """
@@ -97,12 +104,18 @@ def words(data: bytes) -> list[bytes]:
     return data.translate(_FOLD).split()
 
 
+#: Most words of the inner lines of a window.
+INNER = 2 * max(len(words(t.encode())) for v in TEMPLATES.values() for t in v)
+
+
 class Model:
     """Sparse weights by n-gram: numbers of words, and of pairs of their numbers."""
 
     def __init__(self, number: dict[bytes, int], column: dict[int, int], weights: np.ndarray, bias: np.ndarray, temperature: float):
         self.number, self.column, self.weights, self.bias, self.temperature = number, column, weights, bias, temperature
         self.templates = {k: [self.grams(words(t.encode())) for t in v] for k, v in TEMPLATES.items()}
+        # The columns of templates' word pairs; those of single words come first.
+        self.pairs = {c for v in self.templates.values() for t in v for c in t if c >= len(number)}
         # Words that ordinary training text lacks: without one a paragraph is no notice.
         common = {w for t in ORDINARY for w in words(t.encode())}
         keys = {w for v in TEMPLATES.values() for t in v for w in words(t.encode()) if not w.isdigit()} - common
@@ -122,7 +135,9 @@ class Model:
         """(family or 'unknown', probability, overlap with the nearest template); None for ordinary text."""
         if self.telling.isdisjoint(text):
             return None
-        found = self.grams(text)
+        return self._judge(self.grams(text))
+
+    def _judge(self, found: set[int]) -> tuple[str, float, float] | None:
         p = _softmax((self.weights[sorted(found)].sum(axis=0) + self.bias)[None] / self.temperature)[0]
         best = int(np.argmax(p))
         if best == 0:
@@ -133,6 +148,70 @@ class Model:
             return family, float(p[best]), overlap
         return ("unknown", float(1 - p[0]), overlap) if p[0] < 0.5 else None
 
+    def _matched(self, family: str, found: set[int]) -> tuple[set[int], set[int]]:
+        """The word pairs of that template of the family that is there and has most of them, and those that are found."""
+        there = [t & self.pairs for t in self.templates[family] if len(t & found) >= LEAST_OVERLAP * len(t)]
+        pairs = max(there, key=lambda t: len(t & found))
+        return pairs, pairs & found
+
+    def notices(self, lines: list[list[bytes]]) -> list[tuple[int, int, str, float, float]]:
+        """(first line, last line, family or 'unknown', probability, overlap) in a paragraph, in order."""
+        telling = [not self.telling.isdisjoint(t) for t in lines]
+        if not any(telling):
+            return []
+        grams: dict[int, set[int]] = {}
+        links: dict[int, set[int]] = {}
+
+        def of(i: int) -> set[int]:
+            if i not in grams:
+                grams[i] = self.grams(lines[i])
+            return grams[i]
+
+        def link(i: int) -> set[int]:
+            """The pair across the end of line i."""
+            if i not in links:
+                links[i] = self.grams([lines[i][-1], lines[i + 1][0]]) & self.pairs
+            return links[i]
+
+        def union(i: int, j: int) -> set[int]:
+            return set().union(*map(of, range(i, j + 1)), *map(link, range(i, j)))
+
+        single = [self._judge(of(i)) if told else None for i, told in enumerate(telling)]
+        sure = [(-len(self._matched(hit[0], of(i))[1]), 0, i, i, hit) for i, hit in enumerate(single) if hit and hit[0] != "unknown"]
+        n = len(lines)
+        for i in range(n - 1):
+            if not (link(i) or not self.pairs.isdisjoint(of(i))):
+                continue
+            found, told, inner = set(of(i)), telling[i], 0
+            for j in range(i + 1, n):
+                found |= of(j) | link(j - 1)
+                told |= telling[j]
+                if told and (link(j - 1) or not self.pairs.isdisjoint(of(j))) and any(len(t & found) >= LEAST_OVERLAP * len(t) for v in self.templates.values() for t in v):
+                    hit = self._judge(found)
+                    if hit and hit[0] != "unknown":
+                        pairs, have = self._matched(hit[0], found)
+                        if all(len(pairs & part) < len(have) for part in (union(i + 1, j), union(i, j - 1))):
+                            sure.append((-len(have), j - i, i, j, hit))
+                inner += len(lines[j])
+                if inner > INNER:
+                    break
+        out, free = [], [True] * n
+        for *_, i, j, hit in sorted(sure, key=lambda x: x[:4]):
+            if all(free[i : j + 1]):
+                free[i : j + 1] = [False] * (j + 1 - i)
+                out.append((i, j, *hit))
+        out += [(i, i, *hit) for i, hit in enumerate(single) if free[i] and hit and hit[0] == "unknown"]
+        # Lines that are unknown only together: runs of free ones that each have a telling word.
+        i = 0
+        while i < n:
+            j = i
+            while j < n and free[j] and telling[j] and single[j] is None and sum(map(len, lines[i:j])) <= INNER:
+                j += 1
+            if j - i > 1 and (hit := self._judge(union(i, j - 1))) and hit[0] == "unknown":
+                out.append((i, j - 1, *hit))
+            i = max(j, i + 1)
+        return sorted(out)
+
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -204,12 +283,17 @@ def train(n: int = 1600, rounds: int = 120, seed: int = 5) -> Model:
 
 
 def paragraphs(data: bytes):
-    """(start, end, words) of each line that is not blank, in bytes."""
-    at = 0
+    """The lines of each block of lines that are not blank: (start, end, words), in bytes."""
+    at, block = 0, []
     for line in data.split(b"\n"):
         if text := words(line):
-            yield at, at + len(line), text
+            block.append((at, at + len(line), text))
+        elif block:
+            yield block
+            block = []
         at += len(line) + 1
+    if block:
+        yield block
 
 
 SPANS = "array<struct<family:string,start:bigint,end:bigint,probability:double,overlap:double>>"
@@ -220,13 +304,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(model or train())  # a fixed size, below 1 MB
 
     def rows(texts):
-        judge = shared.value.judge
+        notices = shared.value.notices
         for i, data in enumerate(texts):
             n, found = 0, []
-            for s, e, text in paragraphs(data or b""):
+            for block in paragraphs(data or b""):
                 n += 1
-                if hit := judge(text):
-                    found.append({"family": hit[0], "start": s, "end": e, "probability": hit[1], "overlap": hit[2]})
+                for first, last, family, p, overlap in notices([text for _, _, text in block]):
+                    found.append({"family": family, "start": block[first][0], "end": block[last][1], "probability": p, "overlap": overlap})
             yield i, n, found
 
     return map_texts(docs, id_col, text_col, [("n_paragraphs", "bigint"), ("notices", SPANS)], rows, carry)

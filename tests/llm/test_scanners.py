@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -97,6 +98,42 @@ def test_licences():
     assert m.judge(licenses.words(b"Licensed under CC BY-NC 4.0."))[0] == "cc-by-nc"
 
 
+@pytest.mark.parametrize("width", [24, 50, 80])
+def test_licences_wrapped(spark, width):
+    texts, want = [], []
+    for i, (family, notice) in enumerate((k, t) for k, v in licenses.TEMPLATES.items() for t in v):
+        lines = textwrap.wrap(notice, width)
+        block = "\n".join(["é nothing of note here", *(f" * {x}" for x in lines), "nor there"])
+        texts.append((i, f"first\n\n{block}\n \nlast"))
+        want.append((family, lines))
+    for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id int, text string")).collect():
+        family, lines = want[r["doc_id"]]
+        assert r["n_paragraphs"] == 3 and [x["family"] for x in r["notices"]] == [family]
+        found = texts[r["doc_id"]][1].encode()[r["notices"][0]["start"] : r["notices"][0]["end"]].decode()
+        assert found == "\n".join(f" * {x}" for x in lines)
+
+
+def test_licences_full_text():
+    m = licenses.train()
+    wrapped = {
+        "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+        "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+        "gpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or""",
+    }
+    for family, text in wrapped.items():
+        lines = [licenses.words(x.encode()) for x in text.split("\n")]
+        assert [x[:3] for x in m.notices(lines)] == [(0, len(lines) - 1, family)]
+    # Notices on lines of their own stay two, and ordinary lines give nothing together either.
+    two = [b"Released under the MIT License.", b"Licensed under the ISC License."]
+    assert [x[:3] for x in m.notices([licenses.words(x) for x in two])] == [(0, 0, "mit"), (1, 1, "isc")]
+    assert m.notices([licenses.words(t.encode()) for t in licenses.ORDINARY]) == []
+
+
 @pytest.fixture(scope="module")
 def coders():
     path = public_tokenizers.path("byte_bpe_50k.json")
