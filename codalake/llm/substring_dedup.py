@@ -5,7 +5,10 @@ more); a chunk ends where its upper bits are zero, at least MIN_BYTES and at mos
 after the last end. The ends depend on nearby bytes only, so an insertion moves no chunk
 beyond its surroundings. Chunks with equal 64-bit digests are repeats; a repeat is
 reported where neighbouring repeated chunks cover MIN_WORDS words together, which also
-makes a chance agreement of digests irrelevant.
+makes a chance agreement of digests irrelevant. Such a run is split where it passes from
+chunks that its document holds first to chunks that others do, so that of each repeated
+chunk the copy of its first holder is kept. Others' chunks of less than MIN_WORDS words
+together are no passage by themselves: beside chunks of the document's own they stay with these.
 
 Digests are counted with partial sums before the shuffle; chunks of very frequent digests
 (at most 1/SUPPORT of them, named by a Misra-Gries summary) meet their counts by broadcast, all
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,38 +136,57 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_groups(rows, groups, "digest", heavy_keys(rows, "digest"))
 
 
+def _split(own: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int, bool]]:
+    """(first chunk, end, kept) of the parts of a run. own: which of its chunks the document holds first."""
+    edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])).tolist()
+    out: list[tuple[int, int, bool]] = []
+    for a, b in zip(edge, edge[1:], strict=False):
+        mine = bool(own[a]) or (len(edge) > 2 and int(words[a:b].sum()) < min_words)
+        if out and out[-1][2] == mine:
+            out[-1] = (out[-1][0], b, mine)
+        else:
+            out.append((a, b, mine))
+    return out
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage of a document: doc_id, start and end (bytes of UTF-8), n_words, n_chunks,
-    first_ids (documents that hold parts of it first, sorted), kept (this document is the first holder of it all)."""
+    first_ids (documents that hold parts of it first, sorted), kept (this document holds it first, but for parts of
+    less than min_words words). The parts of a run that is split may have fewer words; the whole run has min_words."""
     found = repeated_chunks(docs, id_col, text_col)
     kind = dict(found.dtypes)["id"]
     by_doc = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("place", "first_id"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, starts, ends, words, counts, firsts = [], [], [], [], [], []
-            for i, parts in enumerate(batch.column("parts")):
+            at, starts, ends, words, counts, firsts, stay = [], [], [], [], [], [], []
+            for i, (me, parts) in enumerate(zip(batch.column("id"), batch.column("parts"), strict=True)):
                 values = parts.values
                 place = values.field("place").to_numpy()
                 if not len(place):
                     continue
                 first = values.field("first_id")
+                own = pc.equal(first, me).to_numpy(zero_copy_only=False)
                 s, n, w = place >> 20, (place >> 8) & 0xFFF, place & 0xFF
                 edge = np.flatnonzero(np.concatenate([[True], s[1:] != (s + n)[:-1], [True]]))
                 for a, b in zip(edge, edge[1:], strict=False):
-                    if (total := int(w[a:b].sum())) >= min_words:
+                    if int(w[a:b].sum()) < min_words:
+                        continue
+                    for c, d, mine in _split(own[a:b], w[a:b], min_words):
+                        c, d = a + c, a + d
                         at.append(i)
-                        starts.append(int(s[a]))
-                        ends.append(int(s[b - 1] + n[b - 1]))
-                        words.append(total)
-                        counts.append(int(b - a))
-                        firsts.append(sorted(set(first[a:b].to_pylist())))
+                        starts.append(int(s[c]))
+                        ends.append(int(s[d - 1] + n[d - 1]))
+                        words.append(int(w[c:d].sum()))
+                        counts.append(int(d - c))
+                        firsts.append(sorted(set(first[c:d].to_pylist())))
+                        stay.append(mine)
             ids = batch.column("id").take(pa.array(at, pa.int64()))
             made = [pa.array(x, pa.int64()) for x in (starts, ends, words, counts)]
-            yield pa.RecordBatch.from_arrays([ids, *made, pa.array(firsts, pa.list_(ids.type))], names=["doc_id", "start", "end", "n_words", "n_chunks", "first_ids"])
+            made += [pa.array(firsts, pa.list_(ids.type)), pa.array(stay, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([ids, *made], names=["doc_id", "start", "end", "n_words", "n_chunks", "first_ids", "kept"])
 
-    out = by_doc.mapInArrow(run, f"doc_id {kind}, start bigint, end bigint, n_words bigint, n_chunks bigint, first_ids array<{kind}>")
-    return out.withColumn("kept", (F.size("first_ids") == 1) & (F.element_at("first_ids", 1) == F.col("doc_id")))
+    return by_doc.mapInArrow(run, f"doc_id {kind}, start bigint, end bigint, n_words bigint, n_chunks bigint, first_ids array<{kind}>, kept boolean")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -152,6 +152,27 @@ def test_substring(spark):
     assert all(left[i] == t for i, t in rows if i < 60 or i >= 120) and all(len(left[i]) < len(rows[i][1]) - 150 for i in range(60, 120))
 
 
+def test_substring_adjacent(spark):
+    """Where passages with different first holders are neighbours, each stays in its own first holder."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    whole = text(130)
+    at = len(" ".join(whole.split(" ")[:70]))
+    p, q, short = whole[:at], whole[at:], text(12)
+    # Document 3 begins some words before P's end, so that no chunk of document 2 is without a repeat there.
+    rows = [(1, p), (2, whole), (3, " ".join(whole.split(" ")[60:])), (4, f"{text(40)} {short} {text(40)}")]
+    shared = text(60)
+    rows += [(5, f"{text(40)} {short} {shared}"), (6, f"{text(40)} {short} {shared}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(substring_dedup.repeated_passages(df).collect())
+    assert [(x["doc_id"], x["first_ids"], x["kept"]) for x in got] == [(1, [1], True), (2, [1], False), (2, [2], True), (3, [1, 2], False), (5, [4, 5], True), (6, [4, 5], False)]
+    assert got[1]["end"] == got[2]["start"]
+    left = dict(substring_dedup.without_repeats(df).collect())
+    assert left[1] == p and left[4] == rows[3][1] and left[5] == rows[4][1]
+    assert q in left[2] and p[:-60] not in left[2] and len(left[3]) < 60
+
+
 def test_chunks_resist_shifts():
     r = random.Random(6)
     data = bytes(r.choice(b"abcdefgh ") for _ in range(20_000))
