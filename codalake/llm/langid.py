@@ -34,8 +34,6 @@ from .common import map_texts, tune
 BUCKETS = 1 << 15
 #: Expected number of documents of each language in the sample that the model is fitted on.
 PER_LANGUAGE = 2_000
-#: At most so many languages are mixed in one document.
-MOST = 3
 #: Weight of an n-gram: the four n-grams that end at one letter overlap and count as one observation.
 _SHARE = 0.25
 _LETTER = re.compile(r"[^\W\d_]")
@@ -162,7 +160,7 @@ def infer(text: str | None, model: Model) -> tuple[str, float, list[str], list[f
     if len(model.languages) > 1:
         full, _ = _mixture(p, weight)
         order = list(np.argsort(-full, kind="stable"))
-        for k in range(2, min(MOST, len(order)) + 1):
+        for k in range(2, len(order) + 1):
             share, likelihood = _mixture(p[order[:k]], weight)
             value = likelihood + top - (k - 1) * cost
             if value <= best + 1e-9:

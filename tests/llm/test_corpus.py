@@ -228,6 +228,19 @@ def test_language_mixture(spark):
     assert langid.infer(one["fr"], model)[2] == ["fr"]
 
 
+def test_language_mixture_of_all(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    model = langid.fit(docs)
+    assert len(model.languages) >= 4
+    one = {lang: " ".join(r["text"] for r in docs.where(F.col("lang") == lang).limit(12).collect())[:3000] for lang in model.languages}
+    lang, score, names, shares = langid.infer(" ".join(one.values()), model)
+    assert sorted(names) == model.languages and lang == names[0] and score == shares[0] < 1 / 3
+    assert all(abs(s - 1 / len(shares)) < 0.08 for s in shares)
+    # A language that fills a twentieth of the text counts too.
+    few = " ".join(t[: 3000 if i else 500] for i, t in enumerate(one.values()))
+    assert sorted(langid.infer(few, model)[2]) == model.languages
+
+
 def brute_url(url):
     host = path = ""
     if url and "://" in url:
