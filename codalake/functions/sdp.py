@@ -56,3 +56,22 @@ def fmtp(max_fr: Column, max_fs: Column) -> Column:
 def macroblocks(width: Column, height: Column) -> Column:
     """16x16 blocks that cover the frame; null without a positive size."""
     return F.when((width > 0) & (height > 0), F.floor((width + 15) / 16) * F.floor((height + 15) / 16))
+
+
+def _allows(caps: Column, width: Column, height: Column, fps: Column, most: int) -> Column:
+    """Each side has floor(sqrt(8 * max_fs)) blocks at most; a cap of 0 is no limit."""
+    side = lambda x: F.floor((x + 15) / 16)
+    limit = F.floor(F.sqrt(caps["max_fs"].cast("double") * 8))
+    slow = (caps["max_fr"] == 0) | (fps <= caps["max_fr"])
+    small = (caps["max_fs"] == 0) | ((macroblocks(width, height) <= caps["max_fs"]) & (side(width) <= limit) & (side(height) <= limit))
+    return F.when(caps.isNotNull() & (fps > 0) & width.between(1, most) & height.between(1, most), slow & small)
+
+
+def vp8_allows_frame(caps: Column, width: Column, height: Column, fps: Column) -> Column:
+    """Whether a frame size and rate fit vp8_caps; null without valid caps, a positive rate or a valid size."""
+    return _allows(caps, width, height, fps, 16383)
+
+
+def vp9_allows_frame(caps: Column, width: Column, height: Column, fps: Column) -> Column:
+    """The same for vp9_caps, whose absent limits allow everything."""
+    return _allows(caps, width, height, fps, 65536)

@@ -73,6 +73,41 @@ def drop_automaton(df: DataFrame, by: str, order: list[str], bits: str, credit:
     return ordered_fold(df, by, order, lambda: Bucket(optimal), step, "level double, dropped boolean")
 
 
+def decimation(df: DataFrame, by: str, order: list[str], bits: str, key: str, credit: int, cap: int, optimal: int, water_mark: int, allowed: bool = True) -> DataFrame:
+    """Adds level (after the row), factor and dropped, in whole numbers.
+
+    The mark is water_mark percent of optimal. Before each row the factor (0 to 3) falls by one above the mark; above two
+    thirds of it a factor that is left becomes 1, below an eighth a factor of 2 or 3 becomes 3, below a quarter 1 or 2 becomes 2,
+    below two thirds 0 or 1 becomes 1. With a factor, each kept row is followed by so many dropped ones; rows with a true
+    `key` are never dropped. Each row is credited and a kept one debited, up to the cap.
+    """
+    mark = optimal * water_mark // 100 if water_mark > 0 else 0
+    high, half, low = mark * 2 // 3, mark // 4, mark // 8
+
+    def step(s: Bucket, row) -> tuple[int, int, bool]:
+        if allowed:
+            if s.level > mark and s.factor > 0:
+                s.factor -= 1
+            if s.level > high and s.factor > 0:
+                s.factor = 1
+            elif s.level < low and s.factor in (2, 3):
+                s.factor = 3
+            elif s.level < half and s.factor in (1, 2):
+                s.factor = 2
+            elif s.level < high and s.factor in (0, 1):
+                s.factor = 1
+        drop = False
+        if not allowed or s.factor == 0:
+            s.count = 0
+        else:
+            drop = not getattr(row, key) and s.count > 0
+            s.count = s.count - 1 if drop else s.factor
+        s.level = min(s.level + credit - (0 if drop else int(getattr(row, bits))), cap)
+        return s.level, s.factor, drop
+
+    return ordered_fold(df, by, order, lambda: Bucket(optimal), step, "level bigint, factor int, dropped boolean")
+
+
 @dataclass
 class Cap:
     active: int

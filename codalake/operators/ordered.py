@@ -102,3 +102,16 @@ def rate_from_timestamps(df: DataFrame, by: list[str], order: list[str], pts: Co
     """Frames a second from the distance to the previous timestamp; null at the start and for no advance."""
     gap = pts - F.lag(pts).over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn(name, F.when(gap > 0, F.lit(float(ticks_per_second)) / gap))
+
+
+def tile_schedule(df: DataFrame, by: str, order: list[str], size: str, workers: int) -> DataFrame:
+    """Adds place, the position (from 0) at which a tile of its frame is decoded: by falling size, ties in order. With a worker
+    for each tile the largest goes last; with fewer, every second tile from the front is swapped with one from the back."""
+    frame = Window.partitionBy(by)
+    at = F.row_number().over(frame.orderBy(F.desc(size), *order)) - 1
+    given = F.row_number().over(frame.orderBy(*order)) - 1
+    n = F.count(F.lit(1)).over(frame)
+    across = n - 2 - at
+    swapped = ((at % 2 == 0) & (at < across)) | ((across % 2 == 0) & (across >= 0) & (across < at))
+    place = F.when(n <= workers, (at + n - 1) % n).when(swapped, across).otherwise(at)
+    return df.withColumn("place", (place if workers > 1 else given).cast("bigint"))

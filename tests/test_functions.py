@@ -113,3 +113,24 @@ def test_quality(spark):
     points = [("g", "ref", *p) for p in curve] + [("g", "new", r * 1.1, p) for r, p in curve]
     row = quality.bd_deltas(spark.createDataFrame(points, "g string, c string, rate double, psnr double"), "g", "c", "ref").first()
     assert row["c"] == "new" and row["bd_rate"] == pytest.approx(10, abs=1e-4)
+
+
+def test_allows_frame(spark):
+    rows = [
+        ("max-fr=30;max-fs=3600", 1280, 720, 30, True, True),
+        ("max-fr=30;max-fs=3600", 1280, 720, 31, False, False),
+        ("max-fr=30;max-fs=3600", 1281, 720, 30, False, False),
+        ("max-fr=30;max-fs=3600", 2720, 16, 30, False, False),  # 170 blocks a side, 169 at most
+        ("max-fr=30;max-fs=3600", 2704, 16, 30, True, True),
+        ("max-fr=30", 9999, 9999, 30, None, True),
+        ("max-fr=30;max-fs=999999999", 16384, 16, 30, None, True),
+        ("profile-id=0", 65537, 480, 30, None, None),
+        ("profile-id=0", 640, 480, 500, None, True),
+        ("max-fr=30;max-fs=0", 640, 480, 30, None, None),
+        ("max-fr=30;max-fs=3600", 640, 480, 0, None, None),
+        ("max-fr=30;max-fs=3600", 0, 480, 30, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, w int, h int, fps int, v8 boolean, v9 boolean").orderBy("i")
+    size = [F.col(c) for c in ("w", "h", "fps")]
+    got = df.select(sdp.vp8_allows_frame(sdp.vp8_caps(F.col("t")), *size), sdp.vp9_allows_frame(sdp.vp9_caps(F.col("t")), *size)).collect()
+    assert [tuple(r) for r in got] == [r[4:] for r in rows]

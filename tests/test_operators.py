@@ -87,3 +87,50 @@ def test_interval_stream(spark, tmp_path):
     q.awaitTermination()
     rows = spark.table("intervals").orderBy("start").collect()
     assert [(r["n"], r["low"], r["high"]) for r in rows[:2]] == [(3, 0.0, 2.0), (3, 3.0, 5.0)]
+
+
+def test_decimation(spark):
+    """Marks 600, 400, 150, 75 by hand: the factor rises by steps, key rows are kept, the cap holds."""
+    bits = [700, 400, 400, 0, 400, 0, 0, 0, 0, 0]
+    rows = [(1, i, b, i == 4) for i, b in enumerate(bits)] + [(2, i, 0, False) for i in range(6)]
+    df = spark.createDataFrame(rows, "s int, i int, b int, k boolean").repartition(3)
+    out = folds.decimation(df, "s", ["i"], "b", "k", 100, 1250, 1000, 60).orderBy("s", "i").collect()
+    want = [
+        (400, 0, False),  # 1000 + 100 - 700
+        (100, 0, False),  # 400 is not below 400
+        (-200, 1, False),
+        (-100, 2, True),
+        (-400, 3, False),  # a key row
+        (-300, 3, True),
+        (-200, 3, True),
+        (-100, 3, True),
+        (0, 3, False),
+        (100, 3, True),
+    ]
+    assert [(r["level"], r["factor"], r["dropped"]) for r in out if r["s"] == 1] == want
+    assert [r["level"] for r in out if r["s"] == 2] == [1100, 1200, 1250, 1250, 1250, 1250]
+    off = folds.decimation(df, "s", ["i"], "b", "k", 100, 1250, 1000, 60, allowed=False)
+    assert off.where("dropped OR factor > 0").count() == 0
+
+
+def test_tile_schedule(spark):
+    def brute(sizes, workers):
+        at = list(range(len(sizes)))
+        if len(at) <= 1 or workers <= 1:
+            return at
+        at.sort(key=lambda i: -sizes[i])
+        if workers >= len(at):
+            return at[1:] + at[:1]
+        a, b = 0, len(at) - 2
+        while a < b:
+            at[a], at[b] = at[b], at[a]
+            a, b = a + 2, b - 2
+        return at
+
+    r = np.random.default_rng(3)
+    frames = {n: r.integers(0, 6, n).tolist() for n in range(1, 14)}
+    df = spark.createDataFrame([(n, i, s) for n, v in frames.items() for i, s in enumerate(v)], "f int, i int, s int")
+    for workers in (1, 2, 4, 8):
+        got = ordered.tile_schedule(df, "f", ["i"], "s", workers).orderBy("f", "place").collect()
+        for n, sizes in frames.items():
+            assert [x["i"] for x in got if x["f"] == n] == brute(sizes, workers)
