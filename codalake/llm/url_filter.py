@@ -1,15 +1,20 @@
 """URL filtering with given rules and association rules mined from what they label.
 
 Given rules (host suffix and path prefix, longest wins) judge a part of the urls. These
-verdicts are labels: Spark's FP-growth mines, over all labelled urls, which combinations
+verdicts are labels: FP-growth mines, over all labelled urls, which combinations
 of url tokens go with which label. A mined rule is kept if its support and confidence
 suffice and no rule on a part of its tokens is as confident (it would never decide).
 Other urls are judged by the mined rules, matched through an inverted index from a
 rule's first token to the rule.
 
-A url has at most seven tokens (four host suffixes, two path segments, a label), so there are at most
-2^7 / MIN_SUPPORT frequent sets whatever the input; that bounds the broadcast. Urls are
-judged where they lie, without a shuffle.
+Every part of a url gives tokens: all host suffixes, the parts of hyphenated host labels, all path
+segments, all query parameters and their names. A rule has at most MOST_TOKENS of them. Tokens without
+the support are left out first; each url then goes, cut behind a token and counted with its
+equals, to that token's group, which is mined by itself (parallel FP-growth). A set
+that is as frequent as a part of it is not grown further: its rules equal that part's. So nested
+suffixes and tokens that always come together add no sets. A url of n tokens has at most
+C(n, 1) + ... + C(n, 4) sets, and the frequent ones, which bound the broadcast, are at most
+the mean of that / MIN_SUPPORT. Urls are judged where they lie, without a shuffle.
 
 Results for unusual input: a url that is null or has no "://" has empty host and path,
 no rule, no tokens and the default verdict; without labelled urls or mined rules, the
@@ -20,7 +25,10 @@ smaller text; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,6 +46,8 @@ RULES = [
 ]
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.8
+#: Most tokens of a mined rule. Nested host suffixes make no rule together, so that is a suffix and three others.
+MOST_TOKENS = 4
 DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,29 +69,100 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def tokens(host: Column, path: Column) -> Column:
-    """Host suffixes of up to four labels and the first two path segments that hold a letter."""
+def query_of(url: Column) -> Column:
+    found = F.instr(url, "://")
+    return F.coalesce(F.when(found > 0, F.regexp_extract(F.substring(url, found + 3, F.length(url)), r"^[^?#]*\?([^#]*)", 1)), F.lit(""))
+
+
+def tokens(host: Column, path: Column, query: Column | None = None) -> Column:
+    """All host suffixes (h:), parts of hyphenated host labels (w:), path segments (p:), and query parameters with and without value (q:)."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
-    suffixes = [F.when(n >= k, F.concat(F.lit("h:"), F.array_join(F.slice(labels, n - k + 1, F.lit(k)), "."))) for k in (1, 2, 3, 4)]
-    segments = F.filter(F.split(path, "/"), lambda x: x.rlike("[A-Za-z]"))
-    return F.array_distinct(F.array_compact(F.concat(F.array(*suffixes), F.transform(F.slice(segments, 1, 2), lambda x: F.concat(F.lit("p:"), x)))))
+    none = F.array().cast("array<string>")
+    suffixes = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("h:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))).otherwise(none)
+    parts = F.filter(F.flatten(F.transform(F.filter(labels, lambda x: x.contains("-")), lambda x: F.split(x, "-"))), lambda x: x != "")
+    found = [suffixes, F.transform(parts, lambda x: F.concat(F.lit("w:"), x)), F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("p:"), x))]
+    if query is not None:
+        given = F.filter(F.split(query, "&"), lambda x: x != "")
+        found += [F.transform(given, lambda x: F.concat(F.lit("q:"), x)), F.transform(given, lambda x: F.concat(F.lit("q:"), F.substring_index(x, "=", 1)))]
+    return F.array_distinct(F.concat(*found))
+
+
+def grow(item: int, base: list[tuple[tuple[int, ...], int, int]], labels: int, least: int, confidence: float, totals: list[int]) -> list[tuple[tuple[int, ...], int, int, int]]:
+    """FP-growth on one item's conditional base (items before it, label, count): (items, label, count with the label, count) of its rules."""
+    out = []
+
+    def visit(pattern: tuple[int, ...], base, counts: list[int]) -> None:
+        total = sum(counts)
+        out.extend((pattern, label, c, total) for label, c in enumerate(counts) if c >= least and c >= confidence * total)
+        if len(pattern) == MOST_TOKENS:
+            return
+        sums: dict[int, list[int]] = {}
+        for prefix, label, c in base:
+            for y in prefix:
+                if y not in sums:
+                    sums[y] = [0] * labels
+                sums[y][label] += c
+        for y, found in sums.items():
+            # A set as frequent as a part of it: the part stands for it.
+            if max(found) >= least and sum(found) < min(total, totals[y]):
+                visit((y, *pattern), [(p[: p.index(y)], label, c) for p, label, c in base if y in p], found)
+
+    counts = [0] * labels
+    for _, label, c in base:
+        counts[label] += c
+    visit((item,), base, counts)
+    return out
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
     """(tokens, label, confidence, support) of the kept rules. labelled: tokens, label."""
-    from pyspark.ml.fpm import FPGrowth
-
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label="), F.col("label")))).alias("items"))
-    if items.isEmpty():
+    n = labelled.count()
+    if not n:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where(F.element_at("consequent", 1).startswith("label=")).where(~F.exists("antecedent", lambda x: x.startswith("label=")))
-    rules = {frozenset(r["antecedent"]): (r["consequent"][0][6:], r["confidence"], r["support"]) for r in sorted(found.collect(), key=lambda r: r["confidence"])}
+    least = max(1, math.ceil(min_support * n))
+    single = labelled.select(F.explode(F.array_distinct("tokens")).alias("token"), "label").groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    # At most (mean tokens of a url) / min_support, as any rule of a token needs the support with one label.
+    often = single.groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("most") >= least).collect()
+    names = [r["token"] for r in sorted(often, key=lambda r: (-r["n"], r["token"]))]
+    totals = [r["n"] for r in sorted(often, key=lambda r: (-r["n"], r["token"]))]
+    labels = sorted(r["label"] for r in labelled.select("label").distinct().collect())
+    rank = labelled.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(names)})
+    number = {x: i for i, x in enumerate(labels)}
+    kinds = ["item", "prefix", "label", "n"]
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def flush():
+            made = [pa.array([k[i] for k in found], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int32()), pa.int32()))]
+            return pa.RecordBatch.from_arrays([*made, pa.array(list(found.values()), pa.int64())], names=kinds)
+
+        for batch in batches:
+            for words, label in zip(batch.column("tokens").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                items = sorted({rank.value[t] for t in words if t in rank.value})
+                for i, x in enumerate(items):
+                    found[x, tuple(items[:i]), number[label]] += 1
+            if len(found) > 50_000:
+                yield flush()
+                found.clear()
+        if found:
+            yield flush()
+
+    def local(table: pa.Table) -> pa.Table:
+        base = list(zip(map(tuple, table.column("prefix").to_pylist()), table.column("label").to_pylist(), table.column("n").to_pylist(), strict=True))
+        rules = grow(table.column("item")[0].as_py(), base, len(labels), least, min_confidence, totals)
+        made = [pa.array([r[i] for r in rules], t) for i, t in enumerate((pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64()))]
+        return pa.Table.from_arrays(made, names=["items", "label", "n", "total"])
+
+    bases = labelled.select("tokens", "label").mapInArrow(project, "item int, prefix array<int>, label int, n bigint").groupBy("item", "prefix", "label").agg(F.sum("n").alias("n"))
+    rules: dict[tuple[frozenset[str], str], tuple[float, float]] = {}
+    for r in bases.groupBy("item").applyInArrow(local, "items array<int>, label int, n bigint, total bigint").collect():
+        rules[frozenset(names[i] for i in r["items"]), labels[r["label"]]] = (r["n"] / r["total"], r["n"] / n)
     kept = []
-    for tokens_, (label, confidence, support) in rules.items():
-        parts = (frozenset(tokens_ - {t}) for t in tokens_)
-        if not any(p in rules and rules[p][0] == label and rules[p][1] >= confidence for p in parts):
+    for (tokens_, label), (confidence, support) in rules.items():
+        parts = (frozenset(p) for k in range(1, len(tokens_)) for p in combinations(tokens_, k))
+        if not any((p, label) in rules and rules[p, label][0] >= confidence for p in parts):
             kept.append((tuple(sorted(tokens_)), label, confidence, support))
     return sorted(kept, key=lambda r: (-r[2], -r[3], -len(r[0]), r[0]))
 
@@ -116,9 +197,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     tune(spark)
     host, path = host_and_path(F.col(f"`{url_col}`"))
-    parsed = pages.select(F.col(f"`{id_col}`"), host.alias("host"), path.alias("path"))
+    parsed = pages.select(F.col(f"`{id_col}`"), host.alias("host"), path.alias("path"), query_of(F.col(f"`{url_col}`")).alias("query"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = parsed.withColumns({"rule": rule, "given": verdict}).withColumn("tokens", tokens(F.col("host"), F.col("path")))
+    judged = parsed.select(F.col(f"`{id_col}`"), "host", "path", rule.alias("rule"), verdict.alias("given"), tokens(F.col("host"), F.col("path"), F.col("query")).alias("tokens"))
     index = spark.sparkContext.broadcast(RuleIndex(mine(judged.where("given IS NOT NULL AND size(tokens) > 0").select("tokens", F.col("given").alias("label")))))
     kind = dict(pages.dtypes)[id_col]
 

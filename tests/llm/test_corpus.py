@@ -1,5 +1,6 @@
 """Operators over several documents against brute force on small tables, and the queries against their SQL."""
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -277,3 +278,49 @@ def test_urls(spark):
     for tokens, _ in data:
         first = next(((label, c, " ".join(t)) for t, label, c, _ in mined if set(t) <= tokens), None)
         assert index.match(sorted(tokens)) == first
+
+
+def test_url_tokens_reach_the_whole_url(spark):
+    """Verdicts that depend on a deep subdomain, a late segment, a hyphenated part or a query are mined."""
+    r = random.Random(3)
+    urls = []
+    for i in range(400):
+        bad, kind = i % 2 == 0, i // 2 % 5
+        host, path, query = f"n{r.randrange(40)}.org", f"/a/b/c{r.randrange(9)}", f"n={r.randrange(1000)}"
+        host = f"{'bad' if bad else 'good'}.a.b.c.{host}" if kind == 0 else host
+        path += ("/poor/1" if bad else "/fine/2") if kind == 1 else ""
+        path += ("/0815" if bad else "/4711") if kind == 2 else ""
+        host = f"{'pills' if bad else 'news'}-{r.randrange(10**6)}.{host}" if kind == 3 else host
+        query += ("&ad=1" if bad else "&ad=0") if kind == 4 else ""
+        host = f"bad.a.b.c.n{i % 3}.org" if bad and kind == 0 else host
+        urls.append((i, f"http://{host}{path}?{query}#x", "block" if bad else "allow"))
+    df = spark.createDataFrame(urls, "page_id int, url string, label string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    labelled = df.select(url_filter.tokens(host, path, url_filter.query_of(F.col("url"))).alias("tokens"), "label")
+    index = url_filter.RuleIndex(url_filter.mine(labelled, min_support=0.02))
+    needed = {("p:poor",), ("p:fine",), ("p:0815",), ("p:4711",), ("w:pills",), ("w:news",), ("q:ad=1",), ("q:ad=0",), ("h:bad.a.b.c.n0.org",)}
+    assert needed <= {tuple(x[0]) for x in index.rules}
+    for tokens in ("p:x p:y p:z p:poor", "h:org w:pills", "h:c.n0.org h:bad.a.b.c.n0.org", "p:a q:ad=1"):
+        assert index.match(tokens.split())[0] == "block"
+
+
+def test_growth_against_counting(spark):
+    """All rules of up to four tokens, over rows with tokens that always come together and nested ones."""
+    r = random.Random(4)
+    data = []
+    for _ in range(300):
+        t = {x for x in "abcdefg" if r.random() < 0.5}
+        t |= {f"{x}{k}" for x in t & set("ab") for k in range(9)}  # without pruning, 2 ** 18 sets
+        if t:
+            data.append((sorted(t), "block" if len(t & set("cde")) > 1 or "g" in t and r.random() < 0.9 else "allow"))
+    mined = url_filter.mine(spark.createDataFrame(data, "tokens array<string>, label string"), 0.02, 0.8)
+    sets, rules = [(set(t), x) for t, x in data], {}
+    names = [*"abcdefg", *(f"{x}{k}" for x in "ab" for k in range(9))]
+    for k in range(1, 5):
+        for p in itertools.combinations(names, k):
+            c = Counter(x for t, x in sets if t >= set(p))
+            for label, m in c.items():
+                if m >= 0.02 * len(data) and m >= 0.8 * c.total() and not any(rules.get((q, label), (0,))[0] >= m / c.total() for j in range(1, k) for q in itertools.combinations(p, j)):
+                    rules[p, label] = (m / c.total(), m / len(data))
+    got = {(tuple(sorted(t, key=names.index)), label): (confidence, support) for t, label, confidence, support in mined}
+    assert len(rules) > 10 and got == rules
