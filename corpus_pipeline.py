@@ -2,14 +2,15 @@
 
 Every stage but the last returns the columns of documents. Rows with a null doc_id pass
 the two dedup stages as they are. Repeated rows (same id and text) leave one row after
-exact dedup.
+exact dedup. Rows that share an id but not the text are documents of their own there: each
+stays or goes by its text; in near dedup the smallest id, then the smallest text digest, stays.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codalake.llm import common, groups, langid
@@ -33,21 +34,37 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
+def _digest() -> Column:
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+
+
+def _shared_ids(rows: DataFrame) -> DataFrame:
+    """The ids that stand on several rows."""
+    return common.checkpointed(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     docs = docs.select(COLUMNS)
-    found = common.checkpointed(exact_dedup(docs).where("doc_id IS NOT NULL").select("doc_id", "kept"))
-    kept = groups.without_ids(docs, common.checkpointed(found.where("NOT kept").select("doc_id").distinct()))
-    again = common.checkpointed(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return kept
-    hint = groups.small(again)
-    return groups.without_ids(kept, again).unionByName(kept.join(hint, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    found = common.checkpointed(exact_dedup(docs).where("doc_id IS NOT NULL").select("doc_id", "kept", "text_sha256"))
+    dropped = found.where("NOT kept").select("doc_id").distinct()
+    many = _shared_ids(found)
+    if many.isEmpty():
+        return groups.without_ids(docs, common.checkpointed(dropped))
+    rest = groups.without_ids(groups.without_ids(docs, many), common.checkpointed(dropped.join(many, "doc_id", "left_anti")))
+    hint = groups.small(many)
+    pairs = found.where("kept").join(hint, "doc_id", "left_semi").select("doc_id", "text_sha256").distinct()
+    some = docs.join(hint, "doc_id", "left_semi").withColumn("text_sha256", _digest()).dropDuplicates(["doc_id", "text_sha256"])
+    return rest.unionByName(some.join(pairs, ["doc_id", "text_sha256"], "left_semi").select(COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (5-word shingles, similarity 0.8) the document with the smallest id stays."""
     docs = docs.select(COLUMNS)
+    if not _shared_ids(docs).isEmpty():
+        keyed = docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", _digest().alias("text_sha256"))))
+        dropped = near_dedup(keyed, id_col="key").where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("key")).distinct()
+        return groups.without_ids(keyed, common.checkpointed(dropped), "key").select(COLUMNS)
     dropped = near_dedup(docs).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
     return groups.without_ids(docs, common.checkpointed(dropped))
 

@@ -37,3 +37,21 @@ def test_pipeline(spark):
         assert got[i]["ids"] == coder.encode(t, add_special_tokens=False).ids
         assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
         assert (got[i]["lang"], got[i]["source"], got[i]["n_tokens"]) == (rows[i]["lang"], rows[i]["source"], len(got[i]["ids"]))
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+
+
+def test_shared_ids(spark):
+    """Rows that share an id but not the text stay or go by their texts."""
+    base = [f"w{i}" for i in range(60)]
+    near, other, third = " ".join(base), " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    close = " ".join([*base[:-1], "end"])
+    rows = [(1, near), (1, other), (2, close), (2, third), (2, third), (3, "same"), (3, "single"), (4, "same"), (5, "plain"), (None, near), (None, None)]
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    left = pipeline.exact(spark, table(spark, rows), SF)
+    want = [(1, near), (1, other), (2, close), (2, third), (3, "single"), (4, "same"), (5, "plain"), (None, near), (None, None)]
+    assert pairs(left) == sorted(want, key=str)
+    want.remove((2, close))
+    assert pairs(pipeline.near(spark, left, SF)) == sorted(want, key=str)
