@@ -21,12 +21,13 @@ from codalake.llm.near_dedup import near_dedup
 from codalake.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Share of the strongest language below which a document is rejected.
+#: Share of the strongest language below which a document is rejected: it can be so low only with four languages or more.
 LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go; a null lang becomes the predicted one."""
+    """Documents without a letter ('und') go, and mixtures whose strongest language has less than LEAST_SCORE; texts in a
+    language that was not learned stay, as the nearest learned one. A null lang becomes the predicted one."""
     docs = docs.select(COLUMNS)
     model = langid.fit(docs.where(~langid.held_out()))
     found = langid.identify(docs, model, carry=COLUMNS[1:])

@@ -55,3 +55,15 @@ def test_shared_ids(spark):
     assert pairs(left) == sorted(want, key=str)
     want.remove((2, close))
     assert pairs(pipeline.near(spark, left, SF)) == sorted(want, key=str)
+
+
+def test_least_score_fires(spark):
+    """An even mixture of four languages goes, one of three stays, and so does a text in no learned language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(pipeline.COLUMNS)
+    texts = {}
+    for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").collect():
+        texts[r["lang"]] = (texts.get(r["lang"], "") + " " + r["text"])[:3000]
+    four = [texts[k] for k in sorted(texts)[:4]]
+    new = table(spark, [(-1, " ".join(four)), (-2, " ".join(four[:3])), (-3, "привет мир " * 20), (-4, "12 345")])
+    out = pipeline.language(spark, docs.unionByName(new.selectExpr(*[f"CAST({c} AS {t}) AS {c}" for c, t in docs.dtypes])), SF)
+    assert {r["doc_id"] for r in out.where("doc_id < 0").collect()} == {-2, -3}
