@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -24,33 +26,41 @@ def numbers(n: int, seed: int) -> np.ndarray:
         return mixed((np.arange(1, n + 1, dtype=U) + U(seed) * U(1_000_003)) * U(0x9E3779B97F4A7C15))
 
 
-_LETTER = numbers(256, 1)
-_P = 0x9E3779B97F4A7C15
-_P_INVERSE = pow(_P, -1, 1 << 64)
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+_ALL = U(0xFFFFFFFFFFFFFFFF)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        size = max(n, PART + 1)
-        with np.errstate(over="ignore"):
-            made = tuple(np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, U(p), U)])) for p in (_P, _P_INVERSE))
-        _POWERS[:] = [made]
-    return _POWERS[0]
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of data: a bijective mixer chained over blocks of 8 bytes, so that spans of one
+    length up to 8 bytes never agree and longer ones by chance only; BLAKE2b beyond LONG_WORD bytes."""
+    size = ends - starts
+    blocks = np.ndarray((len(data) + 1,), U, data + bytes(8), strides=(1,))
+    with np.errstate(over="ignore"):
+        h = mixed(size.astype(U) + U(0x2545F4914F6CDD1D))
+        left, at = np.arange(len(size)), starts
+        for done in range(0, LONG_WORD, 8):
+            rest = size[left] - done
+            if done:
+                go = rest > 0
+                left, rest = left[go], rest[go]
+                at = starts[left] + done
+            if not len(left):
+                break
+            block = blocks[at] & (_ALL >> (U(8) * (U(8) - np.clip(rest, 1, 8).astype(U))))
+            h[left] = mixed(h[left] ^ block)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(data: bytes, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and where each begins. space: for each byte value, whether it parts words."""
-    raw = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~space[raw]
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~space[np.frombuffer(data, np.uint8)]
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    power, inverse = _powers(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, U)
-        np.cumsum(_LETTER[raw] * power[: len(raw)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * inverse[starts]), starts
+    return span_hashes(data, starts, ends), starts
 
 
 # Fixed value: the bytes that part words in near-duplicate detection.

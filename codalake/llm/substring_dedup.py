@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, tune
 from .groups import heavy_keys, join_groups
-from .hashing import _LETTER, _parts, _powers, mixed, numbers
+from .hashing import numbers, span_hashes
 
 #: A chunk has 12 + 16 bytes on average: a passage of 50 words holds several whole ones.
 MIN_BYTES, MAX_BYTES, BITS = 12, 160, 4
@@ -80,12 +80,7 @@ def chunk(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     count = np.concatenate([[0], np.cumsum(begins)])
-    power, inverse = _powers(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_LETTER[raw] * power[: len(raw)], out=sums[1:])
-        digest = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return starts, ends, count[ends] - count[starts], digest
+    return starts, ends, count[ends] - count[starts], span_hashes(data, starts, ends)
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
