@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,7 +32,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
     elif (sc.master or "").startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        own = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
@@ -40,6 +45,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the folder of spark.checkpoint.dir, which cut the lineage and outlive executors.
+
+    A table replaces the one of the same name, whose files are deleted, so that a loop holds one round's tables only.
+    """
+
+    def __init__(self, spark: SparkSession, what: str):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.top = f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes df and reads it again."""
+        path = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        sc = self.spark.sparkContext
+        for name in names:
+            if path := self.paths.pop(name, None):
+                found = sc._jvm.org.apache.hadoop.fs.Path(path)
+                found.getFileSystem(sc._jsc.hadoopConfiguration()).delete(found, True)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(set(self.paths) - set(names)))
+
+
 def map_texts(
     docs: DataFrame,
     id_col: str,

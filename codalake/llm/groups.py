@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import Scratch, checkpointed
 
 #: A key with more than this share of the rows is a heavy hitter; there are at most 1/SUPPORT of them.
 SUPPORT = 0.005
@@ -32,13 +32,14 @@ def small(df: DataFrame, n: int | None = None, most: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if n <= most else df
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, scratch: Scratch | None = None) -> DataFrame:
     """(node, root): the smallest node that each node of the edges reaches.
 
     Alternates large and small stars (Kiveris and others, 2014) until the edges are stars, which takes a logarithmic
-    number of rounds; edges that are stars at once, as most are, take none.
+    number of rounds; edges that are stars at once, as most are, take none. The edges of a round replace the last one's.
     """
-    edges = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    edges = scratch.keep("edges", edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while True:
         ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up")))
         loose = ends.groupBy("n").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 OR (up = 1 AND low = 0)")
@@ -51,7 +52,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # Small star: each node and its smaller neighbours go to the smallest of them.
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = checkpointed(moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
+        edges = scratch.keep("edges", moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 

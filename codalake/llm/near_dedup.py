@@ -4,27 +4,34 @@
    class, represented by its smallest id, so exact copies cost one representative.
 2. Representatives get a signature of BANDS x ROWS minima; those that agree in all rows
    of a band share a bucket.
-3. Buckets are worked off in rounds of leaders that are compared with the other members:
-   the smallest id, then the member with the fewest shingles of its own, then STEP times
-   more each round (by a fixed hash), until the bucket's members are one component or all
-   of them have led. Members that links already connect are never paired, nor are those
-   whose intersection is too small by their counts alone (a shingle that no member of
-   another component has is in no further intersection), so a group of near copies costs about its size; what is
-   left is compared in full, with no cap.
+3. Candidates come in three steps, each without the pairs that links already connect:
+   a. the smallest member of each bucket with the others;
+   b. in buckets that still hold several components, the member whose shingles are the
+      most frequent ones (the middle of a group of near copies) with the others;
+   c. all pairs of members of such buckets that share a shingle among the rarest of both
+      (prefix filtering): two sets that are similar enough always do, so this finds every
+      pair that is left, with no cap, while a passage that many documents share makes no
+      pairs, as its shingles are not among their rarest.
+   A bucket's members are therefore never paired with each other, and a group of near
+   copies costs about its size.
 4. A candidate pair's signatures are compared batch by batch. After n positions with m
    agreements, the posterior probability (uniform prior) that the similarity reaches the
    threshold is P(Binomial(n + 1, threshold) <= m); below MISS the pair is pruned.
 5. Survivors are verified exactly on their full shingle sets.
-6. Verified links are contracted to components between rounds.
+6. Verified links are contracted to components between the steps.
 
 A pair at the threshold shares no bucket with probability (1 - t^ROWS)^BANDS, 3e-6 at
-0.8 and 2e-8 at 0.85; the bound MISS adds at most 1e-6 per pair. Only ids, signatures and the sets of
-bucket members are shuffled, never the corpus.
+0.8 and 2e-8 at 0.85; the bound MISS adds at most 1e-6 per pair. Ids, band keys and the
+shingles of members of shared buckets are shuffled; texts stay where they are while those ids
+are few enough for a broadcast, else they meet the ids in one shuffle. A set joins its pairs
+where the pairs are, and AQE splits the pairs of a leader that has very many.
 
 Results for unusual input: a text that is null or has no words has an empty set, links
 with nothing and is its own component; rows that are there twice belong to one class;
-an empty table gives an empty result; rows with a null id never represent a class; other
-columns are ignored.
+an empty table gives an empty result; rows with a null id never represent a class; ties for
+a leader go to the smaller id; other columns are ignored. One id is taken to have one text.
+
+The result is a table in the folder of spark.checkpoint.dir; all others made on the way are deleted.
 """
 
 from __future__ import annotations
@@ -35,19 +42,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts, tune
-from .groups import components, heavy_keys, join_groups, small
-from .hashing import MinHasher, shingle_sets
+from .common import Scratch, map_texts, tune
+from .groups import components, small
+from .hashing import MinHasher, mixed, numbers, shingle_sets
 
 BANDS, ROWS = 24, 4
 BATCH = 16
 MISS = 1e-6
-#: Of each round after the first: how many times more members are compared.
-STEP = 8
-
 
 _PAIR = ["a", "b", "comp_a", "comp_b"]
 
@@ -82,39 +86,70 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band of each signature."""
+    words = np.ascontiguousarray(signatures, np.uint32).view(np.uint64).reshape(-1, BANDS, ROWS // 2)
+    keys = np.broadcast_to(numbers(BANDS, 5), words.shape[:2])
+    with np.errstate(over="ignore"):
+        for i in range(ROWS // 2):
+            keys = mixed(keys ^ words[:, :, i])
+    return keys.view(np.int64)
+
+
+def _sketches(docs: DataFrame, k: int) -> DataFrame:
+    """id, n_shingles, set_key (equal for equal sets) and band keys of each row."""
+    hasher = MinHasher(BANDS * ROWS)
+
+    def rows(texts):
+        sizes, keys, signatures = [], [], []
+        for x in shingle_sets(texts, k):
+            sizes.append(len(x))
+            keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+            signatures.append(hasher(x))
+        bands = band_keys(np.stack(signatures))
+        for i, n in enumerate(sizes):
+            yield i, n, keys[i], bands[i] if n else None
+
+    return map_texts(docs, "id", "text", [("n_shingles", "bigint"), ("set_key", "binary"), ("bands", "array<bigint>")], rows)
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """id, n, signature, shingles."""
     hasher = MinHasher(BANDS * ROWS)
 
     def rows(texts):
         for i, x in enumerate(shingle_sets(texts, k)):
-            if len(x):
-                yield i, len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), hasher(x).tobytes()
-            else:
-                yield i, 0, None, None
+            yield i, len(x), hasher(x).tobytes(), x.view(np.int64)
+
+    return map_texts(docs, "id", "text", [("n", "bigint"), ("signature", "binary"), ("shingles", "array<bigint>")], rows)
 
-    return map_texts(docs, id_col, text_col, [("n_shingles", "bigint"), ("set_key", "binary"), ("signature", "binary")], rows)
 
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs with n and the column of both members (x of a, y of b). Members' sets go to the pairs one side at a
+    time, so that the set of a leader is not sent once for each of its pairs."""
+    of = lambda end, name: sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col(column).alias(name))
+    return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a")
 
-def _pruned(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs, with signature_a and signature_b, that survive the posterior bounds."""
+
+def _pruned(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may be similar by their sizes and survive the posterior bounds."""
     needed = least_matches(percent / 100)
+    both = _with_both(pairs, sets, "signature").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in ("signature_a", "signature_b"))
-            left = pa.array(posterior_survivors(a, b, needed))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in ("x", "y"))
+            left = pa.array(posterior_survivors(x, y, needed))
             yield pa.RecordBatch.from_arrays([batch.column(c).take(left) for c in _PAIR], names=_PAIR)
 
     kind = dict(pairs.dtypes)["a"]
-    return pairs.mapInArrow(run, ", ".join(f"{c} {kind}" for c in _PAIR))
+    return both.select(*_PAIR, "x", "y").mapInArrow(run, ", ".join(f"{c} {kind}" for c in _PAIR))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are similar on their full sets. Only sets of paired members move."""
-    left = sets.join(pairs, sets["id"] == pairs["a"]).select(*_PAIR, F.col("shingles").alias("x"))
-    right = sets.join(pairs, sets["id"] == pairs["b"]).select("a", "b", F.col("shingles").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +159,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in _PAIR], names=_PAIR)
 
     kind = dict(pairs.dtypes)["a"]
-    return left.join(right, ["a", "b"]).mapInArrow(run, ", ".join(f"{c} {kind}" for c in _PAIR))
+    return _with_both(pairs, sets, "shingles").select(*_PAIR, "x", "y").mapInArrow(run, ", ".join(f"{c} {kind}" for c in _PAIR))
 
 
 def near_dedup(
@@ -136,142 +171,127 @@ def near_dedup(
     """
     spark = docs.sparkSession
     tune(spark)
+    scratch = Scratch(spark, "near-dedup")
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sketches = checkpointed(_sketches(docs, "id", "text", shingle))
+    sketches = scratch.keep("sketches", _sketches(docs, shingle))
     reps = (
         sketches.where("set_key IS NOT NULL AND id IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min(F.struct("id", "signature")).alias("r"))
-        .select("set_key", "r.id", "r.signature")
-    )
-    reps = checkpointed(reps)
-    roots = _roots(docs, reps, percent, shingle)
-    classes = reps.select("set_key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("root", "id").alias("component_id"))
-    classes = checkpointed(classes)
-    full = sketches.select("id", "n_shingles", "set_key")
-    with_set, without = full.where("set_key IS NOT NULL"), full.where("set_key IS NULL")
-    out = join_groups(with_set, classes, "set_key", heavy_keys(with_set, "set_key")).drop("set_key")
-    alone = without.select("id", "n_shingles", F.col("id").alias("component_id"))
-    only_null = with_set.where("id IS NULL").join(classes, "set_key", "left_anti").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return (
-        out.unionByName(alone)
-        .unionByName(only_null)
-        .select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .agg(F.min(F.struct("id", "bands")).alias("r"))
+        .select("set_key", "r.id", "r.bands")
     )
+    reps = scratch.keep("reps", reps)
+    roots = _roots(docs, sketches, reps, percent, shingle, scratch)
+    classes = reps.select("set_key", "id").join(roots, "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id"))
+    rows = sketches.select("id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    out = rows.select(
+        F.col("id").alias("doc_id"),
+        "n_shingles",
+        F.coalesce("component_id", "id").alias("component_id"),
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = scratch.keep("result", out)
+    scratch.drop_all_but("result")
+    return out
 
 
-def _roots(docs: DataFrame, reps: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """(node, root) of all representatives that a verified link connects."""
-    width = 4 * ROWS
-    bands = reps.select(
-        "id",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * width + 1, F.lit(width))))).alias("bucket"),
-    )
-    shared = checkpointed(
-        bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").drop("last")
-    )
-    members = checkpointed(join_groups(bands, shared, "bucket", heavy_keys(bands, "bucket")))
-    ids = checkpointed(members.select("id").distinct())
+def _roots(docs: DataFrame, sketches: DataFrame, reps: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
+    """(id, comp) of all representatives that share a bucket: the smallest id that verified links reach."""
+    bands = reps.select("id", F.explode("bands").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").drop("last")
+    members = scratch.keep("members", bands.join(shared, "bucket"))
+    ids = scratch.keep("ids", members.select("id").distinct())
     hint = small(ids)
-    signatures = checkpointed(reps.select("id", "signature").join(hint, "id", "left_semi"))
-
-    def rows(texts):
-        for i, x in enumerate(shingle_sets(texts, shingle)):
-            yield i, x.view(np.int64)
-
-    # A representative's id may stand on several rows with the same text: one is enough.
-    sets = checkpointed(map_texts(docs.join(hint, "id", "left_semi"), "id", "text", [("shingles", "array<bigint>")], rows).dropDuplicates(["id"]))
-
-    labels = checkpointed(ids.select("id", F.col("id").alias("comp")))
-    tested = None
-    round_ = 0
-    while True:
-        if round_ == 0:
-            candidates = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("first").alias("comp_a"), F.col("id").alias("comp_b"))
-        else:
-            live = _open_members(members, labels, round_)
-            if live is None:
-                break
-            if round_ == 1:
-                counts = _counts(sets, live)
-            else:
-                counts = _foreign_counts(sets, live)
-            candidates = _candidates(live.join(counts, "id"), round_, percent).join(tested, ["a", "b"], "left_anti")
-        candidates = checkpointed(candidates.distinct())
-        n = candidates.count()
-        some = small(candidates, n)
-        left = signatures.join(some, signatures["id"] == some["a"]).select(*_PAIR, F.col("signature").alias("signature_a"))
-        right = signatures.join(some, signatures["id"] == some["b"]).select("a", "b", F.col("signature").alias("signature_b"))
-        survivors = checkpointed(_pruned(left.join(right, ["a", "b"]), percent))
-        found = checkpointed(_verified(small(survivors, n), sets, percent))
-        pairs = candidates.select("a", "b")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    sets = _sets(docs.join(hint, "id", "left_semi"), shingle)
+    if not sketches.select("id").join(hint, "id", "left_semi").groupBy("id").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["id"])  # rows that are there twice
+    sets = scratch.keep("sets", sets)
+    labels = ids.select("id", F.col("id").alias("comp"))
+
+    def linked(name: str, candidates: DataFrame, labels: DataFrame) -> DataFrame:
+        """labels after the candidate pairs are pruned, verified and contracted."""
+        pairs = scratch.keep("pairs", candidates.select(*_PAIR).distinct())
+        found = scratch.keep("found", _verified(scratch.keep("survivors", _pruned(pairs, sets, percent)), sets, percent))
         if not found.isEmpty():
-            merged = components(found, "comp_a", "comp_b")
-            labels = checkpointed(labels.join(merged, labels["comp"] == merged["node"], "left").select("id", F.coalesce("root", "comp").alias("comp")))
-        round_ += 1
-    return labels.select(F.col("id").alias("node"), F.col("comp").alias("root"))
-
-
-def _leaders(round_: int) -> tuple[float, float]:
-    """Places of the leaders of a round from 2 on."""
-    return (0.0 if round_ == 2 else float(STEP ** (round_ - 2))), float(STEP ** (round_ - 1))
-
-
-def _open_members(members: DataFrame, labels: DataFrame, round_: int) -> DataFrame | None:
-    """Members (bucket, id, comp, place) of the buckets that hold several components and have leaders left; None without any."""
-    place = F.pmod(F.xxhash64("bucket", "id"), F.lit(1 << 40)) / float(1 << 40) * F.col("size")
-    now = members.join(labels, "id").withColumn("place", F.when(F.col("id") == F.col("first"), F.lit(-1.0)).otherwise(place))
-    state = now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("place").alias("far"))
-    least = 0.0 if round_ == 1 else _leaders(round_)[0]
-    open_ = checkpointed(state.where((F.col("c0") != F.col("c1")) & (F.col("far") >= least)).select("bucket"))
-    n = open_.count()
-    if not n:
-        return None
-    return checkpointed(now.join(small(open_, n), "bucket", "left_semi").select("bucket", "id", "comp", "place"))
-
-
-def _counts(sets: DataFrame, live: DataFrame) -> DataFrame:
-    """id, n (set size), common (shingles that another live member has too). Links join live members only, so a
-    shingle that one of them alone has is in no intersection."""
-    ids = checkpointed(live.select("id").distinct())
-    own = sets.join(small(ids), "id", "left_semi")
-    alone = own.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id")).where("df = 1")
-    private = alone.groupBy("id").agg(F.count(F.lit(1)).alias("private"))
-    sizes = own.select("id", F.size("shingles").cast("bigint").alias("n")).join(private, "id", "left")
-    return checkpointed(sizes.select("id", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common")))
-
-
-def _foreign_counts(sets: DataFrame, live: DataFrame) -> DataFrame:
-    """The same with a tighter bound, once components have formed: common counts the shingles that a live member of
-    another component has too. Groups of near copies that share buckets by a common passage only are told apart by it."""
-    ids = checkpointed(live.select("id", "comp").distinct())
-    rows = sets.join(small(ids), "id").select("id", "comp", F.explode("shingles").alias("s"))
-    w = Window.partitionBy("s")
-    foreign = rows.withColumn("foreign", F.min("comp").over(w) != F.max("comp").over(w))
-    return checkpointed(foreign.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if("foreign").alias("common")))
-
-
-def _candidates(live: DataFrame, round_: int, percent: int) -> DataFrame:
-    """Pairs of a bucket's leaders with members of other components that may be similar by their counts.
-
-    Round 1 has one leader, the member with the smallest share of shingles of its own: the middle of a group of near
-    copies, to which all that link with any of them mostly link. Later rounds take leaders by their place in a fixed order.
+            merged = components(found, "comp_a", "comp_b", scratch)
+            labels = labels.join(merged, labels["comp"] == merged["node"], "left").select("id", F.coalesce("root", "comp").alias("comp"))
+        labels = scratch.keep(name, labels)
+        scratch.drop("pairs", "survivors", "found", "edges")
+        return labels
+
+    firsts = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("first").alias("comp_a"), F.col("id").alias("comp_b"))
+    labels = linked("labels-1", firsts, labels)
+
+    now = members.select("bucket", "id").join(labels, "id")
+    mixed_ = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
+    live = scratch.keep("live", now.join(mixed_, "bucket"))
+    if live.isEmpty():
+        return labels
+    rare = scratch.keep("rare", _rare_first(sets, live.select("id", "comp").distinct(), percent))
+    labels = linked("labels-2", _middles(live, rare), labels)
+    scratch.drop("live")
+    return linked("labels-3", _prefix_pairs(rare, labels, percent, scratch), labels)
+
+
+def _rare_first(sets: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """id, n (set size), own (shingles that no other component has), common (mean log frequency), prefix.
+
+    The shingles of a set are ordered by the number of live sets that have them, those that a single component has
+    first; prefix holds the others among the first that any similar set must meet, least frequent first.
+    """
+    rows = sets.select("id", "n", "shingles").join(live, "id").select("id", "n", "comp", F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("s", "df")
+    found = (
+        rows.select("id", "n", "s")
+        .join(often, "s")
+        .groupBy("id", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"), F.sum(F.log(F.col("df") + 1.0)).alias("total"))
+        .withColumn("own", F.col("n") - F.size("shared"))
+    )
+    # Of two similar sets, the larger one meets the other within its first n - ceil(t n) + 1.
+    length = F.greatest(F.lit(0), F.expr(f"int(n - ({percent} * n + 99) div 100 + 1 - own)"))
+    return found.select("id", "n", "own", (F.col("total") / F.col("n")).alias("common"), F.slice("shared.s", F.lit(1), length).alias("prefix"))
+
+
+def _pair_of(left: str, right: str) -> list:
+    """The columns of _PAIR for two rows of id and comp; a is the one with the smaller id."""
+    id_l, id_r, comp_l, comp_r = (F.col(f"{x}.{c}") for c in ("id", "comp") for x in (left, right))
+    first = id_l < id_r
+    return [
+        F.least(id_l, id_r).alias("a"),
+        F.greatest(id_l, id_r).alias("b"),
+        F.when(first, comp_l).otherwise(comp_r).alias("comp_a"),
+        F.when(first, comp_r).otherwise(comp_l).alias("comp_b"),
+    ]
+
+
+def _middles(live: DataFrame, rare: DataFrame) -> DataFrame:
+    """Pairs of each bucket's member with the most frequent shingles with its members of other components."""
+    rows = live.join(rare.select("id", "common"), "id")
+    leads = rows.groupBy("bucket").agg(F.max(F.struct("common", "id", "comp")).alias("m")).select("bucket", "m.id", "m.comp")
+    return rows.alias("l").join(leads.alias("r"), "bucket").where("l.comp != r.comp").select(*_pair_of("l", "r"))
+
+
+def _prefix_pairs(rare: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """All pairs of different components that may be similar: they share a shingle of their prefixes, at places that
+    leave enough to share.
+
+    Of two similar sets, the smaller one meets the other within its first n - ceil(2 t n / (1 + t)) + 1. Each shingle's
+    rows of all components but its largest meet the others, so that a large component is not compared with itself.
     """
-    if round_ == 1:
-        middle = F.min(F.struct((-F.col("common") / F.col("n")).alias("share"), "id", "comp", "n", "common")).alias("m")
-        leaders = live.groupBy("bucket").agg(middle).select("bucket", *[F.col(f"m.{c}").alias(f"lead_{c}") for c in ("id", "comp", "n", "common")], F.lit(-2.0).alias("lead_place"))
-    else:
-        low, high = _leaders(round_)
-        leaders = live.where((F.col("place") >= low) & (F.col("place") < high)).select("bucket", *[F.col(c).alias(f"lead_{c}") for c in ("id", "comp", "n", "common", "place")])
-    # The intersection is at most the smaller common part.
-    most = F.least("common", "lead_common")
-    may = 100 * most >= percent * (F.col("n") + F.col("lead_n") - most)
-    met = live.join(leaders, "bucket").where(F.expr("comp != lead_comp AND (place > lead_place OR (place = lead_place AND id > lead_id))") & may)
-    first = F.col("id") < F.col("lead_id")
-    return met.select(
-        F.least("id", "lead_id").alias("a"),
-        F.greatest("id", "lead_id").alias("b"),
-        F.when(first, F.col("comp")).otherwise(F.col("lead_comp")).alias("comp_a"),
-        F.when(first, F.col("lead_comp")).otherwise(F.col("comp")).alias("comp_b"),
+    short = F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
+    rows = (
+        rare.join(labels, "id")
+        .select("id", "comp", "n", "own", short.alias("short"), F.posexplode("prefix").alias("k", "s"))
+        .select("s", "id", "comp", "n", (F.col("own") + F.col("k")).alias("place"), (F.col("own") + F.col("k") < F.col("short")).alias("early"))
     )
+    rows = scratch.keep("postings", rows)
+    counts = rows.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("m"))
+    largest = counts.groupBy("s").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("s", F.col("most.comp").alias("largest"))
+    rows = rows.join(largest, "s")
+    meets = """
+        l.comp != r.comp AND (r.comp = r.largest OR l.id < r.id)
+        AND 100 * least(l.n, r.n) >= {0} * greatest(l.n, r.n)
+        AND {1} * least(l.n - l.place, r.n - r.place) >= {0} * (l.n + r.n)
+        AND CASE WHEN l.n < r.n OR (l.n = r.n AND l.id < r.id) THEN l.early ELSE r.early END
+    """.format(percent, 100 + percent)
+    return rows.where("comp != largest").alias("l").join(rows.alias("r"), "s").where(meets).select(*_pair_of("l", "r"))
