@@ -5,29 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpointed
+from .common import Scratch
 
-#: A key with more than this share of the rows is a heavy hitter; there are at most 1/SUPPORT of them.
-SUPPORT = 0.005
 #: Rows of ids or pairs that may be broadcast, some 20 MB; beyond it the joins shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def heavy_keys(rows: DataFrame, key: str, support: float = SUPPORT) -> DataFrame:
-    """All keys that may have more than `support` of the rows (a Misra-Gries summary): 1/support rows at most."""
-    return checkpointed(rows.stat.freqItems([key], support).select(F.explode(f"{key}_freqItems").alias(key)).where(F.col(key).isNotNull()))
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
-    """rows joined with groups (one row a key): heavy keys by broadcast, all others by a shuffle."""
-    few = groups.join(F.broadcast(heavy), key, "left_semi")
-    return rows.join(F.broadcast(few), key).unionByName(
-        rows.join(F.broadcast(heavy), key, "left_anti").join(groups.join(F.broadcast(heavy), key, "left_anti"), key)
-    )
-
-
 def small(df: DataFrame, n: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its rows (n, or else counted) are few; df should be checkpointed."""
+    """df with a broadcast hint if its rows (n, or else counted) are few; df should be a written table."""
     n = df.limit(most + 1).count() if n is None else n
     return F.broadcast(df) if n <= most else df
 
@@ -58,5 +43,5 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch | None = None)
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in dropped (distinct ids, checkpointed): by broadcast while these are few, so that texts stay where they are."""
+    """docs without the rows whose id is in dropped (distinct ids, a written table): by broadcast while these are few, so that texts stay where they are."""
     return docs.join(small(dropped), id_col, "left_anti")
