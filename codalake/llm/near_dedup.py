@@ -215,7 +215,7 @@ def _roots(docs: DataFrame, sketches: DataFrame, reps: DataFrame, percent: int,
             merged = components(found, "comp_a", "comp_b", scratch)
             labels = labels.join(merged, labels["comp"] == merged["node"], "left").select("id", F.coalesce("root", "comp").alias("comp"))
         labels = scratch.keep(name, labels)
-        scratch.drop("pairs", "survivors", "found", "edges")
+        scratch.drop("pairs", "survivors", "found", "edges", "postings", "largest")
         return labels
 
     firsts = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("first").alias("comp_a"), F.col("id").alias("comp_b"))
@@ -287,7 +287,8 @@ def _prefix_pairs(rare: DataFrame, labels: DataFrame, percent: int, scratch: Scr
     rows = scratch.keep("postings", rows)
     counts = rows.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("m"))
     largest = counts.groupBy("s").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("s", F.col("most.comp").alias("largest"))
-    rows = rows.join(largest, "s")
+    # Each join by itself, so that AQE may split the rows of a very frequent shingle.
+    rows = scratch.keep("postings", rows.join(scratch.keep("largest", largest), "s"))
     meets = """
         l.comp != r.comp AND (r.comp = r.largest OR l.id < r.id)
         AND 100 * least(l.n, r.n) >= {0} * greatest(l.n, r.n)
