@@ -7,10 +7,12 @@ it has of the training vocabulary. Multinomial logistic regression over these sp
 each licence family, and the class of text without a licence, a probability; one
 temperature, fitted on held-out examples, calibrates them. Where no family is probable
 enough, or where the family's templates share too few n-grams with the text, a line that is
-unlikely to be ordinary text counts as 'unknown' (or neighbouring lines that are so only together).
+unlikely to be ordinary text counts as 'unknown' (or neighbouring lines that are so only together,
+each of them doubtful by itself).
 
-A window needs a family, and each of its outer lines must add a word pair to what it has of
-the family's template. Between windows and lines that overlap, the one that has most pairs
+Every line is judged by the classifier, many at a time. A window needs a family, so windows are
+tried in paragraphs that hold enough n-grams of some template together (a window has no more than its
+paragraph), and each of a window's outer lines must add a word pair to what it has of the family's template. Between windows and lines that overlap, the one that has most pairs
 of its template is taken, then the shorter, then the earlier one. The inner lines of a
 window have at most INNER words, twice the longest template.
 
@@ -40,43 +42,61 @@ TEMPLATES = {
         "Licensed under the MIT license.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "SPDX-License-Identifier: MIT",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "SPDX-License-Identifier: Apache-2.0",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Released under the GPL version 2 or later.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
     "agpl": [
         "This program is licensed under the GNU Affero General Public License, version 3.",
         "Released under the AGPL version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "bsd": [
         "Released under the BSD 3-Clause License.",
         "Licensed under the 2-clause BSD license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "isc": [
         "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "SPDX-License-Identifier: ISC",
     ],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal."],
-    "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0"],
+    "boost": ["Boost Software License - Version 1.0", "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "artistic": ["The Artistic License 2.0", "Licensed under the Artistic License, version 2.0.", "SPDX-License-Identifier: Artistic-2.0"],
+    "zlib": [
+        "Licensed under the zlib License.",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
 }
 # Ordinary sentences with words that notices also have.
 ORDINARY = [
@@ -90,11 +110,20 @@ ORDINARY = [
     "The source of the river is subject to the terms of the treaty.",
     "Use this form to obtain a copy of the document.",
     "Version 2.0 of the program is out.",
+    "The software of the driver is provided without a warranty to the authors of the work.",
+    "In the event of damages the author of the work is to be held at the door.",
+    "All rights reserved.",
+    "The following conditions of use are available to any person with a copy.",
+    "These materials are made of the source of the common law of nature.",
+    "The free person may modify the form, and the use of the files is permitted.",
+    "An artistic boost to the public domain of the foundation was made available.",
 ]
 NONE = "none"
 FAMILIES = [NONE, *TEMPLATES]
 #: Least calibrated probability of a family, and least share of a template's n-grams in the paragraph.
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.6, 0.6
+#: A line with this probability of being ordinary text is no part of an unknown notice of several lines.
+ORDINARY_ENOUGH = 0.9
 
 _WORD = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD else 0x20 for b in range(256))
@@ -116,10 +145,19 @@ class Model:
         self.templates = {k: [self.grams(words(t.encode())) for t in v] for k, v in TEMPLATES.items()}
         # The columns of templates' word pairs; those of single words come first.
         self.pairs = {c for v in self.templates.values() for t in v for c in t if c >= len(number)}
-        # Words that ordinary training text lacks: without one a paragraph is no notice.
-        common = {w for t in ORDINARY for w in words(t.encode())}
-        keys = {w for v in TEMPLATES.values() for t in v for w in words(t.encode()) if not w.isdigit()} - common
-        self.telling = keys | {b"license", b"licensed", b"released", b"permission", b"apache", b"mit", b"public", b"software"}
+        # The column of each pair of word numbers, or -1.
+        base = len(number) + 1
+        self.table = np.full(base * base, -1, np.int32)
+        for pair, c in column.items():
+            if c >= len(number):
+                self.table[pair] = c
+        self.in_pairs = np.zeros(len(column), bool)
+        self.in_pairs[sorted(self.pairs)] = True
+        every = [t for v in self.templates.values() for t in v]
+        self.members = np.zeros((len(column), len(every)), np.float32)
+        for k, t in enumerate(every):
+            self.members[sorted(t), k] = 1
+        self.enough = np.array([LEAST_OVERLAP * len(t) for t in every])
 
     def grams(self, text: list[bytes]) -> set[int]:
         """Columns of the n-grams of a paragraph that the vocabulary has."""
@@ -133,10 +171,42 @@ class Model:
 
     def judge(self, text: list[bytes]) -> tuple[str, float, float] | None:
         """(family or 'unknown', probability, overlap with the nearest template); None for ordinary text."""
-        if self.telling.isdisjoint(text):
-            return None
         return self._judge(self.grams(text))
 
+    def look_at(self, blocks: list[list[list[bytes]]]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """For each block of lines: the probability of ordinary text and the best class of every line, and whether the block
+        holds enough of some template for a window."""
+        lengths = [len(block) for block in blocks]
+        sizes = np.array([len(t) for block in blocks for t in block], np.int64)
+        get = self.number.get
+        ids = np.array([get(w, 0) for block in blocks for t in block for w in t], np.int64)
+        line = np.repeat(np.arange(len(sizes)), sizes)
+        block_of = np.repeat(np.arange(len(blocks)), lengths)
+        known = np.flatnonzero(ids)
+        pair = np.where((ids[:-1] > 0) & (ids[1:] > 0), self.table[ids[:-1] * (len(self.number) + 1) + ids[1:]], -1)
+        inner = line[:-1] == line[1:]
+        across = np.flatnonzero((pair >= 0) & ~inner & (block_of[line[:-1]] == block_of[line[1:]]))
+        within = np.flatnonzero((pair >= 0) & inner)
+        width = len(self.column)
+        codes = np.unique(np.concatenate([line[known] * width + ids[known] - 1, line[within] * width + pair[within]]))
+        rows, columns = codes // width, codes % width
+        logits = np.zeros((len(sizes), self.weights.shape[1]))
+        if len(rows):
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            logits[rows[starts]] = np.add.reduceat(self.weights[columns], starts, axis=0)
+        p = _softmax((logits + self.bias) / self.temperature)
+        both = np.concatenate([block_of[rows] * width + columns, block_of[line[across]] * width + pair[across]])
+        both = np.unique(both)
+        have = np.zeros((len(blocks), len(self.enough)), np.float32)
+        if len(both):
+            at = both // width
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            have[at[starts]] = np.add.reduceat(self.members[both % width], starts, axis=0)
+        windows = (have >= self.enough).any(axis=1)
+        cut = np.cumsum([0, *lengths])
+        best = p.argmax(axis=1)
+        return [(p[a:b, 0], best[a:b], bool(w)) for a, b, w in zip(cut, cut[1:], windows, strict=False)]
+
     def _judge(self, found: set[int]) -> tuple[str, float, float] | None:
         p = _softmax((self.weights[sorted(found)].sum(axis=0) + self.bias)[None] / self.temperature)[0]
         best = int(np.argmax(p))
@@ -154,10 +224,11 @@ class Model:
         pairs = max(there, key=lambda t: len(t & found))
         return pairs, pairs & found
 
-    def notices(self, lines: list[list[bytes]]) -> list[tuple[int, int, str, float, float]]:
-        """(first line, last line, family or 'unknown', probability, overlap) in a paragraph, in order."""
-        telling = [not self.telling.isdisjoint(t) for t in lines]
-        if not any(telling):
+    def notices(self, lines: list[list[bytes]], seen: tuple[np.ndarray, np.ndarray, bool] | None = None) -> list[tuple[int, int, str, float, float]]:
+        """(first line, last line, family or 'unknown', probability, overlap) in a paragraph, in order. seen: of look_at."""
+        ordinary, best, windows = seen or self.look_at([lines])[0]
+        doubtful = (ordinary < ORDINARY_ENOUGH).tolist()
+        if not windows and not best.any() and not any(a and b for a, b in zip(doubtful, doubtful[1:], strict=False)):
             return []
         grams: dict[int, set[int]] = {}
         links: dict[int, set[int]] = {}
@@ -176,17 +247,16 @@ class Model:
         def union(i: int, j: int) -> set[int]:
             return set().union(*map(of, range(i, j + 1)), *map(link, range(i, j)))
 
-        single = [self._judge(of(i)) if told else None for i, told in enumerate(telling)]
+        single = [self._judge(of(i)) if c else None for i, c in enumerate(best.tolist())]
         sure = [(-len(self._matched(hit[0], of(i))[1]), 0, i, i, hit) for i, hit in enumerate(single) if hit and hit[0] != "unknown"]
         n = len(lines)
-        for i in range(n - 1):
+        for i in range(n - 1 if windows else 0):
             if not (link(i) or not self.pairs.isdisjoint(of(i))):
                 continue
-            found, told, inner = set(of(i)), telling[i], 0
+            found, inner = set(of(i)), 0
             for j in range(i + 1, n):
                 found |= of(j) | link(j - 1)
-                told |= telling[j]
-                if told and (link(j - 1) or not self.pairs.isdisjoint(of(j))) and any(len(t & found) >= LEAST_OVERLAP * len(t) for v in self.templates.values() for t in v):
+                if (link(j - 1) or not self.pairs.isdisjoint(of(j))) and any(len(t & found) >= LEAST_OVERLAP * len(t) for v in self.templates.values() for t in v):
                     hit = self._judge(found)
                     if hit and hit[0] != "unknown":
                         pairs, have = self._matched(hit[0], found)
@@ -201,11 +271,11 @@ class Model:
                 free[i : j + 1] = [False] * (j + 1 - i)
                 out.append((i, j, *hit))
         out += [(i, i, *hit) for i, hit in enumerate(single) if free[i] and hit and hit[0] == "unknown"]
-        # Lines that are unknown only together: runs of free ones that each have a telling word.
+        # Lines that are unknown only together: runs of free ones that are doubtful each.
         i = 0
         while i < n:
             j = i
-            while j < n and free[j] and telling[j] and single[j] is None and sum(map(len, lines[i:j])) <= INNER:
+            while j < n and free[j] and doubtful[j] and single[j] is None and sum(map(len, lines[i:j])) <= INNER:
                 j += 1
             if j - i > 1 and (hit := self._judge(union(i, j - 1))) and hit[0] == "unknown":
                 out.append((i, j - 1, *hit))
@@ -304,13 +374,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(model or train())  # a fixed size, below 1 MB
 
     def rows(texts):
-        notices = shared.value.notices
+        model = shared.value
         for i, data in enumerate(texts):
-            n, found = 0, []
-            for block in paragraphs(data or b""):
-                n += 1
-                for first, last, family, p, overlap in notices([text for _, _, text in block]):
+            blocks, found = list(paragraphs(data or b"")), []
+            lines = [[text for _, _, text in block] for block in blocks]
+            for block, own, seen in zip(blocks, lines, model.look_at(lines) if lines else (), strict=True):
+                for first, last, family, p, overlap in model.notices(own, seen):
                     found.append({"family": family, "start": block[first][0], "end": block[last][1], "probability": p, "overlap": overlap})
-            yield i, n, found
+            yield i, len(blocks), found
 
     return map_texts(docs, id_col, text_col, [("n_paragraphs", "bigint"), ("notices", SPANS)], rows, carry)

@@ -8,6 +8,7 @@ import pytest
 
 pytest.importorskip("codalake.llm")
 import public_tokenizers  # noqa: E402
+import numpy as np  # noqa: E402
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
@@ -113,6 +114,95 @@ def test_licences_wrapped(spark, width):
         assert found == "\n".join(f" * {x}" for x in lines)
 
 
+def test_licence_lines_many_at_a_time():
+    """What look_at finds for all lines is what the classifier finds for each, and blocks without enough of a template have no window."""
+    m = licenses.train()
+    r = random.Random(8)
+    lines = [t for t, _ in licenses.examples(300, seed=77)] + [licenses.words(t.encode()) for t in licenses.ORDINARY]
+    blocks, at = [], 0
+    while at < len(lines):
+        n = r.randint(1, 7)
+        blocks.append([t for t in lines[at : at + n] if t])
+        at += n
+    blocks = [b for b in blocks if b]
+    for block, (ordinary, best, windows) in zip(blocks, m.look_at(blocks), strict=True):
+        for text, p0, c in zip(block, ordinary, best, strict=True):
+            found = sorted(m.grams(text))
+            x = (m.weights[found].sum(axis=0) + m.bias) / m.temperature
+            p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+            assert abs(p[0] - p0) < 1e-9 and int(p.argmax()) == c
+        together = m.grams([w for text in block for w in text])
+        assert windows == any(len(t & together) >= licenses.LEAST_OVERLAP * len(t) for v in m.templates.values() for t in v)
+
+
+def test_licence_identifiers():
+    m = licenses.train()
+    got = lambda t: (m.judge(licenses.words(t.encode())) or (None,))[0]
+    for text, family in [
+        ("# SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: Apache-2.0", "apache"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl"),
+        ("SPDX-License-Identifier: MPL-2.0", "mpl"), ("SPDX-License-Identifier: EPL-2.0", "epl"), ("Boost Software License - Version 1.0 - August 17th, 2003", "boost"),
+        ("The Artistic License 2.0", "artistic"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), ("SPDX-License-Identifier: CC0-1.0", "cc0"),
+    ]:
+        assert got(text) == family, text
+    assert got("SPDX-License-Identifier: Frobnicate-7.1") == "unknown"
+
+
+# Notices as projects print them, wrapped; none is a template.
+REAL = {
+    "mit": """MIT License
+
+Copyright (c) 2021 Some Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "apache": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software""",
+    "gpl": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "mpl": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.""",
+    "epl": """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/""",
+}
+
+
+def test_real_notices(spark):
+    """Held-out notices, wrapped, between paragraphs of prose: each is found, and nothing is found in the prose."""
+    prose = "The quick brown fox jumps over the lazy dog, and the free people of the town\nuse the common source of water in the work of the day.\n\n"
+    rows = [(i, prose + t + "\n\n" + prose) for i, t in enumerate(REAL.values())] + [(100, prose * 3)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for i, family in enumerate(REAL):
+        found = got[i]["notices"]
+        assert family in {x["family"] for x in found}, family
+        assert {x["family"] for x in found} <= {family, "unknown"}
+        assert all(x["start"] >= len(prose) and x["end"] <= len(rows[i][1].encode()) - len(prose) for x in found)
+    assert got[100]["notices"] == []
+
+
 def test_licences_full_text():
     m = licenses.train()
     wrapped = {
