@@ -7,6 +7,12 @@ suffice and no rule on a part of its tokens is as confident (it would never deci
 Other urls are judged by the mined rules, matched through an inverted index from a
 rule's first token to the rule.
 
+The labels come from a few given rules and are no fair sample of the other urls, so a mined rule must also hold beyond
+the rows that it was mined from: a fifth of the labelled urls (by a hash of the url) is held out, and a rule is used only
+if it is right for MIN_CONFIDENCE of the held-out urls that it fits, if its label is LIFT times as frequent among
+the urls that it fits as among all labelled ones, and if SOURCES given rules or more gave that label to them (what a single
+given rule labels shows that rule's own host and path, and nothing about others). MIN_ROWS is the least support in rows.
+
 Every part of a url gives tokens: all host suffixes, the parts of hyphenated host labels, all path
 segments, all query parameters and their names. A rule has at most MOST_TOKENS of them. Tokens without
 the support are left out first; each url then goes, cut behind a token and counted with its
@@ -45,7 +51,10 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 MIN_SUPPORT = 0.002
+MIN_ROWS = 10
 MIN_CONFIDENCE = 0.8
+LIFT = 1.1
+SOURCES = 2
 #: Most tokens of a mined rule. Nested host suffixes make no rule together, so that is a suffix and three others.
 MOST_TOKENS = 4
 DEFAULT = "allow"
@@ -115,12 +124,15 @@ def grow(item: int, base: list[tuple[tuple[int, ...], int, int]], labels: int, l
     return out
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
+Rule = tuple[tuple[str, ...], str, float, float]
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = 1) -> list[Rule]:
     """(tokens, label, confidence, support) of the kept rules. labelled: tokens, label."""
     n = labelled.count()
     if not n:
         return []
-    least = max(1, math.ceil(min_support * n))
+    least = max(min_rows, math.ceil(min_support * n))
     single = labelled.select(F.explode(F.array_distinct("tokens")).alias("token"), "label").groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     # At most (mean tokens of a url) / min_support, as any rule of a token needs the support with one label.
     often = single.groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("most") >= least).collect()
@@ -168,14 +180,18 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
 
 class RuleIndex:
-    """Rules in their order of precedence; match() gives the first that holds."""
+    """Rules in their order of precedence; match() gives the first that holds, fitting() the places of all that do."""
 
-    def __init__(self, rules: list[tuple[tuple[str, ...], str, float, float]]):
+    def __init__(self, rules: list[Rule]):
         self.rules = [(frozenset(r[0]), r[1], r[2]) for r in rules]
         self.by_token: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
             self.by_token.setdefault(r[0][0], []).append(i)
 
+    def fitting(self, tokens_: list[str]) -> list[int]:
+        have = set(tokens_)
+        return sorted(i for t in have for i in self.by_token.get(t, ()) if self.rules[i][0] <= have)
+
     def match(self, tokens_: list[str]) -> tuple[str, float, str] | None:
         have = set(tokens_)
         best = None
@@ -192,6 +208,42 @@ class RuleIndex:
         return label, confidence, " ".join(sorted(need))
 
 
+def confirmed(rules: list[Rule], labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, lift: float = LIFT, sources: int = SOURCES) -> list[Rule]:
+    """The mined rules that hold on the held-out rows, lift their label and rest on several given rules. labelled: tokens,
+    label, source (the given rule), held. One pass that counts; (rules x given rules) numbers come to the driver."""
+    if not rules:
+        return []
+    base = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    index = labelled.sparkSession.sparkContext.broadcast(RuleIndex(rules))
+    names = ["rule", "source", "held", "n", "hits"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        hits: Counter = Counter()
+        for batch in batches:
+            for words, label, source, held in zip(*(batch.column(c).to_pylist() for c in ("tokens", "label", "source", "held")), strict=True):
+                for i in index.value.fitting(words):
+                    n[i, source, held] += 1
+                    hits[i, source, held] += label == rules_of[i]
+        kinds = (pa.int32(), pa.string(), pa.bool_())
+        made = [pa.array([k[j] for k in n], t) for j, t in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*made, pa.array(list(n.values()), pa.int64()), pa.array([hits[k] for k in n], pa.int64())], names=names)
+
+    rules_of = [r[1] for r in rules]
+    counts = labelled.select("tokens", "label", "source", "held").mapInArrow(count, "rule int, source string, held boolean, n bigint, hits bigint")
+    counts = counts.groupBy("rule", "source", "held").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()
+    total = sum(base.values())
+    kept = []
+    for i, rule in enumerate(rules):
+        own = [r for r in counts if r["rule"] == i]
+        n, hits = sum(r["n"] for r in own), sum(r["hits"] for r in own)
+        held, right = sum(r["n"] for r in own if r["held"]), sum(r["hits"] for r in own if r["held"])
+        wide = len({r["source"] for r in own if r["hits"]}) >= sources
+        if held and right >= min_confidence * held and wide and hits / n >= lift * base[rule[1]] / total:
+            kept.append(rule)
+    return kept
+
+
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, default: str = DEFAULT) -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict, mined (the mined rule that decided), confidence."""
     spark = pages.sparkSession
@@ -199,8 +251,11 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, path = host_and_path(F.col(f"`{url_col}`"))
     parsed = pages.select(F.col(f"`{id_col}`"), host.alias("host"), path.alias("path"), query_of(F.col(f"`{url_col}`")).alias("query"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = parsed.select(F.col(f"`{id_col}`"), "host", "path", rule.alias("rule"), verdict.alias("given"), tokens(F.col("host"), F.col("path"), F.col("query")).alias("tokens"))
-    index = spark.sparkContext.broadcast(RuleIndex(mine(judged.where("given IS NOT NULL AND size(tokens) > 0").select("tokens", F.col("given").alias("label")))))
+    marked = parsed.select(F.col(f"`{id_col}`"), "host", "path", rule.alias("rule"), verdict.alias("given"), tokens(F.col("host"), F.col("path"), F.col("query")).alias("tokens"), "query")
+    held = F.pmod(F.xxhash64("host", "path", "query"), F.lit(5)) == 0
+    labelled = marked.where("given IS NOT NULL AND size(tokens) > 0").select("tokens", F.col("given").alias("label"), F.col("rule").alias("source"), held.alias("held"))
+    index = spark.sparkContext.broadcast(RuleIndex(confirmed(mine(labelled.where("NOT held"), min_rows=MIN_ROWS), labelled)))
+    judged = marked.drop("query")
     kind = dict(pages.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
