@@ -3,9 +3,17 @@
 Training learns, for each language, the likelihood of character n-grams (hashed 1- to
 4-grams of letters within words). A document is a mixture of languages: expectation-
 maximisation estimates the proportions from its n-gram likelihoods, for every number of
-languages from one up, and the set with the best penalised likelihood is selected. Each
+languages from one up, and the set with the best penalised likelihood is selected. The
+part of a text that no learned language explains better than chance (n-grams drawn evenly)
+is estimated by one more component. Each
 document is scored where it lies, over its whole text, without a shuffle.
 
+The score is a confidence: the share of the predicted language, times the share of the text
+that is in any of the selected languages, times the probability that the language is in the
+text at all (the likelihood with it against the best one without it). A long text in one
+language has nearly 1, a mixture the language's share, a single letter about the reciprocal of the
+number of languages, and a text in no learned language nearly 0.
+
 The model is a classifier fitted on a bounded sample: about `per_language` labelled
 documents of each language, chosen by a hash of their id with a rate computed from exact
 counts, so that any input gives the same expected sample. It is counted on the executors;
@@ -89,6 +97,7 @@ class Model:
         """The likelihoods relative to the likeliest language of each bucket, as EM needs them."""
         self.top = self.log_p.max(axis=0) if self.languages else np.zeros(BUCKETS)
         self.p = np.exp(self.log_p - self.top) + 1e-12
+        self.chance = np.exp(-np.log(BUCKETS) - self.top)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -142,7 +151,7 @@ def _mixture(p: np.ndarray, weight: np.ndarray, rounds: int = 12, tol: float = 1
 
 
 def infer(text: str | None, model: Model) -> tuple[str, float, list[str], list[float]]:
-    """(language, score, selected languages by share, their shares); the score is the first one's share."""
+    """(language, score, selected languages by share, their shares)."""
     if not text or not model.languages or not _LETTER.search(text):
         return "und", 0.0, [], []
     found = np.bincount(features(text), minlength=BUCKETS)
@@ -168,7 +177,17 @@ def infer(text: str | None, model: Model) -> tuple[str, float, list[str], list[f
             best, chosen, shares = value, order[:k], share
     rank = sorted(range(len(chosen)), key=lambda i: (-shares[i], chosen[i]))
     names = [model.languages[chosen[i]] for i in rank]
-    return names[0], float(min(1.0, shares[rank[0]])), names, [float(shares[i]) for i in rank]
+    # The best explanation without the first language: the others of the set, or the next language alone.
+    dominant = chosen[rank[0]]
+    others = [i for i in chosen if i != dominant]
+    without = max([single[i] for i in range(len(single)) if i != dominant], default=-np.inf)
+    if len(others) > 1:
+        without = max(without, _mixture(p[others], weight)[1] + top)
+    there = 1.0 / (1.0 + np.exp(np.clip(without - best - (len(chosen) - 1) * cost, -700, 700)))
+    with_chance, likelihood = _mixture(np.vstack([p[chosen], model.chance[at]]), weight)
+    inside = 1.0 - with_chance[-1] if likelihood + top - len(chosen) * cost > best else 1.0
+    score = float(np.clip(shares[rank[0]] * there * inside, 0.0, 1.0))
+    return names[0], score, names, [float(shares[i]) for i in rank]
 
 
 FIELDS = [("lang_pred", "string"), ("score", "double"), ("languages", "array<string>"), ("shares", "array<double>")]

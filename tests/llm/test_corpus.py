@@ -13,7 +13,7 @@ import duckdb  # noqa: E402
 import numpy as np  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from codalake.llm import decontaminate, groups, langid, near_dedup, queries, substring_dedup, url_filter  # noqa: E402
+from codalake.llm import decontaminate, groups, hashing, langid, near_dedup, queries, substring_dedup, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -123,13 +123,6 @@ def test_components(spark):
     assert got == {x: y for x, y in root.items() if x in got} and all(root[x] == x for x in root if x not in got)
 
 
-def test_join_groups_keeps_all(spark):
-    rows = spark.range(2000).select(F.when(F.col("id") < 900, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
-    sizes = rows.groupBy("k").count()
-    out = groups.join_groups(rows, sizes, "k", groups.heavy_keys(rows, "k"))
-    assert out.count() == 2000 and out.where("k = 'hot' AND count = 900").count() == 900
-
-
 def test_substring(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 9)))
@@ -174,6 +167,99 @@ def test_substring_adjacent(spark):
     assert q in left[2] and p[:-60] not in left[2] and len(left[3]) < 60
 
 
+def test_substring_against_word_windows(spark):
+    """The documents reported are those that share 50 words in a row with another one, and each whole passage is found."""
+    rows = [(r["doc_id"], r["text"]) for r in read(spark, "documents").collect()]
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    for n in range(40, 62):  # around the least length, in three documents each, twice in one of them
+        p = text(n)
+        rows += [(10_000 + 10 * n + k, f"{text(30)} {p} {text(20)}" + (f" {p}" if k == 2 else "")) for k in range(3)]
+    seen, own = Counter(), {}
+    for i, t in rows:
+        w = (t or "").split()
+        own[i] = {tuple(w[j : j + 50]) for j in range(len(w) - 49)}
+        seen.update(own[i])
+    want = {i for i, grams in own.items() if any(seen[g] > 1 for g in grams)}
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {x["doc_id"] for x in got} == want
+    texts = dict(rows)
+    for x in got:
+        if x["doc_id"] >= 10_000:
+            n = x["doc_id"] // 10 - 1000
+            found = texts[x["doc_id"]].encode()[x["start"] : x["end"]].decode().split()
+            assert substring_dedup.RUN_WORDS <= x["n_words"] <= n and len(found) <= n + 2 and n >= 50
+
+
+def test_substring_windows_around_chunk():
+    words = [f"w{i}" for i in range(120)]
+    data = " ".join(words).encode()
+    start, end, _, _ = substring_dedup.chunk(data)
+    digest = lambda i, n: substring_dedup._hash(" ".join(words[i : i + n]).encode())
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        inside = [w for w in range(120) if a <= data.index(b"w%d" % w) and data.index(b"w%d" % w) + len(b"w%d" % w) <= b]
+        if not inside:
+            continue
+        place = a << 20 | (b - a) << 8
+        want = [i for i in range(71) if i <= inside[0] and inside[-1] < i + 50]
+        assert sorted(substring_dedup.windows(data, place, 50)) == sorted(digest(i, 50) for i in want)
+        few = set(substring_dedup.windows(data, place, 50, 6, 5))
+        # Every window contains one of the few shorter ones.
+        assert all(any(digest(i + k, 45) in few for k in range(6)) for i in want)
+
+
+def test_hashes_do_not_collide_by_structure():
+    """Words of two letters in Thue-Morse order, which agree under any polynomial modulo 2^64, differ here."""
+    a, b = b"a", b"b"
+    for _ in range(13):
+        a, b = a + b, b + a
+    data = b" ".join([a[:n] for n in (1024, 2048, 4096, 8192)] + [b[:n] for n in (1024, 2048, 4096, 8192)])
+    found, _ = hashing.word_hashes(data, hashing._SPACE)
+    assert len(set(found.tolist())) == 8
+    r = random.Random(1)
+    words = sorted({"".join(r.choice("ab") for _ in range(r.randint(1, 100))).encode() for _ in range(5000)})
+    found, starts = hashing.word_hashes(b" ".join(words), hashing._SPACE)
+    again, _ = hashing.word_hashes(b"  ".join(reversed(words)), hashing._SPACE)
+    assert len(set(found.tolist())) == len(words) == len(starts) and found.tolist() == again.tolist()[::-1]
+
+
+def test_near_dedup_long_words_and_large_groups(spark):
+    """Two different very long words, a group of 2,000 near copies, and a passage that 1,500 other documents share."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, passage = [word() for _ in range(60)], [word() for _ in range(60)]
+    texts = [a, b]
+    for _ in range(2000):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(60)] = word()
+        texts.append(" ".join(w))
+    for _ in range(1500):
+        texts.append(" ".join([word() for _ in range(r.randint(2, 40))] + passage + [word() for _ in range(r.randint(0, 10))]))
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    _, sets = components(rows[:1], 3, 85)
+    sets = sets_of(rows, 3)
+    code = {g: i for i, g in enumerate(sorted({g for s in sets.values() for g in s}))}
+    matrix = np.zeros((len(rows), len(code)), np.float32)
+    for i, s in sets.items():
+        matrix[i, [code[g] for g in s]] = 1
+    both, size = matrix @ matrix.T, matrix.sum(axis=1)
+    linked = 100 * both >= 85 * (size[:, None] + size[None] - both)
+    want = np.arange(len(rows))
+    while True:
+        low = np.where(linked, want[None], len(rows)).min(axis=1)
+        if (low == want).all():
+            break
+        want = np.minimum(want, low)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=85, shingle=3).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(want.tolist()))
+
+
 def test_chunks_resist_shifts():
     r = random.Random(6)
     data = bytes(r.choice(b"abcdefgh ") for _ in range(20_000))
@@ -220,6 +306,31 @@ def test_language_accuracy(spark):
     assert all(0 <= r["score"] <= 1 and abs(sum(r["shares"]) - 1) < 1e-6 for r in out)
 
 
+def test_language_score(spark):
+    """The score tells a sure answer from a guess: one letter, nonsense, another script, and a sentence."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    score = lambda t: langid.infer(t, model)[1]
+    sentence = docs.where("lang = 'en' AND length(text) > 300").orderBy("doc_id").first()["text"][:200]
+    assert score("a") < 0.8 and score(sentence) > 0.95
+    assert score("xqzv wkjp zzzz qqqq " * 5) < 0.3 and score("привет мир как дела " * 5) < 0.3
+    assert langid.infer("12 345", model)[:2] == ("und", 0.0)
+
+
+def test_mixture_against_a_grid(spark):
+    """The shares of two languages against the best of 200 steps of the same likelihood."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    one = {k: " ".join(r["text"] for r in docs.where(F.col("lang") == k).orderBy("doc_id").limit(8).collect()) for k in ("en", "de")}
+    for n in (300, 900, 1500):
+        lang, _, names, shares = langid.infer(one["en"][:1800] + " " + one["de"][:n], model)
+        found = np.bincount(langid.features(one["en"][:1800] + " " + one["de"][:n]), minlength=langid.BUCKETS)
+        p, q = (np.exp(model.log_p[model.languages.index(k)]) for k in ("en", "de"))
+        grid = np.arange(1, 200) / 200
+        value = [float(found @ np.log(x * p + (1 - x) * q)) for x in grid]
+        assert names == ["en", "de"] and abs(shares[0] - grid[int(np.argmax(value))]) < 0.02
+
+
 def test_language_mixture(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
     model = langid.fit(docs)
@@ -280,6 +391,57 @@ def test_urls(spark):
         assert index.match(sorted(tokens)) == first
 
 
+def test_url_verdicts_against_counting(spark):
+    """The verdict of every url, by counting over all labelled urls in plain Python."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host, path = url_filter.host_and_path(F.col("url"))
+    query = url_filter.query_of(F.col("url"))
+    rule, verdict = url_filter.rule_columns(host, path, url_filter.RULES)
+    held = F.pmod(F.xxhash64(host, path, query), F.lit(5)) == 0
+    rows = pages.select("page_id", url_filter.tokens(host, path, query).alias("tokens"), rule.alias("source"), verdict.alias("label"), held.alias("held")).collect()
+    labelled = [(frozenset(r["tokens"]), r["label"], r["source"], r["held"]) for r in rows if r["label"] is not None and r["tokens"]]
+    fit = [x for x in labelled if not x[3]]
+    base = Counter(x[1] for x in labelled)
+    sets = {frozenset(p) for t, *_ in fit for k in range(1, 5) for p in itertools.combinations(sorted(t), k)}
+    often = Counter(p for t, *_ in fit for k in range(1, 5) for p in map(frozenset, itertools.combinations(sorted(t), k)))
+    rules = {}
+    for p in sets:
+        if often[p] < url_filter.MIN_ROWS:
+            continue
+        for label, m in Counter(x[1] for x in fit if p <= x[0]).items():
+            parts = (frozenset(q) for j in range(1, len(p)) for q in itertools.combinations(p, j))
+            if m >= url_filter.MIN_ROWS and m >= 0.8 * often[p] and not any(often[q] == often[p] for q in parts):
+                rules[p, label] = (m / often[p], m / len(fit))
+    kept = []
+    for (p, label), (confidence, support) in rules.items():
+        if any(rules.get((frozenset(q), label), (0,))[0] >= confidence for j in range(1, len(p)) for q in itertools.combinations(p, j)):
+            continue
+        fits = [x for x in labelled if p <= x[0]]
+        out = [x for x in fits if x[3]]
+        right = [x for x in fits if x[1] == label]
+        if out and sum(x[1] == label for x in out) >= 0.8 * len(out) and len({x[2] for x in right}) >= 2 and len(right) / len(fits) >= 1.1 * base[label] / len(labelled):
+            kept.append((-confidence, -support, -len(p), tuple(sorted(p)), label))
+    kept.sort()
+    got = {r["page_id"]: (r["verdict"], r["mined"]) for r in url_filter.filter_urls(pages).collect()}
+    for r in rows:
+        first = next((k for k in kept if set(k[3]) <= set(r["tokens"])), None) if r["label"] is None else None
+        want = (r["label"] or (first[4] if first else url_filter.DEFAULT), " ".join(first[3]) if first else None)
+        assert got[r["page_id"]] == want
+    unruled = Counter(got[r["page_id"]][0] for r in rows if r["label"] is None)
+    assert unruled["allow"] > 0  # what a single given rule says of its own host does not decide about the others
+
+
+def test_url_rules_must_hold_elsewhere(spark):
+    """A combination that one given rule alone labels, or that fails on held-out rows, is not used."""
+    rows = [(["p:en", "h:a.com"], "block", "a.com/en/", k % 5 == 0) for k in range(50)]
+    rows += [(["p:x", "h:b.com"], "block", "b.com/x/", k % 5 == 0) for k in range(50)] + [(["p:x", "h:c.org"], "block", "c.org/x/", k % 5 == 0) for k in range(50)]
+    rows += [(["p:y", f"h:{h}"], "block" if k % 5 else "allow", f"{h}/", k % 5 == 0) for h in ("d.com", "e.com") for k in range(50)]
+    rows += [(["p:z", f"h:f{k % 3}.com"], "allow", f"f{k % 3}.com/", k % 5 == 0) for k in range(300)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, label string, source string, held boolean")
+    kept = {r[0] for r in url_filter.confirmed(url_filter.mine(labelled.where("NOT held"), min_rows=10), labelled)}
+    assert ("p:x",) in kept and ("p:z",) in kept and not kept & {("p:en",), ("h:a.com",), ("p:y",)}
+
+
 def test_url_tokens_reach_the_whole_url(spark):
     """Verdicts that depend on a deep subdomain, a late segment, a hyphenated part or a query are mined."""
     r = random.Random(3)

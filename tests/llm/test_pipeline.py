@@ -6,6 +6,7 @@ import pytest
 
 pytest.importorskip("codalake.llm")
 pipeline = pytest.importorskip("corpus_pipeline")
+from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from codalake.llm import decontaminate, langid, queries  # noqa: E402
@@ -58,12 +59,37 @@ def test_shared_ids(spark):
 
 
 def test_least_score_fires(spark):
-    """An even mixture of four languages goes, one of three stays, and so does a text in no learned language."""
+    """An even mixture of four languages goes, and so do texts in no learned language and without letters; one of three stays."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(pipeline.COLUMNS)
     texts = {}
     for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").collect():
         texts[r["lang"]] = (texts.get(r["lang"], "") + " " + r["text"])[:3000]
     four = [texts[k] for k in sorted(texts)[:4]]
-    new = table(spark, [(-1, " ".join(four)), (-2, " ".join(four[:3])), (-3, "привет мир " * 20), (-4, "12 345")])
+    new = table(spark, [(-1, " ".join(four)), (-2, " ".join(four[:3])), (-3, "привет мир " * 20), (-4, "12 345"), (-5, "xqzv wkjp zzzz qqqq " * 9), (-6, four[1]), (-7, None)])
     out = pipeline.language(spark, docs.unionByName(new.selectExpr(*[f"CAST({c} AS {t}) AS {c}" for c, t in docs.dtypes])), SF)
-    assert {r["doc_id"] for r in out.where("doc_id < 0").collect()} == {-2, -3}
+    assert {r["doc_id"] for r in out.where("doc_id < 0").collect()} == {-2, -6}
+
+
+def test_stage_edges(spark):
+    """Empty tables, null columns, clashing extra columns and very long texts go through every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    empty = docs.limit(0)
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0 and out.columns[0] == "doc_id"
+        if stage is not pipeline.tokens:
+            assert out.columns == pipeline.COLUMNS
+    long = " ".join(r["text"] for r in docs.where("lang = 'en'").orderBy("doc_id").limit(150).collect())
+    rows = [(1, long, None, None, None), (2, None, None, None, None), (3, long, "en", "s", 3), (None, long, "en", None, None)]
+    some = spark.createDataFrame(rows, docs.schema)
+    for c in ("id", "text_sha256", "kept", "spans", "score", "hits"):
+        some = some.withColumn(c, F.lit("extra"))
+    labelled = docs.unionByName(some, allowMissingColumns=True)
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    kept = pipeline.language(spark, labelled, SF)
+    assert kept.columns == pipeline.COLUMNS and {1, 3, None} <= set(ids(kept)) and kept.where("lang IS NULL").isEmpty()
+    assert ids(pipeline.exact(spark, some, SF)) == ids(some.where("doc_id IS NULL OR doc_id IN (2, 3)"))
+    assert ids(pipeline.near(spark, some, SF)) == ids(some.where("doc_id IS NULL OR doc_id IN (1, 2)"))
+    assert set(ids(pipeline.clean(spark, some, SF))) <= {1, 2, 3, None}
+    got = {r["doc_id"]: r["n_tokens"] for r in pipeline.tokens(spark, some, SF).collect()}
+    assert got[2] == 0 and got[1] == got[3] > 1000
