@@ -4,6 +4,9 @@ Every stage but the last returns the columns of documents. Rows with a null doc_
 the two dedup stages as they are. Repeated rows (same id and text) leave one row after
 exact dedup. Rows that share an id but not the text are documents of their own there: each
 stays or goes by its text; in near dedup the smallest id, then the smallest text digest, stays.
+Null and empty texts are 'und' and go in the first stage, and so does a text without a letter. Very long texts are
+judged, hashed, searched and encoded whole. An empty table gives an empty result with the same columns. Columns beside
+those of documents are dropped, whatever their names. Ties in language go to the one that sorts first.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from codalake.llm.near_dedup import near_dedup
 from codalake.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Share of the strongest language below which a document is rejected: it can be so low only with four languages or more.
+#: Confidence in the strongest language below which a document is rejected: text in no learned language, or an even
+#: mixture of four languages or more.
 LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter ('und') go, and mixtures whose strongest language has less than LEAST_SCORE; texts in a
-    language that was not learned stay, as the nearest learned one. A null lang becomes the predicted one."""
+    """Documents without a letter ('und') go, and those whose score is below LEAST_SCORE. A null lang becomes the predicted
+    one. Where no text has a language to learn from, every document is 'und' and goes."""
     docs = docs.select(COLUMNS)
     model = langid.fit(docs.where(~langid.held_out()))
     found = langid.identify(docs, model, carry=COLUMNS[1:])
