@@ -198,7 +198,9 @@ def _roots(docs: DataFrame, sketches: DataFrame, reps: DataFrame, percent: int,
     """(id, comp) of all representatives that share a bucket: the smallest id that verified links reach."""
     bands = reps.select("id", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").drop("last")
-    members = scratch.keep("members", bands.join(shared, "bucket"))
+    # Written first, so that the join is a stage by itself in which AQE may split the rows of a very frequent bucket.
+    members = scratch.keep("members", bands.join(scratch.keep("shared", shared), "bucket"))
+    scratch.drop("shared")
     ids = scratch.keep("ids", members.select("id").distinct())
     hint = small(ids)
     sets = _sets(docs.join(hint, "id", "left_semi"), shingle)
@@ -223,12 +225,12 @@ def _roots(docs: DataFrame, sketches: DataFrame, reps: DataFrame, percent: int,
 
     now = members.select("bucket", "id").join(labels, "id")
     mixed_ = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
-    live = scratch.keep("live", now.join(mixed_, "bucket"))
+    live = scratch.keep("live", now.join(scratch.keep("mixed", mixed_), "bucket"))
     if live.isEmpty():
         return labels
     rare = scratch.keep("rare", _rare_first(sets, live.select("id", "comp").distinct(), percent))
     labels = linked("labels-2", _middles(live, rare), labels)
-    scratch.drop("live")
+    scratch.drop("live", "mixed", "members", "ids")
     return linked("labels-3", _prefix_pairs(rare, labels, percent, scratch), labels)
 
 
