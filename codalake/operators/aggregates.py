@@ -38,16 +38,60 @@ def shares_pp(df: DataFrame, by: list[str], kind: str) -> DataFrame:
     return total.join(overall, kind).withColumn("diff_pp", F.col("pp") - F.col("all_pp"))
 
 
+def running_counts(df: DataFrame, by: list[str], value: str, parts: int = 64) -> DataFrame:
+    """by, value, n, upto, total: each distinct value of a group, how often it is there, how many values are not larger, and
+    how many there are. Values are dealt to ranges by approximate quantiles of all of them, so that no task holds a
+    whole group; the ranges change where values lie, not the counts."""
+    at = df.where(F.col(value).isNotNull())
+    cuts = at.agg(F.percentile_approx(value, [(i + 1) / parts for i in range(parts - 1)], 1000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(value))) if cuts else F.lit(0)
+    counts = at.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).withColumn("__part", part)
+    sums = counts.groupBy(*by, "__part").agg(F.sum("n").alias("__sum"))
+    group = Window.partitionBy(*by)  # a row for each part
+    before = F.coalesce(F.sum("__sum").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__p"), before.alias("__before"), F.sum("__sum").over(group).alias("total"))
+    same = F.col("__part") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    within = Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(sums, same).withColumn("upto", F.sum("n").over(within) + F.col("__before")).select(*by, value, "n", "upto", "total")
+
+
+def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """by, and for each name the value of that rank (from 1; an expression of the column `total`), which is clamped to the group."""
+    at = running_counts(df, by, value)
+    here = {}
+    for name, rank in ranks.items():
+        rank = F.least(F.greatest(rank, F.lit(1)), F.col("total"))
+        here[name] = F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), F.col(value))).alias(name)
+    return at.groupBy(*by).agg(*here.values())
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
+    """by and p<percent> for each: the value of rank ceil(n * percent / 100), at least 1."""
+    return order_statistics(df, by, value, {f"p{p}": F.ceil(F.col("total") * p / 100) for p in percents})
+
+
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, median: the middle value, or the mean of both middle ones."""
+    out = order_statistics(df, by, value, {"__low": F.floor((F.col("total") + 1) / 2), "__high": F.floor(F.col("total") / 2) + 1})
+    return out.select(*by, ((F.col("__low") + F.col("__high")) / 2).alias("median"))
+
+
 def nearest_rank(value: str, percent: int) -> Column:
-    """Aggregate: the value of rank ceil(n * percent / 100), at least 1; 0 without values."""
+    """Aggregate for groups of few distinct values: the value of rank ceil(n * percent / 100), at least 1; 0 without values."""
     return F.expr(f"coalesce(percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY `{value}`), 0)")
 
 
 def upper_median_row(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The row of rank n div 2 + 1 of each group; ties are broken by the later order columns."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumns({"__rn": F.row_number().over(w.orderBy(*order)), "__n": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("__rn") == F.floor(F.col("__n") / 2) + 1).drop("__rn", "__n")
+    """The row of rank n div 2 + 1 of each group; ties of the first order column are broken by the later ones. Only the
+    rows that tie with it are sorted."""
+    first, rank = order[0], F.floor(F.col("total") / 2) + 1
+    at = running_counts(df, by, first).where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
+    at = at.select(*by, first, (rank - (F.col("upto") - F.col("n"))).alias("__k"))
+    tied = df.join(at, [*by, first]).withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return tied.where("__rn = __k").select(*df.columns)
 
 
 def geomean_positive(value: Column) -> Column:
@@ -80,15 +124,17 @@ def bitrate_kbps(total_bytes: Column, frames: Column, fps: Column) -> Column:
 
 
 def argmax_first(df: DataFrame, by: list[str], measure: str, tie: list[str]) -> DataFrame:
-    """The row of the largest measure in each group, the first by `tie` among equals."""
-    w = Window.partitionBy(*by).orderBy(F.col(measure).desc(), *tie)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """The row of the largest measure in each group, the first by `tie` among equals. Combines before the shuffle."""
+    rest = [c for c in df.columns if c not in by]
+    best = F.min(F.struct(F.col(measure).isNull().alias("__null"), (-F.col(measure)).alias("__size"), *[F.col(c).alias(f"__{c}") for c in tie], F.struct(*rest).alias("row")))
+    return df.groupBy(*by).agg(best.alias("best")).select(*by, "best.row.*").select(*df.columns)
 
 
 def cumulative_layers(df: DataFrame, layer: str, measure: str, layers: int) -> DataFrame:
-    """A row of layer k counts in every layer from k up: layer, n, total."""
-    spread = df.withColumn("in_layer", F.explode(F.sequence(F.col(layer), F.lit(layers - 1))))
-    return spread.groupBy("in_layer").agg(F.count(F.lit(1)).alias("n"), F.sum(measure).alias("total"))
+    """A row of layer k counts in every layer from k up: layer, n, total. Layers are summed first, and then added up."""
+    own = df.groupBy(layer).agg(F.count(F.lit(1)).alias("n"), F.sum(measure).alias("total"))
+    spread = own.withColumn("in_layer", F.explode(F.sequence(F.col(layer), F.lit(layers - 1))))
+    return spread.groupBy("in_layer").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def drop_reasons(df: DataFrame, reason: str, reasons: list[str]) -> DataFrame:

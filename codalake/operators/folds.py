@@ -1,7 +1,7 @@
 """Ordered folds whose state does not reduce to windows: drop automata and controllers.
 
 A stream is read in order by one task (Spark sorts it on the way, spilling as needed) and
-only its state is held, never the stream: mapInPandas over rows that are partitioned by
+only its state is held, never the stream: mapInArrow over rows that are partitioned by
 stream and sorted within partitions. States end and begin where the stream changes.
 """
 
@@ -11,27 +11,35 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from .aggregates import order_statistics
 
-def ordered_fold(df: DataFrame, by: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], tuple], outputs: str) -> DataFrame:
-    """Adds `outputs` (a DDL list) to each row: step(state, row) returns their values and may change state."""
-    names = [x.split()[0] for x in outputs.split(",")]
+
+def ordered_fold(df: DataFrame, by: str, order: list[str], inputs: list[str], start: Callable[[], Any], step: Callable[..., tuple], outputs: str) -> DataFrame:
+    """Adds `outputs` (a DDL list) to each row: step(state, *inputs) returns their values and may change state. A null key is
+    a stream of its own. Other columns pass through as they are."""
     schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), outputs])
+    added = df.sparkSession.createDataFrame([], outputs).schema
+    names = [*df.columns, *added.names]
+    kinds = list(to_arrow_schema(added))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = object(), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, begun = None, None, False
         for batch in batches:
-            made = []
-            for row in batch.itertuples(index=False):
-                if getattr(row, by) != key:
-                    key, state = getattr(row, by), start()
-                made.append(step(state, row))
-            yield pd.concat([batch, pd.DataFrame(made, columns=names, index=batch.index)], axis=1)
+            made: list[list] = [[] for _ in kinds]
+            keys = batch.column(by).to_pylist()
+            for now, *values in zip(keys, *(batch.column(c).to_pylist() for c in inputs), strict=True):
+                if not begun or now != key:
+                    key, state, begun = now, start(), True
+                for column, value in zip(made, step(state, *values), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f.type) for c, f in zip(made, kinds, strict=True))], names=names)
 
-    return df.repartition(F.col(by)).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+    return df.repartition(F.col(by)).sortWithinPartitions(by, *order).mapInArrow(run, schema)
 
 
 @dataclass
@@ -53,7 +61,7 @@ def drop_automaton(df: DataFrame, by: str, order: list[str], bits: str, credit:
     """
     mark = int(water_mark * optimal // 100)
 
-    def step(s: Bucket, row) -> tuple[float, bool]:
+    def step(s: Bucket, size) -> tuple[float, bool]:
         s.level = min(s.level + credit, cap)
         drop = water_mark > 0 and s.level < 0
         if not drop and water_mark > 0:
@@ -67,10 +75,10 @@ def drop_automaton(df: DataFrame, by: str, order: list[str], bits: str, credit:
             else:
                 s.count = 0
         if not drop:
-            s.level -= getattr(row, bits)
+            s.level -= size
         return s.level, drop
 
-    return ordered_fold(df, by, order, lambda: Bucket(optimal), step, "level double, dropped boolean")
+    return ordered_fold(df, by, order, [bits], lambda: Bucket(optimal), step, "level double, dropped boolean")
 
 
 def decimation(df: DataFrame, by: str, order: list[str], bits: str, key: str, credit: int, cap: int, optimal: int, water_mark: int, allowed: bool = True) -> DataFrame:
@@ -84,7 +92,7 @@ def decimation(df: DataFrame, by: str, order: list[str], bits: str, key: str, cr
     mark = optimal * water_mark // 100 if water_mark > 0 else 0
     high, half, low = mark * 2 // 3, mark // 4, mark // 8
 
-    def step(s: Bucket, row) -> tuple[int, int, bool]:
+    def step(s: Bucket, size, is_key) -> tuple[int, int, bool]:
         if allowed:
             if s.level > mark and s.factor > 0:
                 s.factor -= 1
@@ -100,12 +108,12 @@ def decimation(df: DataFrame, by: str, order: list[str], bits: str, key: str, cr
         if not allowed or s.factor == 0:
             s.count = 0
         else:
-            drop = not getattr(row, key) and s.count > 0
+            drop = not is_key and s.count > 0
             s.count = s.count - 1 if drop else s.factor
-        s.level = min(s.level + credit - (0 if drop else int(getattr(row, bits))), cap)
+        s.level = min(s.level + credit - (0 if drop else int(size)), cap)
         return s.level, s.factor, drop
 
-    return ordered_fold(df, by, order, lambda: Bucket(optimal), step, "level bigint, factor int, dropped boolean")
+    return ordered_fold(df, by, order, [bits, key], lambda: Bucket(optimal), step, "level bigint, factor int, dropped boolean")
 
 
 @dataclass
@@ -120,11 +128,9 @@ def cap_controller(df: DataFrame, by: str, order: list[str], elapsed: str, inter
     """Adds cap: a streak of overruns (elapsed > 2 * interval) lowers it, a streak of fast rows (elapsed < 3/4 of the interval)
     raises it again up to the request; other rows end both streaks, and a changed request takes effect at once."""
 
-    def step(s: Cap, row) -> tuple[int]:
-        want = getattr(row, requested)
+    def step(s: Cap, took, due, want) -> tuple[int]:
         if s.requested != want:
             s.active, s.requested, s.slow, s.fast = want, want, 0, 0
-        took, due = getattr(row, elapsed), getattr(row, interval)
         s.slow = s.slow + 1 if took > 2 * due > 0 and s.active > least else 0
         s.fast = s.fast + 1 if 4 * took < 3 * due and s.active < s.requested else 0
         if s.slow >= lower_after:
@@ -133,7 +139,7 @@ def cap_controller(df: DataFrame, by: str, order: list[str], elapsed: str, inter
             s.active, s.fast = s.active + 1, 0
         return (s.active,)
 
-    return ordered_fold(df, by, order, lambda: Cap(-1, -1), step, "cap bigint")
+    return ordered_fold(df, by, order, [elapsed, interval, requested], lambda: Cap(-1, -1), step, "cap bigint")
 
 
 def skin_smoothing(df: DataFrame, key: str, rows: str, cols: str, cells: str) -> DataFrame:
@@ -164,12 +170,12 @@ def rolling_average(df: DataFrame, by: str, order: list[str], value: str, weight
     """Adds rolling: (weight * before + value + half) >> shift in whole numbers, from the first value."""
     half = 1 << (shift - 1)
 
-    def step(s: dict, row) -> tuple[int]:
-        v = int(getattr(row, value))
+    def step(s: dict, v) -> tuple[int]:
+        v = int(v)
         s["x"] = (weight * s["x"] + v + half) >> shift if "x" in s else v
         return (s["x"],)
 
-    return ordered_fold(df, by, order, dict, step, "rolling bigint")
+    return ordered_fold(df, by, order, [value], dict, step, "rolling bigint")
 
 
 @dataclass
@@ -182,19 +188,19 @@ class Sequencer:
 def picture_ids(df: DataFrame, by: str, order: list[str], layer: str, dropped: str, signature: str, wrap: int = 1 << 15) -> DataFrame:
     """Adds picture_id and tl0: a sent frame or a newly notified drop takes an id; the same drop notified again takes none (null)."""
 
-    def step(s: Sequencer, row) -> tuple[int | None, int]:
-        if getattr(row, dropped):
-            if getattr(row, signature) == s.signature:
+    def step(s: Sequencer, at, gone, mark) -> tuple[int | None, int]:
+        if gone:
+            if mark == s.signature:
                 return None, max(s.base, 0) % 256
-            s.signature = getattr(row, signature)
+            s.signature = mark
         else:
             s.signature = None
-            if getattr(row, layer) == 0:
+            if at == 0:
                 s.base += 1
         used, s.picture = s.picture, (s.picture + 1) % wrap
         return used, max(s.base, 0) % 256
 
-    return ordered_fold(df, by, order, Sequencer, step, "picture_id bigint, tl0 bigint")
+    return ordered_fold(df, by, order, [layer, dropped, signature], Sequencer, step, "picture_id bigint, tl0 bigint")
 
 
 def kmeans_1d(values, k: int = 8, rounds: int = 10):
@@ -214,13 +220,14 @@ def kmeans_1d(values, k: int = 8, rounds: int = 10):
 def kmeans_1d_distributed(df: DataFrame, value: str, k: int = 8, rounds: int = 10) -> DataFrame:
     """The same over a whole column: each round is one aggregation of k sums, so only k numbers come to the driver."""
     spark = df.sparkSession
-    v = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    points = [(2 * i + 1) / (2 * k) for i in range(k)]
-    centers = v.agg(F.percentile_approx("v", points, 100_000)).first()[0] or []
+    v = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").persist()
+    starts = order_statistics(v, [], "v", {f"c{i}": F.floor((F.col("total") * (2 * i + 1)) / (2 * k)) + 1 for i in range(k)}).first()
+    centers = [] if starts is None else [starts[f"c{i}"] for i in range(k)]
     for _ in range(rounds):
         if not centers:
             break
         near = F.array_min(F.transform(F.array(*map(F.lit, centers)), lambda c, i: F.struct(F.abs(F.col("v") - c), i.alias("i"))))["i"]
         sums = {r["c"]: r["m"] for r in v.groupBy(near.alias("c")).agg(F.avg("v").alias("m")).collect()}
         centers = [sums.get(i, c) for i, c in enumerate(centers)]
+    v.unpersist()
     return spark.createDataFrame([(i, float(c)) for i, c in enumerate(centers)], "cluster int, center double")

@@ -46,6 +46,12 @@ def forward_rows(df: DataFrame, by: list[str], order: list[str], value: Column,
     return df.withColumn(name, F.collect_list(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(0, count - 1)))
 
 
+def forward_sum(df: DataFrame, by: list[str], order: list[str], value: Column, count: int) -> DataFrame:
+    """Adds n and total of this and the next count - 1 rows, fewer at the end."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(0, count - 1)
+    return df.withColumns({"n": F.count(value).over(w), "total": F.sum(value).over(w)})
+
+
 def all_next_at_least(df: DataFrame, by: list[str], order: list[str], value: Column, k: int, least: float, name: str) -> DataFrame:
     """Whether the next k rows are all there and at least so large."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1, k)

@@ -29,9 +29,8 @@ def wildcard(column: Column, wanted: int) -> Column:
 
 def fields(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, field, value (canonical text): one row for each field that is there, explicit nulls included."""
-    rows.createOrReplaceTempView("__trace_rows")
-    cols = ", ".join(f"t.`{k}`" for k in keys)
-    return rows.sparkSession.sql(f"SELECT {cols}, e.key AS field, e.value AS value FROM __trace_rows t, LATERAL variant_explode(t.row) e")
+    each = rows.sparkSession.tvf.variant_explode(F.col("t.row").outer()).alias("e")
+    return rows.alias("t").lateralJoin(each).select(*[F.col(f"t.`{k}`") for k in keys], F.col("e.key").alias("field"), F.col("e.value").alias("value"))
 
 
 def project(rows: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:

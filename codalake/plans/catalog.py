@@ -189,7 +189,7 @@ def match_rates_pp(spark, sf_dir):
 
 @query("SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.95) AS p95, quantile_disc(l_quantity, 0.99) AS p99 FROM lineitem GROUP BY 1")
 def pctl_nearest_rank(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[agg.nearest_rank("l_quantity", p).alias(f"p{p}") for p in (50, 95, 99)])
+    return agg.percentiles(read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", [50, 95, 99])
 
 
 @query("""
@@ -250,9 +250,8 @@ SELECT event_id, count(value) OVER w AS n, round(sum(value) OVER w, 4) AS total
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)""")
 def rolling_window(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    out = ordered.forward_rows(e, ["user_id"], ["ts", "event_id"], F.col("value"), 8, "values")
-    total = F.aggregate("values", F.lit(0.0), lambda acc, x: acc + x)
-    return out.select("event_id", F.size("values").cast("bigint").alias("n"), r(total).alias("total"))
+    out = ordered.forward_sum(e, ["user_id"], ["ts", "event_id"], F.col("value"), 8)
+    return out.select("event_id", "n", r("total").alias("total"))
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS remaining FROM events")
@@ -288,26 +287,56 @@ def leaky_bucket(spark, sf_dir):
     return out.select("event_id", (r("level") + 0.0).alias("level"))  # no negative zero
 
 
-@query()
+_N = "n AS (SELECT event_id, user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
+
+
+@query(f"""
+WITH RECURSIVE {_N}, s AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 200.0::DOUBLE AS level, 0 AS factor, 0 AS cnt, false AS dropped FROM n
+  UNION ALL
+  SELECT user_id, rn, event_id, l - CASE WHEN d THEN 0 ELSE value END, f, CASE WHEN l < 0 THEN c WHEN f = 0 THEN 0 WHEN d THEN c - 1 ELSE f END, d FROM (
+    SELECT *, l < 0 OR (f > 0 AND c > 0) AS d FROM (
+      SELECT *, CASE WHEN l < 0 THEN f0 WHEN l > 120 AND f0 > 0 THEN f0 - 1 WHEN l <= 120 AND f0 = 0 THEN 1 ELSE f0 END AS f FROM (
+        SELECT n.user_id, n.rn, n.event_id, n.value, least(s.level + 60, 500) AS l, s.factor AS f0, s.cnt AS c FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1))))
+SELECT event_id, user_id, round(level, 4) AS level, dropped FROM s WHERE rn > 0""")
 def drop_automaton(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
     out = folds.drop_automaton(e, "user_id", ["ts", "event_id"], "value", 60.0, 500.0, 200.0, 60)
     return out.select("event_id", "user_id", r("level").alias("level"), "dropped")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_N}, s AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 3::BIGINT AS cap, 0 AS slow, 0 AS fast FROM n
+  UNION ALL
+  SELECT user_id, rn, event_id, cap - (sl >= 2)::INT + (fa >= 6)::INT, CASE WHEN sl >= 2 THEN 0 ELSE sl END, CASE WHEN fa >= 6 THEN 0 ELSE fa END FROM (
+    SELECT n.user_id, n.rn, n.event_id, s.cap, CASE WHEN n.value > 80 AND s.cap > 1 THEN s.slow + 1 ELSE 0 END AS sl,
+           CASE WHEN 4 * n.value < 120 AND s.cap < 3 THEN s.fast + 1 ELSE 0 END AS fa FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1))
+SELECT event_id, user_id, cap FROM s WHERE rn > 0""")
 def cap_backoff(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", F.lit(40.0).alias("due"), F.lit(3).cast("bigint").alias("want"))
     return folds.cap_controller(e, "user_id", ["ts", "event_id"], "value", "due", "want", 2, 6).select("event_id", "user_id", "cap")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_N}, s AS (
+  SELECT user_id, rn, event_id, trunc(value * 100)::BIGINT AS rolling FROM n WHERE rn = 1
+  UNION ALL
+  SELECT n.user_id, n.rn, n.event_id, ((3 * s.rolling + trunc(n.value * 100)::BIGINT + 2) // 4)::BIGINT FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1)
+SELECT event_id, user_id, rolling FROM s""")
 def rolling_average(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("value") * 100).cast("bigint").alias("bits"))
     return folds.rolling_average(e, "user_id", ["ts", "event_id"], "bits").select("event_id", "user_id", "rolling")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_N}, s AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 0::BIGINT AS next_id, -1::BIGINT AS base, NULL::BIGINT AS sig, NULL::BIGINT AS picture_id FROM n
+  UNION ALL
+  SELECT user_id, rn, event_id, CASE WHEN again THEN next_id ELSE (next_id + 1) % 32768 END, base + (NOT gone AND event_id % 3 = 0)::INT, CASE WHEN gone THEN event_id % 4 END, CASE WHEN NOT again THEN next_id END FROM (
+    SELECT n.user_id, n.rn, n.event_id, s.next_id, s.base, n.event_type = 'error' AS gone, n.event_type = 'error' AND s.sig IS NOT DISTINCT FROM n.event_id % 4 AS again
+    FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1))
+SELECT event_id, user_id, picture_id, greatest(base, 0) % 256 AS tl0 FROM s WHERE rn > 0""")
 def picture_sequence(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_id") % 3).alias("layer"), (F.col("event_type") == "error").alias("dropped"), (F.col("event_id") % 4).alias("signature"))
     return folds.picture_ids(e, "user_id", ["ts", "event_id"], "layer", "dropped", "signature").select("event_id", "user_id", "picture_id", "tl0")
@@ -327,7 +356,16 @@ def assemble_ordered(spark, sf_dir):
     return packets.assemble(packets.packetize(d, "text", 1200, 1100), ["doc_id"]).select("doc_id", F.md5("payload").alias("payload_md5"))
 
 
-@query()
+def _kmeans_sql(k: int = 8, rounds: int = 10) -> str:
+    """Each round by itself: the nearest centre of every value, and the mean of every centre's values."""
+    steps = [f"k0 AS (SELECT i AS idx, (SELECT list(value ORDER BY value) FROM e)[((2 * i + 1) * (SELECT count(*) FROM e)) // {2 * k} + 1] AS center FROM (SELECT unnest(range(0, {k})) AS i))"]
+    for i in range(rounds):
+        near = f"(SELECT event_id, any_value(value) AS value, min(struct_pack(d := abs(value - center), i := idx)).i AS idx FROM e, k{i} GROUP BY event_id)"
+        steps.append(f"k{i + 1} AS (SELECT c.idx, coalesce(avg(a.value), any_value(c.center)) AS center FROM k{i} c LEFT JOIN {near} a ON a.idx = c.idx GROUP BY c.idx)")
+    return f"WITH e AS (SELECT event_id, value FROM events WHERE value IS NOT NULL), {', '.join(steps)} SELECT idx::INT AS cluster, round(center, 4) AS center FROM k{rounds}"
+
+
+@query(_kmeans_sql())
 def kmeans1d_10(spark, sf_dir):
     return folds.kmeans_1d_distributed(read(spark, sf_dir, "events"), "value").select("cluster", r("center").alias("center"))
 
@@ -424,9 +462,9 @@ def value_scale(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(*agg.padded_range(F.col("value"))).withColumns({"low": r("low"), "high": r("high")})
 
 
-@query("SELECT count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'signup') AS n_signup FROM events")
+@query("SELECT " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS n_{t}" for t in ("click", "view", "purchase", "error", "signup")) + " FROM events")
 def drop_reasons(spark, sf_dir):
-    return agg.drop_reasons(read(spark, sf_dir, "events"), "event_type", ["error", "signup"])
+    return agg.drop_reasons(read(spark, sf_dir, "events"), "event_type", ["click", "view", "purchase", "error", "signup"])
 
 
 @query("""
@@ -527,19 +565,23 @@ def running_streak(spark, sf_dir):
 
 @query("SELECT event_type, round(avg(value), 4) AS mean, round(median(value), 4) AS median, floor(sum(value::DECIMAL(18, 2)) / count(*))::BIGINT AS whole FROM events GROUP BY 1")
 def means(spark, sf_dir):
-    e = read(spark, sf_dir, "events").groupBy("event_type")
-    return e.agg(r(agg.mean_finite(F.col("value"))).alias("mean"), r(agg.median_or_nan(F.col("value"))).alias("median"), agg.integer_mean(F.sum(F.col("value").cast("decimal(18,2)")), F.count(F.lit(1))).cast("bigint").alias("whole"))
+    e = read(spark, sf_dir, "events").select("event_type", "value")
+    middle = agg.medians(e, ["event_type"], "value").select("event_type", r(F.coalesce("median", F.lit(float("nan")))).alias("median"))
+    out = e.groupBy("event_type").agg(r(agg.mean_finite(F.col("value"))).alias("mean"), agg.integer_mean(F.sum(F.col("value").cast("decimal(18,2)")), F.count(F.lit(1))).cast("bigint").alias("whole"))
+    return out.join(middle, "event_type").select("event_type", "mean", "median", "whole")
 
 
-@query("SELECT conv_id, count(*) AS frames, sum(strlen(text))::BIGINT AS bytes FROM (SELECT * FROM conversations WHERE strlen(text) > 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 8) GROUP BY 1")
+@query("""
+WITH n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 8 AS packet_no FROM conversations WHERE strlen(text) > 0)
+SELECT conv_id, packet_no, count(*) AS frames, sum(strlen(text))::BIGINT AS bytes FROM n GROUP BY 1, 2""")
 def superframe_round_trip(spark, sf_dir):
-    """Packs the first eight turns of a conversation into a superframe and reads it again."""
+    """Packs the turns of a conversation into superframes, eight at a time, and reads them again."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("text")).where(F.length("text") > 0)
-    first = compare.numbered(c, ["conv_id"], ["turn"]).where("position <= 8")
-    packed = first.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("f")).select("conv_id", rtp.packed_superframe("f").alias("packet"))
-    frames = packed.select("conv_id", rtp.superframe_frames("packet").alias("f"))
+    at = compare.numbered(c, ["conv_id"], ["turn"]).withColumn("packet_no", F.floor((F.col("position") - 1) / 8))
+    packed = at.groupBy("conv_id", "packet_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("f")).select("conv_id", "packet_no", rtp.packed_superframe("f").alias("packet"))
+    frames = packed.select("conv_id", "packet_no", rtp.superframe_frames("packet").alias("f"))
     total = F.aggregate("f", F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))
-    return frames.select("conv_id", F.size("f").cast("bigint").alias("frames"), total.alias("bytes"))
+    return frames.select("conv_id", "packet_no", F.size("f").cast("bigint").alias("frames"), total.alias("bytes"))
 
 
 @query("SELECT doc_id, md5(text) AS payload_md5 FROM documents WHERE strlen(text) > 0")

@@ -11,11 +11,14 @@ CHECKSUM = "idx int, width int, height int, key_frame boolean, show_frame boolea
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no (in file order, from 0), value; blank lines are left out.
 
-    Numbers come from a line's place in its file, whichever task read it: the order is by partition and place within it.
+    Lines are numbered within each block of a file that a task has read, and then get what earlier blocks hold.
     """
-    at = spark.read.text(path).withColumns({"path": F.input_file_name(), "__at": F.monotonically_increasing_id()})
+    at = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
     kept = at.where(F.length(F.trim("value")) > 0)
-    return kept.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("__at")) - 1).select("path", "line_no", "value")
+    sizes = kept.groupBy("path", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
+    numbered = kept.withColumn("__k", F.row_number().over(Window.partitionBy("path", "__block").orderBy("__at")))
+    return numbered.join(sizes.select("path", "__block", before.alias("__before")), ["path", "__block"]).select("path", (F.col("__k") - 1 + F.col("__before")).cast("int").alias("line_no"), "value")
 
 
 def trace_rows(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -67,10 +70,15 @@ def encode_summary(df: DataFrame, size: str, q: str, shown: Column) -> DataFrame
 def baselines(spark: SparkSession, path: str) -> DataFrame:
     """fixture, metric, value (a variant) of {"fixtures": {fixture: {metric: value}}} files."""
     df = spark.read.option("wholetext", "true").text(path).select(F.parse_json("value").alias("j"))
-    df.createOrReplaceTempView("__baselines")
-    return spark.sql(
-        "SELECT f.key AS fixture, m.key AS metric, m.value AS value FROM __baselines b, LATERAL variant_explode(variant_get(b.j, '$.fixtures', 'variant')) f, LATERAL variant_explode(f.value) m"
-    )
+    return baseline_metrics(df, "j")
+
+
+def baseline_metrics(df: DataFrame, column: str) -> DataFrame:
+    """fixture, metric, value of a variant column of such objects."""
+    tvf = df.sparkSession.tvf
+    fixtures = df.select(F.variant_get(column, "$.fixtures", "variant").alias("j")).alias("b").lateralJoin(tvf.variant_explode(F.col("b.j").outer()).alias("f"))
+    each = fixtures.select(F.col("f.key").alias("fixture"), F.col("f.value").alias("v")).alias("x").lateralJoin(tvf.variant_explode(F.col("x.v").outer()).alias("m"))
+    return each.select("x.fixture", F.col("m.key").alias("metric"), F.col("m.value").alias("value"))
 
 
 def write_events(df: DataFrame, path: str) -> None:

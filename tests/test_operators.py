@@ -134,3 +134,29 @@ def test_tile_schedule(spark):
         got = ordered.tile_schedule(df, "f", ["i"], "s", workers).orderBy("f", "place").collect()
         for n, sizes in frames.items():
             assert [x["i"] for x in got if x["f"] == n] == brute(sizes, workers)
+
+
+def test_fold_null_keys(spark):
+    """A null stream key is one stream, as any other key is."""
+    rows = [(None, 1, 100), (None, 2, 200), (None, 3, 300), (7, 1, 100), (7, 2, 200), (7, 3, 300)]
+    out = folds.rolling_average(spark.createDataFrame(rows, "k int, i int, v int"), "k", ["i"], "v").collect()
+    assert {(r["k"], r["i"]): r["rolling"] for r in out} == {(k, i): v for k in (None, 7) for i, v in ((1, 100), (2, 125), (3, 169))}
+
+
+def test_order_statistics(spark):
+    """Against sorting, with ties, null groups and a group of one."""
+    import random
+
+    r = random.Random(3)
+    groups = {"a": [r.randint(0, 9) for _ in range(101)], "b": [r.random() for _ in range(40)], None: [5.0, 5.0, 1.0], "c": [2.0]}
+    df = spark.createDataFrame([(g, float(v), i) for g, vs in groups.items() for i, v in enumerate(vs)], "g string, v double, i int")
+    got = {x["g"]: x for x in aggregates.percentiles(df, ["g"], "v", [1, 50, 95, 100]).collect()}
+    middle = {x["g"]: x["median"] for x in aggregates.medians(df, ["g"], "v").collect()}
+    row = {x["g"]: (x["v"], x["i"]) for x in aggregates.upper_median_row(df, ["g"], ["v", "i"]).collect()}
+    for g, vs in groups.items():
+        s, n = sorted(vs), len(vs)
+        assert [got[g][f"p{p}"] for p in (1, 50, 95, 100)] == [s[max(1, -(-n * p // 100)) - 1] for p in (1, 50, 95, 100)]
+        assert middle[g] == (s[(n + 1) // 2 - 1] + s[n // 2]) / 2
+        if g is not None:
+            assert row[g] == sorted((float(v), i) for i, v in enumerate(vs))[n // 2]
+    assert aggregates.percentiles(df.limit(0), ["g"], "v", [50]).count() == 0
