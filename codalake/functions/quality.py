@@ -61,6 +61,12 @@ def visible(plane: bytes, stride: int, width: int, height: int) -> bytes:
     return b"".join(plane[r * stride : r * stride + width] for r in range(height))
 
 
+def visible_rows(plane: Column, stride: int, width: int, height: int) -> Column:
+    """The same as an expression."""
+    rows = F.array(*[F.hex(F.substring(plane, r * stride + 1, width)) for r in range(height)])
+    return F.unhex(F.array_join(rows, ""))
+
+
 def _points(points) -> tuple[np.ndarray, np.ndarray]:
     rates, psnrs = (np.array(x, float) for x in zip(*sorted(points), strict=True)) if points else (np.zeros(0), np.zeros(0))
     if len(rates) < 4:

@@ -348,6 +348,39 @@ def vp8_frame(fragments: Column | str) -> Column:
     return run(fragments)
 
 
+def vp9_packets(frame: Column | str, mtu: int, desc: dict | None = None) -> Column:
+    """array<struct<payload, marker>> of a frame; null for an empty one."""
+
+    @F.pandas_udf("array<struct<payload:binary,marker:boolean>>")
+    def run(rows: pd.Series) -> pd.Series:
+        cut = lambda f: [{"payload": p, "marker": m} for p, m in packetize_vp9(desc or {}, bytes(f), mtu)] if f else None
+        return rows.map(cut)
+
+    return run(frame)
+
+
+def vp9_frame(fragments: Column | str) -> Column:
+    """The frame of an ordered array of structs with payload and marker; null where they are no whole frame."""
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        def one(f):
+            try:
+                return None if f is None else assemble_vp9([bytes(x["payload"]) for x in f], [bool(x["marker"]) for x in f])
+            except ValueError:
+                return None
+
+        return rows.map(one)
+
+    return run(fragments)
+
+
+def little_endian(value: Column, width: int) -> Column:
+    """A whole number as so many bytes, the lowest first."""
+    digits = F.lpad(F.hex(value.cast("bigint")), 2 * width, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))]))
+
+
 def next_id(value: Column, bits: int) -> Column:
     """A sequence number of so many bits, plus one."""
     return (value + 1).bitwiseAND((1 << bits) - 1)

@@ -155,3 +155,15 @@ def temporal_patterns(spark: SparkSession) -> DataFrame:
     """mode, idx, layer, decimator: the patterns as a dimension table."""
     rows = [(mode, i, layer, decimators[layer]) for mode, (layers, decimators) in TEMPORAL_PATTERNS.items() for i, layer in enumerate(layers)]
     return spark.createDataFrame(rows, "mode string, idx int, layer int, decimator int")
+
+
+def clamp_frame_rate(fps: Column) -> Column:
+    """A rate below 0.1 is none, and counts as 30."""
+    return F.when(fps < 0.1, F.lit(30.0)).otherwise(fps)
+
+
+def greatest_divisor(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two positive whole numbers by Euclid's rule in at most 64 steps, as an expression."""
+    pair = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+    halve = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.greatest(s["b"], F.lit(1))).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), pair, halve)["a"]

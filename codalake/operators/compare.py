@@ -121,3 +121,34 @@ def matched_prefix(zipped: DataFrame, by: list[str], same: Column) -> DataFrame:
     """Length of the longest common prefix of each group of a full positional zip."""
     ok = F.coalesce(same, F.lit(False))
     return zipped.groupBy(*by).agg((F.coalesce(F.min(F.when(~ok, F.col("position"))), F.max("position") + 1) - 1).alias("prefix"))
+
+
+def zip_many(series: list[DataFrame], by: list[str], order: list[str]) -> DataFrame:
+    """The k-th rows of several tables side by side in each group, as far as the shortest goes: by, position and their values.
+
+    All sides are numbered in one pass and meet in one aggregation, not in a join for each.
+    """
+    names = [[c for c in s.columns if c not in (*by, *order)] for s in series]
+    tagged = None
+    for i, (s, own) in enumerate(zip(series, names, strict=True)):
+        at = numbered(s, by, order).select(*by, "position", F.lit(i).alias("__i"), *[F.col(c) if k == i else F.lit(None).cast(dict(series[k].dtypes)[c]).alias(c) for k, cols in enumerate(names) for c in cols])
+        tagged = at if tagged is None else tagged.unionByName(at)
+    out = tagged.groupBy(*by, "position").agg(F.count(F.lit(1)).alias("__n"), *[F.max(F.when(F.col("__i") == i, F.col(c))).alias(c) for i, cols in enumerate(names) for c in cols])
+    return out.where(F.col("__n") == len(series)).drop("__n")
+
+
+def join_by_pts(frames: DataFrame, source: DataFrame, pts: str, index: str, key: str, size: int) -> DataFrame:
+    """Each frame with its source by timestamp, or by index where the timestamp is not below the source's size."""
+    at = frames.withColumn("__at", F.when((F.col(pts) >= 0) & (F.col(pts) < size), F.col(pts)).otherwise(F.col(index)))
+    return at.join(source, F.col("__at") == F.col(key)).drop("__at")
+
+
+def post_drop_drift(df: DataFrame, by: list[str], order: list[str], left: Column, right: Column) -> DataFrame:
+    """One row: how far the next kept values of both sides differ after each row that either side drops (its value is null
+    there): max_drift, mean_drift, left_mean, right_mean, n. Rows without a next value on one side don't count."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    at = df.select((left.isNull() | right.isNull()).alias("__drop"), F.first(left, ignorenulls=True).over(w).alias("l"), F.first(right, ignorenulls=True).over(w).alias("r"))
+    some = at.where(F.col("__drop") & F.col("l").isNotNull() & F.col("r").isNotNull())
+    drift = F.abs(F.col("l") - F.col("r"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return some.agg(zero(F.max(drift)).alias("max_drift"), zero(F.avg(drift)).alias("mean_drift"), zero(F.avg("l")).alias("left_mean"), zero(F.avg("r")).alias("right_mean"), F.count(F.lit(1)).alias("n"))

@@ -142,6 +142,18 @@ def cap_controller(df: DataFrame, by: str, order: list[str], elapsed: str, inter
     return ordered_fold(df, by, order, [elapsed, interval, requested], lambda: Cap(-1, -1), step, "cap bigint")
 
 
+def repair_cap(df: DataFrame, by: str, order: list[str], repair: str, progress: str, cap: int, lower_after: int) -> DataFrame:
+    """Adds cap: so many repairs without progress between them lower it by one, down to 1, and begin anew."""
+
+    def step(s: dict, asked, moved) -> tuple[int]:
+        s["streak"] = s["streak"] + 1 if asked else 0 if moved else s["streak"]
+        if s["streak"] >= lower_after and s["cap"] > 1:
+            s["cap"], s["streak"] = s["cap"] - 1, 0
+        return (s["cap"],)
+
+    return ordered_fold(df, by, order, [repair, progress], lambda: {"cap": cap, "streak": 0}, step, "cap bigint")
+
+
 def skin_smoothing(df: DataFrame, key: str, rows: str, cols: str, cells: str) -> DataFrame:
     """key, smoothed: inner cells of a 0/1 map in raster order, each seeing the earlier changes. A set cell without
     set neighbours is cleared, a clear one with eight set neighbours is set; maps below 3 x 3 stay."""

@@ -40,3 +40,18 @@ def stalls(df: DataFrame, by: list[str], ts: str, progress: Column, timeout_seco
     last = F.last(F.when(progress, F.col(ts)), ignorenulls=True).over(w)
     at = df.withColumn("__last", last).withColumn("idle_us", F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("__last").cast("timestamp")))
     return at.where(~progress & (F.col("idle_us") > timeout_seconds * 1_000_000)).drop("__last")
+
+
+def alerts(summary: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
+    """keys, alert: one row for each rule that holds for a summary (a null does not)."""
+    each = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()]))
+    return summary.select(*keys, F.explode(each).alias("alert"))
+
+
+def inbound_video(reports: Column, counters: list[str]) -> Column:
+    """Counters of the last inbound video report of a variant map of reports, as doubles; null where a counter is not a finite
+    number, and the struct's fields are all null without such a report."""
+    each = F.map_values(F.from_json(F.to_json(reports), "map<string, struct<type: string, kind: string, mediaType: string, " + ", ".join(f"{c}: double" for c in counters) + ">>"))
+    video = F.filter(each, lambda x: (x["type"] == "inbound-rtp") & ((x["kind"] == "video") | (x["mediaType"] == "video")))
+    last = F.try_element_at(video, F.lit(-1))
+    return F.struct(*[finite(last[c]).alias(c) for c in counters])

@@ -48,3 +48,15 @@ def limit_layers(layers: Column, count: int) -> Column:
     kept = F.slice(layers, 1, count)
     bad = F.exists(F.transform(kept, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: y["x"]["dropped"] | (F.coalesce(F.length(y["x"]["payload"]), F.lit(0)) == 0) | (y["x"]["layer"] != y["i"]))
     return F.when(~bad & (F.size(kept) == count), kept)
+
+
+def access_units(frames: DataFrame, keys: list[str], layer: str) -> DataFrame:
+    """keys, layers: the layers of each access unit in order, as structs of the other columns."""
+    rest = [c for c in frames.columns if c not in (*keys, layer)]
+    return frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(layer, *rest))).alias("layers"))
+
+
+def fan_out(df: DataFrame, percents: list[int]) -> DataFrame:
+    """Each row once for each rung of a ladder: adds rung (from 0) and percent."""
+    rungs = F.array(*[F.struct(F.lit(i).alias("rung"), F.lit(p).alias("percent")) for i, p in enumerate(percents)])
+    return df.withColumn("__r", F.explode(rungs)).select(*df.columns, "__r.rung", "__r.percent")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,24 @@ def except_both_ways(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def union_keys(df: DataFrame, maps: str) -> DataFrame:
     """The distinct keys of a map column."""
     return df.select(F.explode(F.map_keys(maps)).alias("key")).distinct()
+
+
+def first_rows(df: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first rows by an order that has no ties: the cap of a listing."""
+    return df.orderBy(*order).limit(most)
+
+
+def numbered_first(df: DataFrame, order: list[str], most: int, name: str) -> DataFrame:
+    """The first rows with their number from 0; fewer where there are fewer. Only `most` rows are numbered."""
+    few = df.orderBy(*order).limit(max(0, most))
+    return few.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint")).select(name, *df.columns)
+
+
+def equal_lists(df: DataFrame, by: list[str], order: list[str], a: str, b: str) -> DataFrame:
+    """by, same: whether two columns are equal row by row in each group; compared row by row, without gathering them."""
+    return df.groupBy(*by).agg((F.count_if(~F.col(a).eqNullSafe(F.col(b))) == 0).alias("same"))
+
+
+def finite_union(df: DataFrame, keys: list[str], series: list[str], name: str) -> DataFrame:
+    """keys and every finite value of the series, with repetitions."""
+    return df.select(*keys, F.explode(F.array(*series)).alias(name)).where(F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) != float("inf")))

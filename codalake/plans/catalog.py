@@ -15,18 +15,24 @@ from codalake.functions import headers, rtp, scalars
 from codalake.operators import aggregates as agg
 from codalake.operators import compare, folds, intervals, ordered, packets, sets, traces
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+def registry() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str], Callable]:
+    """Queries by name, their SQL by name, and the decorator that adds to both."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    oracle_sql: dict[str, str] = {}
 
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracle_sql[f.__name__] = sql
+            return f
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+        return add
 
-    return add
+    return queries, oracle_sql, query
+
+
+QUERIES, ORACLE_SQL, query = registry()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -298,11 +304,11 @@ WITH RECURSIVE {_N}, s AS (
     SELECT *, l < 0 OR (f > 0 AND c > 0) AS d FROM (
       SELECT *, CASE WHEN l < 0 THEN f0 WHEN l > 120 AND f0 > 0 THEN f0 - 1 WHEN l <= 120 AND f0 = 0 THEN 1 ELSE f0 END AS f FROM (
         SELECT n.user_id, n.rn, n.event_id, n.value, least(s.level + 60, 500) AS l, s.factor AS f0, s.cnt AS c FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1))))
-SELECT event_id, user_id, round(level, 4) AS level, dropped FROM s WHERE rn > 0""")
+SELECT event_id, user_id, round(level, 4) + 0.0 AS level, dropped FROM s WHERE rn > 0""")
 def drop_automaton(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
     out = folds.drop_automaton(e, "user_id", ["ts", "event_id"], "value", 60.0, 500.0, 200.0, 60)
-    return out.select("event_id", "user_id", r("level").alias("level"), "dropped")
+    return out.select("event_id", "user_id", (r("level") + 0.0).alias("level"), "dropped")  # no negative zero
 
 
 @query(f"""

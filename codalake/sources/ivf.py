@@ -48,9 +48,13 @@ def build(fourcc: str, width: int, height: int, payloads: list[bytes], den: int
 
 def read_ivf(spark: SparkSession, path: str, glob: str = "*.ivf") -> DataFrame:
     """One row per frame of all matching files below path; a broken file fails the read."""
+    return parse_ivf(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content"))
+
+
+def parse_ivf(files: DataFrame) -> DataFrame:
+    """One row per frame of files given as path and content."""
     from decimal import Decimal
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
     names = [x.split()[0] for x in SCHEMA.replace("decimal(20,0)", "d").split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

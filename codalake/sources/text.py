@@ -46,6 +46,33 @@ def metric_values(spark: SparkSession, path: str, key: str) -> DataFrame:
     return lines(spark, path).select("path", "line_no", found.alias("m")).where("m <> ''").select("path", "line_no", F.col("m").cast("double").alias("metric"))
 
 
+def metric_of(value: Column, key: str) -> Column:
+    """The first key:value of a line as a number; null without one."""
+    found = F.regexp_extract(value, rf"(?:^|\s){key}:([-+0-9.eE]+|inf|nan)", 1)
+    return F.when(found != "", found.try_cast("double"))
+
+
+# The keys under which a frame's VMAF stands, in the order of preference.
+VMAF_KEYS = ["vmaf", "integer_vmaf", "vmaf_score", "VMAF_score"]
+
+
+def vmaf_frames(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, frame (from 0), vmaf of {"frames": [{"metrics": {name: value}}]} texts: the first of VMAF_KEYS that is there, or else the
+    first other key that ends in 'vmaf' in any case; null for a frame without one (which makes the file unusable)."""
+    frames = df.select(key, F.posexplode(F.from_json(F.col(text), "frames array<struct<metrics: map<string, double>>>")["frames"]).alias("frame", "f"))
+    metrics = F.col("f.metrics")
+    other = F.filter(F.array_sort(F.map_keys(metrics)), lambda k: F.lower(k).endswith("vmaf"))
+    named = [F.try_element_at(metrics, F.lit(k)) for k in VMAF_KEYS]
+    return frames.select(key, "frame", F.coalesce(*named, F.try_element_at(metrics, F.get(other, 0))).alias("vmaf"))
+
+
+def elapsed_ms(value: Column) -> Column:
+    """The time that an encoder has printed as '<n> us', '<n> ms' or '<n> s' in milliseconds; null without one."""
+    number, unit = (F.regexp_extract(value, r"([0-9]+(?:\.[0-9]+)?)\s*(us|ms|s)\b", i) for i in (1, 2))
+    scale = F.when(unit == "us", 0.001).when(unit == "ms", 1.0).otherwise(1000.0)
+    return F.when(number != "", number.try_cast("double") * scale)
+
+
 def key_values(value: Column, names: list[str], pair: str = r"\s+", equals: str = "=") -> Column:
     """A struct of whole numbers from key=value text; null if one is missing or there is another key."""
     found = F.str_to_map(F.trim(value), F.lit(pair), F.lit(equals))

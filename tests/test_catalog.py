@@ -6,7 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from codalake.plans.catalog import ORACLE_SQL, QUERIES
+from codalake.plans import catalog, media
+
+QUERIES, ORACLE_SQL = catalog.QUERIES | media.QUERIES, catalog.ORACLE_SQL | media.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,12 +33,11 @@ def test_query(spark, duck, name):
     cols = sorted(df.columns)
     got = sorted(tuple(map(norm, r)) for r in df.select(cols).collect())
     assert got or name == "stall_detector"
-    if name in ORACLE_SQL:
-        cur = duck.execute(ORACLE_SQL[name])
-        names = [d[0] for d in cur.description]
-        assert sorted(names) == cols
-        at = [names.index(c) for c in cols]
-        assert got == sorted(tuple(norm(r[i]) for i in at) for r in cur.fetchall())
+    cur = duck.execute(ORACLE_SQL[name])  # every query here has its SQL
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == cols
+    at = [names.index(c) for c in cols]
+    assert got == sorted(tuple(norm(r[i]) for i in at) for r in cur.fetchall())
 
 
 def test_entry(spark):

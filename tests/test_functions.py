@@ -134,3 +134,28 @@ def test_allows_frame(spark):
     size = [F.col(c) for c in ("w", "h", "fps")]
     got = df.select(sdp.vp8_allows_frame(sdp.vp8_caps(F.col("t")), *size), sdp.vp9_allows_frame(sdp.vp9_caps(F.col("t")), *size)).collect()
     assert [tuple(r) for r in got] == [r[4:] for r in rows]
+
+
+def test_session_descriptions(spark):
+    """Scoping by section, port, direction and payload type."""
+    from codalake.functions import sdp
+
+    video = "m=video 9 RTP 96\r\na=rtpmap:96 VP8/90000\r\n"
+    cases = [
+        ("v=0\r\n" + video, True, True, True),
+        (video.replace(" 9 ", " 0 "), False, False, False),
+        (video.replace(" 9 ", " 00/2 "), False, False, False),
+        (video + "a=inactive\r\n", False, False, False),
+        ("a=inactive\r\n" + video + "a=sendonly", True, False, True),
+        ("a=recvonly\r\n" + video, True, True, False),
+        (video.replace("video", "audio"), False, False, False),
+        (video.replace("rtpmap:96", "rtpmap:97"), False, False, False),
+        ("m=video 9 RTP\r\na=rtpmap:96 VP8/90000\r\n", False, False, False),
+        (video + "a=inactive\r\n" + video.replace("96", "100"), True, True, True),
+        ("", False, False, False),
+        (None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, s string").withColumn("m", sdp.media_sections(F.col("s")))
+    m = F.col("m")
+    got = df.select("i", sdp.vp8_negotiates(m), sdp.vp8_negotiates(m, sdp.RECEIVES), sdp.vp8_negotiates(m, sdp.SENDS)).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [c[1:] for c in cases]

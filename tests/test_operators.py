@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from codalake.operators import compare, folds, ordered, packets, sets
+from codalake.operators import aggregates, compare, folds, ordered, packets, sets
 from codalake.streaming import stateful
 
 
