@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parameters(fmtp: Column, lower: bool = False) -> Column:
     """array<struct<k, v>> of the trimmed non-empty parts; v is null for a part without '='."""
     def one(x: Column) -> Column:
@@ -25,13 +32,15 @@ def _cap(params: Column, key: str) -> tuple[Column, Column]:
 
 
 def _caps(fmtp: Column, lower: bool, required: bool) -> Column:
-    params = parameters(fmtp, lower)
-    fr, fr_ok = _cap(params, "max-fr")
-    fs, fs_ok = _cap(params, "max-fs")
-    ok = fr_ok & fs_ok & ~F.exists(params, lambda x: x["v"].isNull())
-    if required:
-        ok = ok & fr.isNotNull() & fs.isNotNull()
-    return F.when(ok, F.struct(F.coalesce(fr, F.lit(0)).alias("max_fr"), F.coalesce(fs, F.lit(0)).alias("max_fs")))
+    def of(params: Column) -> Column:
+        fr, fr_ok = _cap(params, "max-fr")
+        fs, fs_ok = _cap(params, "max-fs")
+        ok = fr_ok & fs_ok & ~F.exists(params, lambda x: x["v"].isNull())
+        if required:
+            ok = ok & fr.isNotNull() & fs.isNotNull()
+        return F.when(ok, F.struct(F.coalesce(fr, F.lit(0)).alias("max_fr"), F.coalesce(fs, F.lit(0)).alias("max_fs")))
+
+    return let(parameters(fmtp, lower), of)
 
 
 def vp8_caps(fmtp: Column) -> Column:
@@ -61,10 +70,14 @@ def macroblocks(width: Column, height: Column) -> Column:
 def _allows(caps: Column, width: Column, height: Column, fps: Column, most: int) -> Column:
     """Each side has floor(sqrt(8 * max_fs)) blocks at most; a cap of 0 is no limit."""
     side = lambda x: F.floor((x + 15) / 16)
-    limit = F.floor(F.sqrt(caps["max_fs"].cast("double") * 8))
-    slow = (caps["max_fr"] == 0) | (fps <= caps["max_fr"])
-    small = (caps["max_fs"] == 0) | ((macroblocks(width, height) <= caps["max_fs"]) & (side(width) <= limit) & (side(height) <= limit))
-    return F.when(caps.isNotNull() & (fps > 0) & width.between(1, most) & height.between(1, most), slow & small)
+
+    def of(c: Column) -> Column:
+        limit = F.floor(F.sqrt(c["max_fs"].cast("double") * 8))
+        slow = (c["max_fr"] == 0) | (fps <= c["max_fr"])
+        small = (c["max_fs"] == 0) | ((macroblocks(width, height) <= c["max_fs"]) & (side(width) <= limit) & (side(height) <= limit))
+        return F.when(c.isNotNull() & (fps > 0) & width.between(1, most) & height.between(1, most), slow & small)
+
+    return let(caps, of)
 
 
 def vp8_allows_frame(caps: Column, width: Column, height: Column, fps: Column) -> Column:

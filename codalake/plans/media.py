@@ -414,15 +414,15 @@ def next_before_gap(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS f, value AS s, 0.5 + (event_id % 50) / 100.0 AS d, event_type = 'purchase' AS stop FROM events),
+WITH RECURSIVE n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS f, value AS s, 0.5 + (event_id % 47) / 97.0 AS d, event_type = 'purchase' AS stop FROM events),
      w AS (SELECT event_id, user_id, f, 0 AS i, 0.0::DOUBLE AS total, 1.0::DOUBLE AS p, false AS ended FROM n
            UNION ALL
            SELECT w.event_id, w.user_id, w.f, w.i + 1, w.total + greatest(w.p * n.d, 0.1) * n.s, greatest(w.p * n.d, 0.1), n.stop FROM w JOIN n ON n.user_id = w.user_id AND n.f = w.f + w.i + 1 WHERE NOT w.ended AND w.i < 8)
-SELECT event_id, round(arg_max(total, i), 2) AS boost FROM w GROUP BY 1""")
+SELECT event_id, round(arg_max(total, i), 4) AS boost FROM w GROUP BY 1""")
 def decayed_boost(spark, sf_dir):
     """A bounded walk ahead with a floored decay that ends with the first purchase."""
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.lit(0.5) + (F.col("event_id") % 50) / 100.0).alias("d"), (F.col("event_type") == "purchase").alias("stop"))
-    return walks.decayed_boost(e, ["user_id"], ["event_id"], "value", "d", "stop", 8, "boost").select("event_id", r("boost", 2).alias("boost"))
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.lit(0.5) + (F.col("event_id") % 47) / 97.0).alias("d"), (F.col("event_type") == "purchase").alias("stop"))
+    return walks.decayed_boost(e, ["user_id"], ["event_id"], "value", "d", "stop", 8, "boost").select("event_id", r("boost").alias("boost"))
 
 
 @query("""
@@ -613,8 +613,8 @@ def encoder_rules(spark, sf_dir):
 
 @query("""
 SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 100 = floor(l_discount * 100) AND l_linenumber = 1 THEN l_partkey::VARCHAR ELSE rtrim(rtrim(printf('%.4f', l_partkey + 0.5), '0'), '.') END AS num, CASE WHEN l_linenumber = 1 THEN 'yes' ELSE 'no' END AS flag,
-       CASE WHEN l_linenumber = 3 THEN l_linenumber || ' ns' WHEN l_partkey < 1000 THEN printf('%.2f µs', (l_partkey * 1000 + 7) / 1000.0) ELSE printf('%.2f ms', (l_partkey * 1000 + 7) / 1000000.0) END AS took,
-       CASE WHEN l_linenumber = 3 THEN l_linenumber || ' B' WHEN l_partkey < 1024 THEN printf('%.2f KiB', (l_partkey * 1024 + 7) / 1024.0) ELSE printf('%.2f MiB', (l_partkey * 1024 + 7) / 1048576.0) END AS size, CASE WHEN l_linenumber = 2 OR l_suppkey <= 0 THEN '-' ELSE printf('%.2fx', l_suppkey / 4.0) END AS ratio,
+       CASE WHEN l_linenumber = 3 THEN l_linenumber || ' ns' WHEN l_partkey = 0 THEN '7 ns' WHEN l_partkey < 1000 THEN printf('%.2f µs', (l_partkey * 1000 + 7) / 1000.0) ELSE printf('%.2f ms', (l_partkey * 1000 + 7) / 1000000.0) END AS took,
+       CASE WHEN l_linenumber = 3 THEN l_linenumber || ' B' WHEN l_partkey = 0 THEN '7 B' WHEN l_partkey < 1024 THEN printf('%.2f KiB', (l_partkey * 1024 + 7) / 1024.0) ELSE printf('%.2f MiB', (l_partkey * 1024 + 7) / 1048576.0) END AS size, CASE WHEN l_linenumber = 2 OR l_suppkey <= 0 THEN '-' ELSE printf('%.2fx', l_suppkey / 4.0) END AS ratio,
        l_linenumber || ',' || printf('%.6f', l_discount) || ',' || printf('%.9f', l_tax) AS csv, printf('%dpp', 100 - l_linenumber) AS gap FROM lineitem WHERE l_linenumber > 1 OR l_discount * 100 = floor(l_discount * 100)""")
 def figures_as_text(spark, sf_dir):
     p, n = F.col("l_partkey"), F.col("l_linenumber")
