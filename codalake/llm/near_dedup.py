@@ -229,8 +229,8 @@ def _roots(docs: DataFrame, sketches: DataFrame, reps: DataFrame, percent: int,
     if live.isEmpty():
         return labels
     rare = scratch.keep("rare", _rare_first(sets, live.select("id", "comp").distinct(), percent))
-    labels = linked("labels-2", _middles(live, rare), labels)
-    scratch.drop("live", "mixed", "members", "ids")
+    labels = linked("labels-2", _middles(live, rare, scratch), labels)
+    scratch.drop("live", "central", "leads", "mixed", "members", "ids")
     return linked("labels-3", _prefix_pairs(rare, labels, percent, scratch), labels)
 
 
@@ -266,10 +266,11 @@ def _pair_of(left: str, right: str) -> list:
     ]
 
 
-def _middles(live: DataFrame, rare: DataFrame) -> DataFrame:
+def _middles(live: DataFrame, rare: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of each bucket's member with the most frequent shingles with its members of other components."""
-    rows = live.join(rare.select("id", "common"), "id")
+    rows = scratch.keep("central", live.join(rare.select("id", "common"), "id"))
     leads = rows.groupBy("bucket").agg(F.max(F.struct("common", "id", "comp")).alias("m")).select("bucket", "m.id", "m.comp")
+    leads = scratch.keep("leads", leads)
     return rows.alias("l").join(leads.alias("r"), "bucket").where("l.comp != r.comp").select(*_pair_of("l", "r"))
 
 
