@@ -45,3 +45,12 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch | None = None)
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows whose id is in dropped (distinct ids, a written table): by broadcast while these are few, so that texts stay where they are."""
     return docs.join(small(dropped), id_col, "left_anti")
+
+
+def repeated(df: DataFrame, times: str, index: str, block: int = 10_000) -> DataFrame:
+    """Each row of df `times` times (1 at least), numbered from 0 in `index`. Rows with very many are dealt out in blocks."""
+    one = df.where(F.col(times) <= block).withColumn(index, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times) - 1)))
+    many = df.where(F.col(times) > block).withColumn("__low", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times) - 1, F.lit(block).cast("bigint"))))
+    many = many.repartition(F.col("__low"), F.xxhash64(*df.columns))
+    high = F.least(F.col("__low") + block, F.col(times)) - 1
+    return one.unionByName(many.withColumn(index, F.explode(F.sequence(F.col("__low"), high))).drop("__low"))

@@ -13,11 +13,14 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .langid import fit, held_out, identify
 from .licenses import scan_licenses
+from .mixing import mix
 from .near_dedup import near_dedup
 from .pii import scan_pii
+from .resampling import resample
 from .secrets import scan_secrets
 from .substring_dedup import repeated_passages
 from .url_filter import filter_urls
+from .whitening import whiten
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -163,6 +166,66 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(read(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: crc32 by its table, over the bytes of each different word.
+OP12_SQL = r"""
+WITH word AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM documents
+), goal AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark
+), crc_table AS (
+  SELECT list(c ORDER BY k) AS t FROM (
+    SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS k)
+  )
+), code AS (
+  SELECT w, CAST(xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS BIGINT) AS bucket
+  FROM (
+    SELECT w, list_transform(range(octet_length(encode(w))), lambda i: CAST(('0x' || substr(hex(encode(w)), 2 * i + 1, 2)) AS BIGINT)) AS bytes
+    FROM (SELECT w FROM word UNION SELECT w FROM goal)
+  ), crc_table
+), source AS (
+  SELECT bucket, count(*) AS s FROM word JOIN code USING (w) GROUP BY bucket
+), target AS (
+  SELECT bucket, count(*) AS t FROM goal JOIN code USING (w) GROUP BY bucket
+), whole AS (
+  SELECT (SELECT coalesce(sum(s), 0) FROM source) AS s_all, (SELECT coalesce(sum(t), 0) FROM target) AS t_all
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS g
+  FROM source LEFT JOIN target USING (bucket), whole
+), doc AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM word JOIN code USING (w) JOIN gain USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features,
+         coalesce(CAST((g - ((g % n) + n) % n) // n AS BIGINT), 0) AS weight,
+         CAST(('0x' || substr(sha256('2024:' || d.doc_id), 1, 8)) AS BIGINT) AS h
+  FROM documents d LEFT JOIN doc USING (doc_id)
+), final AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n_docs FROM final WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n_docs // 100 THEN place END AS rank
+FROM final LEFT JOIN placed USING (doc_id)
+"""
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(read(spark, sf_dir, "documents"), [5, 2, 1])
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_substring_dedup": op2_substring_dedup,
@@ -174,6 +237,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_resampling": op12_resampling,
+    "op13_mixing": op13_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op12_resampling": OP12_SQL}
