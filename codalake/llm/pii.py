@@ -9,12 +9,16 @@ base form). Dynamic programming over bounded segments chooses boundaries and kin
 together. The weights are trained here by conditional likelihood (forward-backward over
 segments) on generated examples, in about a second, once in the driver.
 
+The dynamic programme runs over a window of tokens: as no segment is longer than MAX_TOKENS, it keeps the best scores of
+so many places, and of each only the chain of segments chosen so far. Time is in proportion to a text's length and memory
+to the text and its spans, also for a table of numbers of any length.
+
 Texts are scanned where they lie, without a shuffle. Base spans always stay; a span of
 the field counts as added where it overlaps no base span.
 
 Results for unusual input: null and empty texts have no spans; rows that are there twice
-give two rows; an empty table gives an empty result; other columns are ignored. All steps
-take time in proportion to the text's length, also for one word of a million digits.
+give two rows; an empty table gives an empty result; other columns are ignored. One word of a million digits is a text
+like any other.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, islice
 
 from pyspark.sql import DataFrame
 
@@ -32,10 +38,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: Longest candidate segment; base spans may be longer.
 MAX_TOKENS = 24
 
-# A run is taken as a whole, with or without what makes it a match, so no start is tried twice.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
+# A run is taken as a whole, with or without what makes it a match, so no start is tried twice. Possessive, as nothing
+# follows a repetition: the matcher keeps no place to go back to.
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++)?")
 _IP = re.compile(r"[0-9]+((?:\.[0-9]+){3})?")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]|[\[(]at[\])]")
 _WORD = re.compile(r"\S+")
@@ -81,10 +88,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, k, e in sorted(found)]
 
 
-def islands(text: str) -> list[tuple[int, int]]:
+def islands(text: str) -> Iterator[tuple[int, int]]:
     """Runs of neighbouring words with a digit or an at-sign; a lone "[at]" takes its neighbours in."""
-    out: list[tuple[int, int]] = []
-    before = None
+    last = before = None
     take_next = False
     for m in _WORD.finditer(text):
         s, e = m.span()
@@ -93,65 +99,108 @@ def islands(text: str) -> list[tuple[int, int]]:
         if anchor is not None or take_next:
             if lone and before:
                 s = before[0]
-            if out and s <= out[-1][1] + 1:
-                out[-1] = (out[-1][0], e)
+            if last and s <= last[1] + 1:
+                last = (last[0], e)
             else:
-                out.append((s, e))
+                if last:
+                    yield last
+                last = (s, e)
             take_next = lone
         before = m.span()
-    return out
+    if last:
+        yield last
+
+
+_DIGITS = frozenset("0123456789")
+_MARKS = frozenset(("@", "[at]", "(at)"))
+_IN_NUMBERS = frozenset(" ().-+")
+_IN_CARDS = frozenset(" -.")
+
+
+class Window:
+    """Tokens of an island and what is known about each: enough to list the segments that start there.
+
+    number: digits of a token (0: no number); upto: digits before a token; stop: the first place at or behind a token
+    where neither a card nor a phone number goes on; mark: the first at-sign at or behind a token.
+    """
+
+    def __init__(self, tokens: list[str]):
+        self.tokens, self.n = tokens, len(tokens)
+        self.number = [len(t) if t[0] in _DIGITS else 0 for t in tokens]
+        self.upto = [0, *accumulate(self.number)]
+        self.stop, self.mark = [self.n] * (self.n + 1), [self.n] * (self.n + 1)
+        for i in range(self.n - 1, -1, -1):
+            t = tokens[i]
+            self.stop[i] = self.stop[i + 1] if self.number[i] or t in _IN_NUMBERS else i
+            self.mark[i] = i if t in _MARKS else self.mark[i + 1]
+
+    def segments(self, i: int) -> list[tuple[int, int]]:
+        """(end, place of its kind in KINDS) of the candidate segments from token i, by end and kind."""
+        tokens, number = self.tokens, self.number
+        first, limit = tokens[i], min(self.n, i + MAX_TOKENS)
+        out = []
+        if self.mark[i] < limit and (number[i] or (first.isascii() and first.isalpha())):
+            marks = 0
+            for j in range(i, limit):
+                t = tokens[j]
+                marks += t in _MARKS
+                if marks > 1 or not t.isascii():
+                    break
+                if not (t.isalnum() or t in "._%+-@" or t[1:3] == "at" or (t == " " and "at" in "".join(tokens[max(0, j - 1) : j + 2]))):
+                    break
+                if marks and (number[j] or t[0].isalpha()):
+                    out.append((j + 1, 0))
+        if number[i] and i + 6 < limit and tokens[i + 1] == tokens[i + 3] == tokens[i + 5] == "." and number[i + 2] and number[i + 4] and number[i + 6]:
+            out.append((i + 7, 1))
+        if number[i] or first in ("+", "("):
+            # Only where the digits before the run's end are enough.
+            stop = min(limit, self.stop[i])
+            if self.upto[stop] - self.upto[i] >= 9:
+                card, phone, count = bool(number[i]), True, 0
+                for j in range(i, stop):
+                    if number[j]:
+                        count += number[j]
+                        card = card and count <= 19
+                        phone = phone and count <= 15
+                        if not (card or phone):
+                            break
+                        if card and count >= 12:
+                            out.append((j + 1, 2))
+                        if phone and count >= 9:
+                            out.append((j + 1, 3))
+                    else:
+                        t = tokens[j]
+                        card = card and t in _IN_CARDS
+                        phone = phone and (t != "+" or j == i)
+                        if not (card or phone):
+                            break
+        if len(out) > 1:
+            out.sort()
+        return out
+
+
+def _cue(text: str, start: int) -> set[str]:
+    """The two words before an island."""
+    return {w.strip(":;,.#").lower() for w in text[max(0, start - 30) : start].split()[-2:]}
 
 
 class Lattice:
-    """The candidate segments of an island: (first token, end token, kind, features)."""
+    """The candidate segments of a short island, for training: (first token, end token, kind, features)."""
 
     def __init__(self, text: str, start: int, end: int, base: set[tuple[int, int, str]]):
         self.at = [m.start() for m in _TOKEN.finditer(text, start, end)]
         self.at.append(end)
-        cue = {w.strip(":;,.#").lower() for w in text[max(0, start - 30) : start].split()[-2:]}
-        tokens = [text[a:b] for a, b in zip(self.at, self.at[1:], strict=False)]
-        self.n = len(tokens)
+        window = Window([text[a:b] for a, b in zip(self.at, self.at[1:], strict=False)])
+        self.n, cue = window.n, _cue(text, start)
         self.segments: list[tuple[int, int, str, list[str]]] = []
-        for i, first in enumerate(tokens):
-            digit = first[0] in "0123456789"
-            kinds = {"ip", "card", "phone"} if digit else {"phone"} if first in "+(" else set()
-            if digit or (first.isascii() and first.isalpha()):
-                kinds.add("email")
-            count, marks = 0, 0
-            for j in range(i, min(self.n, i + MAX_TOKENS)):
-                t = tokens[j]
-                number = t[0] in "0123456789"
-                count += len(t) if number else 0
-                if "email" in kinds:
-                    marks += t in ("@", "[at]", "(at)")
-                    near = "".join(tokens[max(0, j - 1) : j + 2])
-                    if marks > 1 or not t.isascii() or not (t.isalnum() or t in "._%+-@" or t[1:3] == "at" or (t == " " and "at" in near)):
-                        kinds.discard("email")
-                if "ip" in kinds and (j > i + 6 or (number if (j - i) % 2 else t != ".") is (j - i) % 2 or (j - i) % 2 == 1 and t != "." or (j - i) % 2 == 0 and not number):
-                    kinds.discard("ip")
-                if not number and (len(t) > 1 or t not in " -."):
-                    kinds.discard("card")
-                if not number and (len(t) > 1 or t not in " ().-+" or t == "+" and j > i):
-                    kinds.discard("phone")
-                if count > 19:
-                    kinds.discard("card")
-                if count > 15:
-                    kinds.discard("phone")
-                if not kinds:
-                    break
-                if not (number or t[0].isalpha()):
-                    continue
-                a, b = self.at[i], self.at[j + 1]
-                for kind in KINDS:
-                    if kind not in kinds or (kind == "ip" and j != i + 6) or (kind == "email" and not marks):
-                        continue
-                    if (kind == "card" and count < 12) or (kind == "phone" and count < 9):
-                        continue
-                    self.segments.append((i, j + 1, kind, _features(text, a, b, kind, (a, b, kind) in base, cue)))
-
-
-def _features(text: str, a: int, b: int, kind: str, is_base: bool, cue: set[str]) -> list[str]:
-    """What describes the whole span."""
+        for i in range(self.n):
+            for j, k in window.segments(i):
+                a, b = self.at[i], self.at[j]
+                self.segments.append((i, j, KINDS[k], _features(text, a, b, KINDS[k], (a, b, KINDS[k]) in base, bool(cue & _CUES[KINDS[k]]))))
+
+
+def _features(text: str, a: int, b: int, kind: str, is_base: bool, cued: bool) -> list[str]:
+    """What describes the whole span: its characters, one before and two behind it, and two facts."""
     span = text[a:b]
     left, right = text[a - 1 : a] if a else "", text[b : b + 1]
     out = ["bias"]
@@ -161,7 +210,7 @@ def _features(text: str, a: int, b: int, kind: str, is_base: bool, cue: set[str]
         out.append("cut_left")
     if right.isalnum() or (right in "@-%_" and right != "") or (right == "." and text[b + 1 : b + 2].isalnum()):
         out.append("cut_right")
-    if cue & _CUES[kind]:
+    if cued:
         out.append("cue")
     groups = re.findall("[0-9]+", span)
     sizes = [len(g) for g in groups]
@@ -209,26 +258,63 @@ def _scored(lattice: Lattice, w: Weights) -> list[tuple[int, int, str, float, li
     return [(i, j, k, sum(w.get((k, f), 0.0) for f in fs), fs) for i, j, k, fs in lattice.segments]
 
 
-def decode(lattice: Lattice, w: Weights) -> list[tuple[int, int, str]]:
-    """The best segmentation: best[j] is the best score of the first j tokens."""
-    ending: dict[int, list] = {}
-    for s in _scored(lattice, w):
-        if s[3] > 0:
-            ending.setdefault(s[1], []).append(s)
-    best, choice = [0.0] * (lattice.n + 1), [None] * (lattice.n + 1)
-    for j in range(1, lattice.n + 1):
-        best[j] = best[j - 1]
-        for i, _, kind, score, _ in ending.get(j, ()):
-            if best[i] + score > best[j]:
-                best[j], choice[j] = best[i] + score, (i, kind)
-    out, j = [], lattice.n
-    while j > 0:
-        if choice[j] is None:
-            j -= 1
-        else:
-            i, kind = choice[j]
-            out.append((lattice.at[i], lattice.at[j], kind))
-            j = i
+class Scorer:
+    """Scores of segments; those of recent spans are remembered, up to a bound."""
+
+    MOST = 20_000
+
+    def __init__(self, w: Weights):
+        self.by_kind = {k: {f: v for (kind, f), v in w.items() if kind == k} for k in KINDS}
+        self.known: dict[tuple, float] = {}
+
+    def __call__(self, text: str, a: int, b: int, kind: str, is_base: bool, cued: bool) -> float:
+        key = (kind, cued, text[a - 1 : a] if a else "", text[a:b], text[b : b + 2])
+        score = self.known.get(key)
+        w = self.by_kind[kind]
+        if score is None:
+            if len(self.known) >= self.MOST:
+                self.known.clear()
+            score = self.known[key] = sum(w.get(f, 0.0) for f in _features(text, a, b, kind, False, cued))
+        return score + w.get("base", 0.0) if is_base else score
+
+
+#: Tokens that are taken into a window at a time.
+STEP = 4096
+
+
+def decode(text: str, start: int, end: int, base: set[tuple[int, int, str]], scorer: Scorer) -> list[tuple[int, int, str]]:
+    """The best segmentation of an island. For each place that segments may still end at, the best score and the chain
+    (segment, chain before) that reaches it."""
+    cue = _cue(text, start)
+    cued = [bool(cue & _CUES[k]) for k in KINDS]
+    places = map(lambda m: m.start(), _TOKEN.finditer(text, start, end))
+    at: list[int] = []
+    best, chain, open_ = 0.0, None, {}  # open_: by place, the best segment that ends there
+    more = True
+    while more:
+        new = list(islice(places, STEP))
+        more = len(new) == STEP
+        at += new
+        bounds = at if more else [*at, end]
+        window = Window([text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
+        # Segments and the marks beside them look ahead; without more tokens to come all are there.
+        ready = window.n if not more else max(0, window.n - MAX_TOKENS - 1)
+        for i in range(ready):
+            a = bounds[i]
+            if (found := open_.pop(a, None)) is not None and found[0] > best:
+                best, chain = found
+            for j, k in window.segments(i):
+                b = bounds[j]
+                score = scorer(text, a, b, KINDS[k], (a, b, KINDS[k]) in base, cued[k])
+                if score > 0 and (b not in open_ or best + score > open_[b][0]):
+                    open_[b] = (best + score, ((a, b, KINDS[k]), chain))
+        at = at[ready:]
+    if (found := open_.pop(end, None)) is not None and found[0] > best:
+        best, chain = found
+    out = []
+    while chain is not None:
+        out.append(chain[0])
+        chain = chain[1]
     return out[::-1]
 
 
@@ -339,13 +425,14 @@ def train(n: int = 500, rounds: int = 40) -> Weights:
     return w
 
 
-def find_pii(text: str, w: Weights) -> list[tuple[int, int, str, bool]]:
+def find_pii(text: str, w: Weights | Scorer) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, whether it is a base span) by start and then by kind as listed."""
     if not _ANCHOR.search(text):
         return []
+    scorer = w if isinstance(w, Scorer) else Scorer(w)
     base = base_spans(text)
     known = set(base)
-    chosen = [x for s, e in islands(text) for x in decode(Lattice(text, s, e, known), w)]
+    chosen = [x for s, e in islands(text) for x in decode(text, s, e, known, scorer)]
     at, n, added = 0, len(base), []
     reach = [0] * (n + 1)  # the furthest end of the first base spans
     for i, (_, e, _) in enumerate(base):
@@ -366,8 +453,9 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     shared = docs.sparkSession.sparkContext.broadcast(weights or train())  # some 50 numbers
 
     def rows(texts):
+        scorer = Scorer(shared.value)
         for i, data in enumerate(texts):
-            found = find_pii(data.decode("utf-8", "replace"), shared.value) if data else []
+            found = find_pii(data.decode("utf-8", "replace"), scorer) if data else []
             yield i, [{"kind": k, "start": s, "end": e, "base": b} for s, e, k, b in found]
 
     return map_texts(docs, id_col, text_col, [("spans", SPANS)], rows, carry)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import textwrap
 
 import pytest
@@ -52,6 +53,42 @@ def test_pii_field_generalises():
     assert added == [("phone", False), ("email", False)]
 
 
+def plain_viterbi(text, start, end, base, w):
+    """The best segmentation with all segments at hand."""
+    lattice = pii.Lattice(text, start, end, base)
+    best = [(0.0, [])] * (lattice.n + 1)
+    for j in range(1, lattice.n + 1):
+        best[j] = best[j - 1]
+        for i, e, kind, fs in lattice.segments:
+            score = sum(w.get((kind, f), 0.0) for f in fs)
+            if e == j and score > 0 and best[i][0] + score > best[j][0] + 1e-9:
+                best[j] = (best[i][0] + score, [*best[i][1], (lattice.at[i], lattice.at[j], kind)])
+    return best[-1][1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "call", "bob", "192.168.0.1", "4111.1111.1111.1111", "(212) 555-1234"]), max_size=40).map("".join), st.integers(30, 60))
+def test_pii_window_equals_whole_lattice(text, step):
+    w, base = pii.train(), set(pii.base_spans(text))
+    before, pii.STEP = pii.STEP, step
+    try:
+        for s, e in pii.islands(text):
+            assert pii.decode(text, s, e, base, pii.Scorer(w)) == plain_viterbi(text, s, e, base, w)
+    finally:
+        pii.STEP = before
+
+
+def test_pii_memory_of_long_numeric_texts():
+    w = pii.train()
+    for unit in ("1 ", "1.1.1.", "a1@"):
+        text = unit * (120_000 // len(unit))
+        tracemalloc.start()
+        pii.find_pii(text, w)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 12_000_000  # a window of tokens and remembered scores, whatever the length
+
+
 def plain_secrets(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
