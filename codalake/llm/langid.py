@@ -128,8 +128,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
 
-    # Few sums for each partition, however many partitions there are: the sample is small.
-    summed = sample.coalesce(64).mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # The sample alone is shuffled, to few partitions with few sums; all of the table's splits are read by tasks of their own.
+    summed = sample.repartition(64).mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((len(languages), BUCKETS), smoothing)
     place = {k: i for i, k in enumerate(languages)}
     got = summed.toArrow()
