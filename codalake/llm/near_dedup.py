@@ -4,16 +4,21 @@
    class, represented by its smallest id, so exact copies cost one representative.
 2. Representatives get a signature of BANDS x ROWS minima; those that agree in all rows
    of a band share a bucket.
-3. Candidates come in three steps, each without the pairs that links already connect:
+3. Candidates come in steps, each without the pairs that links already connect:
    a. the smallest member of each bucket with the others;
    b. in buckets that still hold several components, the member whose shingles are the
       most frequent ones (the middle of a group of near copies) with the others;
-   c. all pairs of members of such buckets that share a shingle among the rarest of both
+   c. while the members outside their bucket's largest component could make many pairs with the rest: rounds that pair
+      each of them with a few leaders of the bucket, drawn anew by a hash. The fewer they get, the more leaders each
+      meets, so that a round makes about as many pairs as there are members in buckets. This joins groups whose members are similar to
+      some of each other only, as where each lacks other parts of a common text;
+   d. all pairs of members of such buckets that share a shingle among the rarest of both
       (prefix filtering): two sets that are similar enough always do, so this finds every
       pair that is left, with no cap, while a passage that many documents share makes no
       pairs, as its shingles are not among their rarest.
-   A bucket's members are therefore never paired with each other, and a group of near
-   copies costs about its size.
+   A group of near copies, or one that links hold together, so costs about its size in pairs. What has no such bound is a
+   group of very many texts that are nearly similar enough, and stay unlinked: d compares those of them that share one of their
+   rarest shingles, since nothing less shows that no link is lost.
 4. A candidate pair's signatures are compared batch by batch. After n positions with m
    agreements, the posterior probability (uniform prior) that the similarity reaches the
    threshold is P(Binomial(n + 1, threshold) <= m); below MISS the pair is pruned.
@@ -53,6 +58,13 @@ BANDS, ROWS = 24, 4
 BATCH = 16
 MISS = 1e-6
 
+#: Rounds of drawn leaders go on while the last step might make more than so many pairs for each member of a bucket, and while each
+#: round leaves no more than this share of the members outside; the most leaders that each of these meets in a round.
+FEW_PAIRS = 4
+LEAST_FALL = 0.9
+MOST_LEADERS = 256
+MOST_TURNS = 24
+
 _PAIR = ["a", "b", "comp_a", "comp_b"]
 
 
@@ -230,10 +242,37 @@ def _roots(docs: DataFrame, sketches: DataFrame, reps: DataFrame, percent: int,
         return labels
     rare = scratch.keep("rare", _rare_first(sets, live.select("id", "comp").distinct(), percent))
     labels = linked("labels-2", _middles(live, rare, scratch), labels)
-    scratch.drop("live", "central", "leads", "mixed", "members", "ids")
+    live = scratch.keep("mixed", live.select("bucket", "id"))
+    scratch.drop("live", "central", "leads", "members", "ids")
+    labels = _rounds(live, labels, linked, scratch)
+    scratch.drop("mixed", "state", "outside", "leads")
     return linked("labels-3", _prefix_pairs(rare, labels, percent, scratch), labels)
 
 
+def _rounds(live: DataFrame, labels: DataFrame, linked, scratch: Scratch) -> DataFrame:
+    """labels after rounds of drawn leaders. live: bucket, id. A round pairs the members outside their bucket's largest component
+    with LEADERS members or more of the bucket; rounds end where the pairs that are left to the last step are few, or linked too little."""
+    before = None
+    for turn in range(MOST_TURNS):
+        now = live.join(labels, "id")
+        counts = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+        state = counts.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        state = scratch.keep("state", state.select("bucket", "m", F.col("most.comp").alias("largest"), F.col("most.m").alias("inside")))
+        m, outside, pairs = state.agg(F.sum("m"), F.sum(F.expr("m - inside")), F.sum(F.expr("cast(m - inside AS double) * m"))).first()
+        if not m or pairs <= FEW_PAIRS * m or (before is not None and outside > LEAST_FALL * before):
+            break
+        before = outside
+        leaders = max(1, min(MOST_LEADERS, m // outside))
+        drawn = F.xxhash64("id", F.lit(turn))
+        rows = now.join(state.select("bucket", "largest"), "bucket")
+        leads = rows.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(turn), F.lit("slot")), F.lit(leaders)).alias("slot")).agg(F.min(F.struct(drawn.alias("h"), "id", "comp")).alias("lead"))
+        # Written first, so that AQE may split the rows of a very frequent bucket.
+        leads = scratch.keep("leads", leads.select("bucket", "lead.id", "lead.comp"))
+        rest = scratch.keep("outside", rows.where("comp != largest").select("bucket", "id", "comp"))
+        labels = linked(f"labels-{turn % 2}-drawn", rest.alias("l").join(leads.alias("r"), "bucket").where("l.comp != r.comp").select(*_pair_of("l", "r")), labels)
+    return labels
+
+
 def _rare_first(sets: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     """id, n (set size), own (shingles that no other component has), common (mean log frequency), prefix.
 
@@ -278,8 +317,8 @@ def _prefix_pairs(rare: DataFrame, labels: DataFrame, percent: int, scratch: Scr
     """All pairs of different components that may be similar: they share a shingle of their prefixes, at places that
     leave enough to share.
 
-    Of two similar sets, the smaller one meets the other within its first n - ceil(2 t n / (1 + t)) + 1. Each shingle's
-    rows of all components but its largest meet the others, so that a large component is not compared with itself.
+    Of two similar sets, the smaller one meets the other within its first n - ceil(2 t n / (1 + t)) + 1: only such early rows of a
+    shingle look for others, and those of its largest component for other components' only.
     """
     short = F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
     rows = (
@@ -293,9 +332,12 @@ def _prefix_pairs(rare: DataFrame, labels: DataFrame, percent: int, scratch: Scr
     # Each join by itself, so that AQE may split the rows of a very frequent shingle.
     rows = scratch.keep("postings", rows.join(scratch.keep("largest", largest), "s"))
     meets = """
-        l.comp != r.comp AND (r.comp = r.largest OR l.id < r.id)
-        AND 100 * least(l.n, r.n) >= {0} * greatest(l.n, r.n)
+        l.comp != r.comp
+        AND (l.n < r.n OR (l.n = r.n AND l.id < r.id))
+        AND 100 * l.n >= {0} * r.n
         AND {1} * least(l.n - l.place, r.n - r.place) >= {0} * (l.n + r.n)
-        AND CASE WHEN l.n < r.n OR (l.n = r.n AND l.id < r.id) THEN l.early ELSE r.early END
     """.format(percent, 100 + percent)
-    return rows.where("comp != largest").alias("l").join(rows.alias("r"), "s").where(meets).select(*_pair_of("l", "r"))
+    early, others = rows.where("early"), rows.where("comp != largest")
+    pair = lambda l, r: l.alias("l").join(r.alias("r"), "s").where(meets).select(*_pair_of("l", "r"))
+    # The smaller set of a pair is early. Rows of the largest component meet those of the others only.
+    return pair(early.where("comp != largest"), rows).unionByName(pair(early.where("comp = largest"), others))
