@@ -215,6 +215,72 @@ def picture_ids(df: DataFrame, by: str, order: list[str], layer: str, dropped: s
     return ordered_fold(df, by, order, [layer, dropped, signature], Sequencer, step, "picture_id bigint, tl0 bigint")
 
 
+def look_ahead(df: DataFrame, by: str, order: list[str], flush: str, depth: int) -> DataFrame:
+    """Adds frame (the place, from 1, of the frame that a call lets go; null for none) and drained. A call is a frame or, where `flush`
+    is true, a drain of one. A frame's call lets the oldest one go when the queue then holds `depth`."""
+
+    def step(s: dict, drain) -> tuple[int | None, bool]:
+        if not drain:
+            s["held"] += 1
+        if not s["held"] or not (drain or s["held"] == depth):
+            return None, False
+        s["held"], s["gone"] = s["held"] - 1, s["gone"] + 1
+        return s["gone"], bool(drain)
+
+    return ordered_fold(df, by, order, [flush], lambda: {"held": 0, "gone": 0}, step, "frame bigint, drained boolean")
+
+
+@dataclass
+class PacketizerState:
+    """Picture ids of a sender, the latch that asks for a recovery key, and the drop that was told last.
+
+    Calls: packetize and size (of a frame), unsent (a packetized frame was withheld), encoded_unsent (one that was not packetized).
+    A dropped frame takes an id on either of the first two, once for each signature; it asks for a key unless it is of the top of
+    several layers. While a key is asked for, other frames are refused and nothing changes. A failed frame asks for a key (unless it only
+    lacked room); a packetized one takes its id and settles the latch; a size changes nothing else. Withholding asks for a key, and takes an
+    id where the frame had none yet.
+    """
+
+    COLUMNS = ("call", "dropped", "key", "layer", "layers", "signature", "error")
+
+    picture: int = 0
+    pending: bool = False
+    signature: str | None = None
+    key_needed: bool = False
+
+    def advance(self, wrap: int = 1 << 15) -> int:
+        used, self.picture = self.picture, (self.picture + 1) % wrap
+        return used
+
+    def step(self, call: str, dropped: bool, key: bool, layer: int, layers: int, signature: str | None, error: str | None) -> tuple[str, int | None, bool]:
+        """(outcome, id that the call has taken, whether a key is asked for now)."""
+        if call in ("unsent", "encoded_unsent"):
+            self.pending, self.key_needed = False, True
+            return "withheld", self.advance() if call == "encoded_unsent" else None, True
+        if dropped:
+            if self.pending and self.signature == signature:
+                return "dropped", None, self.key_needed
+            self.pending, self.signature = True, signature
+            self.key_needed = self.key_needed or layers <= 1 or layer < layers - 1
+            return "dropped", self.advance(), self.key_needed
+        if self.key_needed and not (key and layer == 0):
+            return "refused", None, True
+        if call == "size":
+            self.pending = False
+        if error:
+            self.key_needed = self.key_needed or error != "small"
+            return error, None, self.key_needed
+        if call == "size":
+            return "sized", None, self.key_needed
+        self.pending, self.key_needed = False, False
+        return "sent", self.advance(), False
+
+
+def packetizer(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """Adds outcome, picture_id (that the call has taken) and key_needed (after it) to calls: call, dropped, key, layer, layers, signature, error."""
+    return ordered_fold(df, by, order, list(PacketizerState.COLUMNS), PacketizerState, lambda s, *x: s.step(*x), "outcome string, picture_id int, key_needed boolean")
+
+
 def kmeans_1d(values, k: int = 8, rounds: int = 10):
     """Lloyd's iterations in one dimension: quantile starts, exactly `rounds` rounds, empty clusters keep their centre."""
     import numpy as np

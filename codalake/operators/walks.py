@@ -38,6 +38,21 @@ def decayed_boost(df: DataFrame, by: list[str], order: list[str], score: str, de
     return out.withColumn(name, F.col(f"{name}.total"))
 
 
+def wait_until(df: DataFrame, by: list[str], ts: str, ready: str, value: str, timeout: Column) -> DataFrame:
+    """by, outcome, value: of each key's first poll that is ready before the timeout since its first poll, or else `timeout` and the
+    latest poll before that. Of polls at one time the smallest ready value counts, or the largest value. Two aggregates, which
+    combine before they shuffle; the first gives a row for each key."""
+    starts = df.groupBy(*by).agg(F.min(ts).alias("__start")).select(*[F.col(c).alias(f"__{c}") for c in by], "__start")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    polls = df.join(starts, same).where(F.col(ts) < F.col("__start") + timeout)
+    at = F.struct(F.col(ts), F.col(value).alias("value"))
+    found = polls.groupBy(*by).agg(F.min(F.when(F.col(ready), at)).alias("first"), F.max(at).alias("last"))
+    outcome = F.when(F.col("first").isNotNull(), "ready").otherwise("timeout")
+    return found.select(*by, outcome.alias("outcome"), F.coalesce("first", "last")["value"].alias(value))
+
+
 # Weights of the last five distances between key frames, oldest first.
 KEY_WEIGHTS = [1, 2, 3, 4, 5]
 

@@ -1,64 +1,16 @@
-"""Structured streaming: per-stream buckets, interval summaries with late data, and frame assembly."""
+"""Structured streaming with windows: interval summaries with late data. Keyed processors are in processors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def bucket_stream(frames: DataFrame, stream: str, order: str, bits: str, credit: float, start: float, cap: float) -> DataFrame:
-    """level after each frame, like operators.ordered.leaky_bucket; the level is the only state.
-
-    Within a micro-batch frames are put in order; across batches they must arrive in order.
-    """
-    kind = dict(frames.dtypes)
 
-    def run(key, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level = state.get[0] if state.exists else start
-        pdf = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for b in pdf[bits]:
-            level = min(level + credit, cap) - b
-            out.append(level)
-        state.update((float(level),))
-        yield pd.DataFrame({stream: key[0], order: pdf[order].to_numpy(), "level": out})
+from .processors import assemble_stream, bucket_stream
 
-    return frames.groupBy(stream).applyInPandasWithState(run, f"`{stream}` {kind[stream]}, `{order}` {kind[order]}, level double", "level double", "append", GroupStateTimeout.NoTimeout)
+__all__ = ["assemble_stream", "bucket_stream", "interval_stream"]
 
 
 def interval_stream(events: DataFrame, by: list[str], ts: str, value: str, width: str, lateness: str) -> DataFrame:
     """n, low and high per key and tumbling window, emitted once the watermark passes; later rows are dropped."""
     w = events.withWatermark(ts, lateness).groupBy(*by, F.window(ts, width))
     return w.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).select(*by, F.col("window.start").alias("start"), "n", "low", "high")
-
-
-def assemble_stream(fragments: DataFrame, key: str, seq: str, payload: str, marker: str, timeout_ms: int) -> DataFrame:
-    """key, payload of each frame whose fragments have all come; incomplete ones are forgotten after the timeout."""
-    kind = dict(fragments.dtypes)
-
-    def run(name, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seqs, parts, marks = (list(x) for x in state.get) if state.exists else ([], [], [])
-        for pdf in batches:
-            seqs += [int(x) for x in pdf[seq]]
-            parts += [bytes(x) for x in pdf[payload]]
-            marks += [bool(x) for x in pdf[marker]]
-        held = {s: (p, m) for s, p, m in zip(seqs, parts, marks, strict=True)}
-        last = max((s for s, (_, m) in held.items() if m), default=None)
-        if last is not None and set(held) == set(range(last + 1)):
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({key: [name[0]], "payload": [b"".join(held[i][0] for i in range(last + 1))]})
-            return
-        state.update((list(held), [p for p, _ in held.values()], [m for _, m in held.values()]))
-        state.setTimeoutDuration(timeout_ms)
-
-    return fragments.groupBy(key).applyInPandasWithState(
-        run, f"`{key}` {kind[key]}, payload binary", "seqs array<int>, parts array<binary>, marks array<boolean>", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
