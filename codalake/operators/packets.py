@@ -60,3 +60,31 @@ def fan_out(df: DataFrame, percents: list[int]) -> DataFrame:
     """Each row once for each rung of a ladder: adds rung (from 0) and percent."""
     rungs = F.array(*[F.struct(F.lit(i).alias("rung"), F.lit(p).alias("percent")) for i, p in enumerate(percents)])
     return df.withColumn("__r", F.explode(rungs)).select(*df.columns, "__r.rung", "__r.percent")
+
+
+def layer_fragments(units: DataFrame, layers: str, room: int) -> DataFrame:
+    """The fragments of access units in one sequence: seq (from 0, over all layers), layer, fragment, start_of_frame and end_of_frame (of the
+    layer), marker (the last one of the last layer).
+
+    layers: an array of structs (head, payload) in order; head is the size of the descriptor of a layer's first fragment and the other ones
+    are 1 smaller, of `room` units in all. A unit without layers, with an empty layer or a descriptor that leaves no room gives no
+    fragments (see layer_packets).
+    """
+    n = lambda x: packet_count(F.length(x["payload"]), F.lit(room) - x["head"], F.lit(room) - x["head"] + 1)
+    place = lambda x, k: F.when(k == 0, F.lit(1)).otherwise(1 + room - x["head"] + (k - 1) * (room - x["head"] + 1))
+    take = lambda x, k: F.when(k == 0, room - x["head"]).otherwise(room - x["head"] + 1)
+
+    def of_layer(x: Column, i: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n(x) - 1), lambda k: F.struct(i.alias("layer"), k.alias("k"), (k == n(x) - 1).alias("end"), (i == F.size(layers) - 1).alias("top"), place(x, k).alias("place"), take(x, k).alias("take")))
+
+    rows = units.where(layer_packets(layers, room).isNotNull()).select("*", F.posexplode(F.flatten(F.transform(layers, of_layer))).alias("seq", "__f"))
+    cut = F.substring(F.get(F.col(layers), F.col("__f.layer"))["payload"], F.col("__f.place"), F.col("__f.take"))
+    out = rows.withColumns({"layer": F.col("__f.layer"), "fragment": cut, "start_of_frame": F.col("__f.k") == 0, "end_of_frame": F.col("__f.end"), "marker": F.col("__f.end") & F.col("__f.top")})
+    return out.drop(layers, "__f")
+
+
+def layer_packets(layers: str, room: int) -> Column:
+    """How many fragments an access unit has; null where it has no layers, an empty one, or one whose descriptor leaves no room."""
+    bad = (F.size(layers) == 0) | F.exists(layers, lambda x: (F.coalesce(F.length(x["payload"]), F.lit(0)) == 0) | (x["head"] >= room))
+    total = F.aggregate(layers, F.lit(0), lambda s, x: s + packet_count(F.length(x["payload"]), F.lit(room) - x["head"], F.lit(room) - x["head"] + 1))
+    return F.when(~F.coalesce(bad, F.lit(True)), total)

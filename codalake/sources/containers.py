@@ -313,7 +313,8 @@ def write_i420(df: DataFrame, path: str, stream: str, mode: str = "append") -> N
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, name (lower-cased), size of all files below root, or of the file itself; contents are not read."""
+    """path, name (lower-cased), size of all files below root, or of the file itself; contents are not read. Empty files are not listed, as
+    Spark's readers pass over them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select("path", F.lower(F.element_at(F.split("path", "/"), -1)).alias("name"), F.col("length").alias("size"))
 

@@ -6,9 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from codalake.plans import catalog, media
+from codalake.plans import catalog, media, streams
 
-QUERIES, ORACLE_SQL = catalog.QUERIES | media.QUERIES, catalog.ORACLE_SQL | media.ORACLE_SQL
+QUERIES, ORACLE_SQL = catalog.QUERIES | media.QUERIES | streams.QUERIES, catalog.ORACLE_SQL | media.ORACLE_SQL | streams.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 
