@@ -245,11 +245,11 @@ def plain_frames(rows, start, most):
 def test_key_frame_walks(spark):
     r = random.Random(6)
     streams = {}
-    for s, length in enumerate([1, 2, 3, 9, 60, 90]):
+    for s, length in enumerate([1, 2, 3, 9, 150, 260]):
         rows = []
         for _ in range(length):
             still = r.random() < 0.6
-            rows.append({"pcnt_inter": 1.0 if still else r.choice([0.0, 0.6, 0.9, 0.9]), "pcnt_second_ref": r.choice([0.0, 0.0, 0.0, 0.2]), "pcnt_neutral": r.choice([0.0, 0.2]), "pcnt_motion": 0.0 if still else r.random(), "mvr_abs": r.random() * 300, "mvc_abs": r.random() * 10, "intra_error": r.choice([100.0, 900.0] + [4000.0] * 8), "coded_error": r.choice([200.0, 300.0, 900.0, 0.0])})
+            rows.append({"pcnt_inter": 1.0 if still else r.choice([0.0, 0.0, 0.6, 0.9, 0.9]), "pcnt_second_ref": r.choice([0.0] * 9 + [0.2]), "pcnt_neutral": r.choice([0.0, 0.2]), "pcnt_motion": 0.0 if still else r.random(), "mvr_abs": r.random() * 300, "mvc_abs": r.random() * 10, "intra_error": r.choice([100.0, 900.0] + [4000.0] * 8), "coded_error": r.choice([200.0, 300.0, 900.0, 0.0])})
         streams[s] = rows
     df = spark.createDataFrame([(s, i, *(x[c] for c in STATS)) for s, rows in streams.items() for i, x in enumerate(rows)], "s int, i int, " + ", ".join(f"{c} double" for c in STATS)).repartition(3)
     for whole in (False, True):
