@@ -1,32 +1,35 @@
 """URL filtering with given rules and association rules mined from what they label.
 
 Given rules (host suffix and path prefix, longest wins) judge a part of the urls. These
-verdicts are labels: FP-growth mines, over all labelled urls, which combinations
-of url tokens go with which label. A mined rule is kept if its support and confidence
-suffice and no rule on a part of its tokens is as confident (it would never decide).
-Other urls are judged by the mined rules, matched through an inverted index from a
-rule's first token to the rule.
-
-The labels come from a few given rules and are no fair sample of the other urls, so a mined rule must also hold beyond
-the rows that it was mined from: a fifth of the labelled urls (by a hash of the url) is held out, and a rule is used only
-if it is right for MIN_CONFIDENCE of the held-out urls that it fits, if its label is LIFT times as frequent among
-the urls that it fits as among all labelled ones, and if SOURCES given rules or more gave that label to them (what a single
-given rule labels shows that rule's own host and path, and nothing about others). MIN_ROWS is the least support in rows.
+verdicts are labels: Spark's FP-growth mines, over the labelled urls, which combinations
+of url tokens go with which label. A mined rule needs support and confidence. Other urls are judged by the rules that are
+confirmed, matched through an inverted index from a rule's first token to the rule.
+
+The labels come from a few given rules and are no fair sample of the other urls, so a mined rule must hold beyond
+the rows that it was mined from, and beyond the given rules that it was mined from:
+
+* A fifth of the labelled urls (by a hash of the url) is held out; the rule must be right for MIN_CONFIDENCE of those that it fits.
+* A given rule that labels by a path says nothing about its host: it is evidence for a combination that holds a part of its host only if that
+  holds its path's segments too.
+* Each given rule that is evidence is left out in turn: the others must give the rule its confidence, and it must then be
+  right about the urls of the one left out. So SOURCES given rules or more must give its label.
+* Its label must be LIFT times as frequent among the urls that it fits as among all labelled ones.
+
+Of the confirmed rules one is dropped if another on a part of its tokens is as confident (it would never decide); as this is done after
+the confirmation, a longer combination stands where its parts fail. MIN_ROWS is the least support in rows.
 
 Every part of a url gives tokens: all host suffixes, the parts of hyphenated host labels, all path
-segments, all query parameters and their names. A rule has at most MOST_TOKENS of them. Tokens without
-the support are left out first; each url then goes, cut behind a token and counted with its
-equals, to that token's group, which is mined by itself (parallel FP-growth). A set
-that is as frequent as a part of it is not grown further: its rules equal that part's. So nested
-suffixes and tokens that always come together add no sets. A url of n tokens has at most
-C(n, 1) + ... + C(n, 4) sets, and the frequent ones, which bound the broadcast, are at most
-the mean of that / MIN_SUPPORT. Urls are judged where they lie, without a shuffle.
+segments, all query parameters and their names. There is no bound on a rule's tokens. Tokens that stand in exactly the same labelled urls
+are mined as one and give a rule each, as the sets of such tokens would only repeat one another. FP-growth's frequent sets, which bound the
+broadcast, are a matter of the support: many frequent tokens that often come together, and are not the same, make many sets. Urls are
+judged where they lie, without a shuffle.
 
 Results for unusual input: a url that is null or has no "://" has empty host and path,
 no rule, no tokens and the default verdict; without labelled urls or mined rules, the
 default verdict is given; rows that are there twice give two rows and count twice in
 mining; ties between mined rules go to the higher support, then more tokens, then the
-smaller text; an empty table gives an empty result; other columns are ignored.
+smaller text; an empty table gives an empty result; other columns are ignored, whatever their names, and the id column may have
+any name but those of the result.
 """
 
 from __future__ import annotations
@@ -34,9 +37,10 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import product
 
 import pyarrow as pa
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +59,6 @@ MIN_ROWS = 10
 MIN_CONFIDENCE = 0.8
 LIFT = 1.1
 SOURCES = 2
-#: Most tokens of a mined rule. Nested host suffixes make no rule together, so that is a suffix and three others.
-MOST_TOKENS = 4
 DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -97,88 +99,74 @@ def tokens(host: Column, path: Column, query: Column | None = None) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
-def grow(item: int, base: list[tuple[tuple[int, ...], int, int]], labels: int, least: int, confidence: float, totals: list[int]) -> list[tuple[tuple[int, ...], int, int, int]]:
-    """FP-growth on one item's conditional base (items before it, label, count): (items, label, count with the label, count) of its rules."""
-    out = []
-
-    def visit(pattern: tuple[int, ...], base, counts: list[int]) -> None:
-        total = sum(counts)
-        out.extend((pattern, label, c, total) for label, c in enumerate(counts) if c >= least and c >= confidence * total)
-        if len(pattern) == MOST_TOKENS:
-            return
-        sums: dict[int, list[int]] = {}
-        for prefix, label, c in base:
-            for y in prefix:
-                if y not in sums:
-                    sums[y] = [0] * labels
-                sums[y][label] += c
-        for y, found in sums.items():
-            # A set as frequent as a part of it: the part stands for it.
-            if max(found) >= least and sum(found) < min(total, totals[y]):
-                visit((y, *pattern), [(p[: p.index(y)], label, c) for p, label, c in base if y in p], found)
-
-    counts = [0] * labels
-    for _, label, c in base:
-        counts[label] += c
-    visit((item,), base, counts)
-    return out
+Rule = tuple[tuple[str, ...], str, float, float]
+#: What an item of FP-growth begins with that is a label; no token does.
+_LABEL = "="
 
 
-Rule = tuple[tuple[str, ...], str, float, float]
+def same_rows(labelled: DataFrame, least: int) -> dict[str, list[str]]:
+    """The tokens of each class that stand in the same rows, by the first of them; of those with the support, which are at most (mean tokens of a
+    url) / MIN_SUPPORT. Two tokens are in the same rows if these agree in number, and in the sums of two hashes of the row."""
+    rows = labelled.select(F.explode(F.array_distinct("tokens")).alias("token"), "label", F.xxhash64("tokens").alias("h"), F.xxhash64("tokens", F.lit(1)).alias("g"))
+    part = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.sum(F.col("g").cast("decimal(38,0)")).alias("g"))
+    found = part.groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("h").alias("h"), F.sum("g").alias("g")).where(F.col("most") >= least)
+    classes: dict[tuple, list[str]] = {}
+    for r in found.orderBy("token").collect():
+        classes.setdefault((r["n"], r["h"], r["g"]), []).append(r["token"])
+    return {names[0]: names for names in classes.values()}
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = 1) -> list[Rule]:
-    """(tokens, label, confidence, support) of the kept rules. labelled: tokens, label."""
+def mine_all(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = 1) -> list[Rule]:
+    """(tokens, label, confidence, support) of all rules with support and confidence, with one token of each class for all of them.
+    labelled: tokens, label."""
     n = labelled.count()
     if not n:
         return []
     least = max(min_rows, math.ceil(min_support * n))
-    single = labelled.select(F.explode(F.array_distinct("tokens")).alias("token"), "label").groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    # At most (mean tokens of a url) / min_support, as any rule of a token needs the support with one label.
-    often = single.groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("most") >= least).collect()
-    names = [r["token"] for r in sorted(often, key=lambda r: (-r["n"], r["token"]))]
-    totals = [r["n"] for r in sorted(often, key=lambda r: (-r["n"], r["token"]))]
-    labels = sorted(r["label"] for r in labelled.select("label").distinct().collect())
-    rank = labelled.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(names)})
-    number = {x: i for i, x in enumerate(labels)}
-    kinds = ["item", "prefix", "label", "n"]
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def flush():
-            made = [pa.array([k[i] for k in found], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int32()), pa.int32()))]
-            return pa.RecordBatch.from_arrays([*made, pa.array(list(found.values()), pa.int64())], names=kinds)
+    classes = same_rows(labelled, least)
+    if not classes:
+        return []
+    firsts = labelled.sparkSession.sparkContext.broadcast(frozenset(classes))
 
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, label in zip(batch.column("tokens").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                items = sorted({rank.value[t] for t in words if t in rank.value})
-                for i, x in enumerate(items):
-                    found[x, tuple(items[:i]), number[label]] += 1
-            if len(found) > 50_000:
-                yield flush()
-                found.clear()
-        if found:
-            yield flush()
-
-    def local(table: pa.Table) -> pa.Table:
-        base = list(zip(map(tuple, table.column("prefix").to_pylist()), table.column("label").to_pylist(), table.column("n").to_pylist(), strict=True))
-        rules = grow(table.column("item")[0].as_py(), base, len(labels), least, min_confidence, totals)
-        made = [pa.array([r[i] for r in rules], t) for i, t in enumerate((pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64()))]
-        return pa.Table.from_arrays(made, names=["items", "label", "n", "total"])
-
-    bases = labelled.select("tokens", "label").mapInArrow(project, "item int, prefix array<int>, label int, n bigint").groupBy("item", "prefix", "label").agg(F.sum("n").alias("n"))
-    rules: dict[tuple[frozenset[str], str], tuple[float, float]] = {}
-    for r in bases.groupBy("item").applyInArrow(local, "items array<int>, label int, n bigint, total bigint").collect():
-        rules[frozenset(names[i] for i in r["items"]), labels[r["label"]]] = (r["n"] / r["total"], r["n"] / n)
-    kept = []
-    for (tokens_, label), (confidence, support) in rules.items():
-        parts = (frozenset(p) for k in range(1, len(tokens_)) for p in combinations(tokens_, k))
-        if not any((p, label) in rules and rules[p, label][0] >= confidence for p in parts):
-            kept.append((tuple(sorted(tokens_)), label, confidence, support))
+            made = [[*sorted(firsts.value.intersection(words)), _LABEL + label] for words, label in zip(batch.column("tokens").to_pylist(), batch.column("label").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.string()))], names=["items"])
+
+    baskets = labelled.select("tokens", "label").mapInArrow(items, "items array<string>")
+    # Half a row less, so that rounding loses no set that has the support.
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / n), minConfidence=min_confidence).fit(baskets)
+    rules = model.associationRules.where(F.element_at("consequent", 1).startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
+    rows = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("label"), "confidence", "support").collect()  # bounded by the support
+    return [(tuple(r["tokens"]), r["label"], r["confidence"], r["support"]) for r in rows if r["confidence"] >= min_confidence]
+
+
+def expanded(rules: list[Rule], classes: dict[str, list[str]]) -> list[Rule]:
+    """The rules with each token of a class in the place of its first."""
+    return [(tuple(sorted(names)), *r[1:]) for r in rules for names in product(*(classes.get(t, [t]) for t in r[0]))]
+
+
+def pruned(rules: list[Rule]) -> list[Rule]:
+    """The rules without those on a part of whose tokens another is as confident of the label; by precedence."""
+    kept: list[Rule] = []
+    index: dict[tuple[str, str], list[frozenset]] = {}
+    # Shorter ones first: the parts of a rule that count are those that are kept.
+    for r in sorted(rules, key=lambda r: (len(r[0]), r[0])):
+        have = frozenset(r[0])
+        parts = (p for t in r[0] for p in index.get((t, r[1]), ()))
+        if not any(p[0] < have and p[1] >= r[2] for p in parts):
+            kept.append(r)
+            index.setdefault((r[0][0], r[1]), []).append((have, r[2]))
     return sorted(kept, key=lambda r: (-r[2], -r[3], -len(r[0]), r[0]))
 
 
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = 1) -> list[Rule]:
+    """The rules that mining alone gives, pruned."""
+    least = max(min_rows, math.ceil(min_support * labelled.count()))
+    found = pruned(mine_all(labelled, min_support, min_confidence, min_rows))
+    return pruned(expanded(found, same_rows(labelled, least))) if found else []
+
+
 class RuleIndex:
     """Rules in their order of precedence; match() gives the first that holds, fitting() the places of all that do."""
 
@@ -208,14 +196,22 @@ class RuleIndex:
         return label, confidence, " ".join(sorted(need))
 
 
+def is_evidence(tokens_: tuple[str, ...], source: str) -> bool:
+    """Whether a given rule (host/path) says something about a combination: not about a part of its host without its path."""
+    host, _, path = source.partition("/")
+    own = any(t.startswith("h:") and (t[2:] == host or t.endswith("." + host)) for t in tokens_)
+    return not own or all(f"p:{x}" in tokens_ for x in path.split("/") if x)
+
+
 def confirmed(rules: list[Rule], labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, lift: float = LIFT, sources: int = SOURCES) -> list[Rule]:
-    """The mined rules that hold on the held-out rows, lift their label and rest on several given rules. labelled: tokens,
-    label, source (the given rule), held. One pass that counts; (rules x given rules) numbers come to the driver."""
+    """The mined rules that hold on the held-out rows, lift their label, and are told by the other given rules about each that is left
+    out. labelled: tokens, label, source (the given rule), held. One pass that counts; (rules x given rules) numbers come to the driver."""
     if not rules:
         return []
     base = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     index = labelled.sparkSession.sparkContext.broadcast(RuleIndex(rules))
     names = ["rule", "source", "held", "n", "hits"]
+    rules_of = [r[1] for r in rules]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -229,21 +225,40 @@ def confirmed(rules: list[Rule], labelled: DataFrame, min_confidence: float = MI
         made = [pa.array([k[j] for k in n], t) for j, t in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([*made, pa.array(list(n.values()), pa.int64()), pa.array([hits[k] for k in n], pa.int64())], names=names)
 
-    rules_of = [r[1] for r in rules]
     counts = labelled.select("tokens", "label", "source", "held").mapInArrow(count, "rule int, source string, held boolean, n bigint, hits bigint")
-    counts = counts.groupBy("rule", "source", "held").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()
+    own: dict[int, list] = {}
+    for r in counts.groupBy("rule", "source", "held").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect():
+        own.setdefault(r["rule"], []).append(r)
     total = sum(base.values())
     kept = []
     for i, rule in enumerate(rules):
-        own = [r for r in counts if r["rule"] == i]
-        n, hits = sum(r["n"] for r in own), sum(r["hits"] for r in own)
-        held, right = sum(r["n"] for r in own if r["held"]), sum(r["hits"] for r in own if r["held"])
-        wide = len({r["source"] for r in own if r["hits"]}) >= sources
+        found = own.get(i, [])
+        n, hits = sum(r["n"] for r in found), sum(r["hits"] for r in found)
+        held, right = sum(r["n"] for r in found if r["held"]), sum(r["hits"] for r in found if r["held"])
+        told: dict[str, list[int]] = {}
+        for r in found:
+            if is_evidence(rule[0], r["source"]):
+                at = told.setdefault(r["source"], [0, 0])
+                at[0], at[1] = at[0] + r["n"], at[1] + r["hits"]
+        all_n, all_hits = sum(x[0] for x in told.values()), sum(x[1] for x in told.values())
+        wide = sum(x[1] > 0 for x in told.values()) >= sources and all(
+            x[1] >= min_confidence * x[0] and all_n > x[0] and all_hits - x[1] >= min_confidence * (all_n - x[0]) for x in told.values()
+        )
         if held and right >= min_confidence * held and wide and hits / n >= lift * base[rule[1]] / total:
             kept.append(rule)
     return kept
 
 
+def learned(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS, lift: float = LIFT, sources: int = SOURCES) -> list[Rule]:
+    """The rules that are mined from the rows that are not held out, confirmed and pruned, by precedence."""
+    fit = labelled.where("NOT held")
+    found = mine_all(fit, min_support, min_confidence, min_rows)
+    if not found:
+        return []
+    classes = same_rows(fit, max(min_rows, math.ceil(min_support * fit.count())))
+    return pruned(confirmed(expanded(found, classes), labelled, min_confidence, lift, sources))
+
+
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, default: str = DEFAULT) -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict, mined (the mined rule that decided), confidence."""
     spark = pages.sparkSession
@@ -254,7 +269,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     marked = parsed.select(F.col(f"`{id_col}`"), "host", "path", rule.alias("rule"), verdict.alias("given"), tokens(F.col("host"), F.col("path"), F.col("query")).alias("tokens"), "query")
     held = F.pmod(F.xxhash64("host", "path", "query"), F.lit(5)) == 0
     labelled = marked.where("given IS NOT NULL AND size(tokens) > 0").select("tokens", F.col("given").alias("label"), F.col("rule").alias("source"), held.alias("held"))
-    index = spark.sparkContext.broadcast(RuleIndex(confirmed(mine(labelled.where("NOT held"), min_rows=MIN_ROWS), labelled)))
+    index = spark.sparkContext.broadcast(RuleIndex(learned(labelled)))
     judged = marked.drop("query")
     kind = dict(pages.dtypes)[id_col]
 

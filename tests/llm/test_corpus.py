@@ -391,6 +391,67 @@ def test_urls(spark):
         assert index.match(sorted(tokens)) == first
 
 
+def brute_rules(labelled, rows=10, confidence=0.8, lift=1.1, sources=2):
+    """(-confidence, -support, -tokens, tokens, label) of the confirmed rules by precedence: every set of tokens of any url is tried."""
+    fit = [x for x in labelled if not x[3]]
+    base = Counter(x[1] for x in labelled)
+    least = max(rows, math.ceil(url_filter.MIN_SUPPORT * len(fit)))
+    often: Counter = Counter()
+    for t, label, *_ in fit:
+        for k in range(1, len(t) + 1):
+            for p in itertools.combinations(sorted(t), k):
+                often[p, None] += 1
+                often[p, label] += 1
+    good = {}
+    for (p, label), m in often.items():
+        if label is None or m < least or m < confidence * often[p, None]:
+            continue
+        fits = [x for x in labelled if set(p) <= x[0]]
+        out = [x for x in fits if x[3]]
+        ok = bool(out) and sum(x[1] == label for x in out) >= confidence * len(out)
+        ok = ok and sum(x[1] == label for x in fits) / len(fits) >= lift * base[label] / len(labelled)
+        told = []
+        for g in {x[2] for x in fits}:
+            host, _, path = g.partition("/")
+            on_host = any(t == f"h:{host}" or t.startswith("h:") and t.endswith(f".{host}") for t in p)
+            if not on_host or {f"p:{x}" for x in path.split("/") if x} <= set(p):
+                told.append(g)
+        ok = ok and len({x[2] for x in fits if x[2] in told and x[1] == label}) >= sources
+        for g in told:
+            rest, own = [x[1] == label for x in fits if x[2] in told and x[2] != g], [x[1] == label for x in fits if x[2] == g]
+            ok = ok and bool(rest) and sum(rest) >= confidence * len(rest) and sum(own) >= confidence * len(own)
+        if ok:
+            good[p, label] = (m / often[p, None], m / len(fit))
+    kept = [(-c, -s, -len(p), p, label) for (p, label), (c, s) in good.items() if not any(good.get((q, label), (0,))[0] >= c for k in range(1, len(p)) for q in itertools.combinations(p, k))]
+    return sorted(kept)
+
+
+def test_url_rules_left_out(spark):
+    """A combination that several given rules tell stands; what they say of a part of their host without its path does not, nor a rule
+    that fails on one of them; a longer combination stands where its parts fail."""
+    r = random.Random(8)
+    rows = []
+    for k in range(900):
+        # Given rules: net/es/ and net/fr/ block; a.org/x/, b.org/x/ block where the query asks; c.org/ allows.
+        source, tokens_, label = r.choice(
+            [
+                ("net/es/", ["h:net", f"h:n{k % 3}.net", "p:es"], "block"),
+                ("net/fr/", ["h:net", f"h:n{k % 3}.net", "p:fr"], "block"),
+                ("a.org/x/", ["h:org", "h:a.org", "p:x", "q:ad", "p:y"], "block"),
+                ("b.org/x/", ["h:org", "h:b.org", "p:x", "q:ad", "p:y"], "block"),
+                ("c.org/", ["h:org", "h:c.org", "p:x"], "allow"),
+                ("c.org/", ["h:org", "h:c.org", "p:y", "q:other"], "allow"),
+                ("d.org/", ["h:org", "h:d.org", "q:ad"], "allow"),
+                ("e.org/", ["h:org", "h:e.org", "q:ad", "p:z"], "allow"),
+            ]
+        )
+        rows.append((tokens_, label, source, k % 5 == 0))
+    got = url_filter.learned(spark.createDataFrame(rows, "tokens array<string>, label string, source string, held boolean"))
+    assert [(t, x) for t, x, *_ in got] == [(k[3], k[4]) for k in brute_rules([(frozenset(t), *x) for t, *x in rows])]
+    assert {("p:x", "q:ad"), ("p:x", "p:y")} <= {t for t, x, *_ in got if x == "block"}
+    assert not any(set(t) <= {"h:net", "h:n0.net", "h:n1.net", "h:n2.net", "p:es", "p:fr"} for t, *_ in got)
+
+
 def test_url_verdicts_against_counting(spark):
     """The verdict of every url, by counting over all labelled urls in plain Python."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
@@ -400,28 +461,7 @@ def test_url_verdicts_against_counting(spark):
     held = F.pmod(F.xxhash64(host, path, query), F.lit(5)) == 0
     rows = pages.select("page_id", url_filter.tokens(host, path, query).alias("tokens"), rule.alias("source"), verdict.alias("label"), held.alias("held")).collect()
     labelled = [(frozenset(r["tokens"]), r["label"], r["source"], r["held"]) for r in rows if r["label"] is not None and r["tokens"]]
-    fit = [x for x in labelled if not x[3]]
-    base = Counter(x[1] for x in labelled)
-    sets = {frozenset(p) for t, *_ in fit for k in range(1, 5) for p in itertools.combinations(sorted(t), k)}
-    often = Counter(p for t, *_ in fit for k in range(1, 5) for p in map(frozenset, itertools.combinations(sorted(t), k)))
-    rules = {}
-    for p in sets:
-        if often[p] < url_filter.MIN_ROWS:
-            continue
-        for label, m in Counter(x[1] for x in fit if p <= x[0]).items():
-            parts = (frozenset(q) for j in range(1, len(p)) for q in itertools.combinations(p, j))
-            if m >= url_filter.MIN_ROWS and m >= 0.8 * often[p] and not any(often[q] == often[p] for q in parts):
-                rules[p, label] = (m / often[p], m / len(fit))
-    kept = []
-    for (p, label), (confidence, support) in rules.items():
-        if any(rules.get((frozenset(q), label), (0,))[0] >= confidence for j in range(1, len(p)) for q in itertools.combinations(p, j)):
-            continue
-        fits = [x for x in labelled if p <= x[0]]
-        out = [x for x in fits if x[3]]
-        right = [x for x in fits if x[1] == label]
-        if out and sum(x[1] == label for x in out) >= 0.8 * len(out) and len({x[2] for x in right}) >= 2 and len(right) / len(fits) >= 1.1 * base[label] / len(labelled):
-            kept.append((-confidence, -support, -len(p), tuple(sorted(p)), label))
-    kept.sort()
+    kept = brute_rules(labelled)
     got = {r["page_id"]: (r["verdict"], r["mined"]) for r in url_filter.filter_urls(pages).collect()}
     for r in rows:
         first = next((k for k in kept if set(k[3]) <= set(r["tokens"])), None) if r["label"] is None else None
