@@ -64,10 +64,11 @@ def visible(plane: bytes, stride: int, width: int, height: int) -> bytes:
     return b"".join(plane[r * stride : r * stride + width] for r in range(height))
 
 
-def visible_rows(plane: Column, stride: int, width: int, height: int) -> Column:
+def visible_rows(plane: Column, stride: int, width: int, height: int | Column) -> Column:
     """The same as an expression."""
-    rows = F.array(*[F.hex(F.substring(plane, r * stride + 1, width)) for r in range(height)])
-    return F.unhex(F.array_join(rows, ""))
+    height = F.lit(height) if isinstance(height, int) else height
+    rows = F.transform(F.sequence(F.lit(0), height - 1), lambda r: F.hex(F.substring(plane, r * stride + 1, F.lit(width))))
+    return F.when(height > 0, F.unhex(F.array_join(rows, ""))).otherwise(F.lit(b""))
 
 
 def _points(points) -> tuple[np.ndarray, np.ndarray]:

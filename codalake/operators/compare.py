@@ -137,10 +137,11 @@ def zip_many(series: list[DataFrame], by: list[str], order: list[str]) -> DataFr
     return out.where(F.col("__n") == len(series)).drop("__n")
 
 
-def join_by_pts(frames: DataFrame, source: DataFrame, pts: str, index: str, key: str, size: int) -> DataFrame:
-    """Each frame with its source by timestamp, or by index where the timestamp is not below the source's size."""
-    at = frames.withColumn("__at", F.when((F.col(pts) >= 0) & (F.col(pts) < size), F.col(pts)).otherwise(F.col(index)))
-    return at.join(source, F.col("__at") == F.col(key)).drop("__at")
+def join_by_pts(frames: DataFrame, source: DataFrame, pts: str, index: str, key: str) -> DataFrame:
+    """Each frame with its source by timestamp, or by index where the timestamp is not below the number of source frames."""
+    size = F.broadcast(source.agg(F.count(F.lit(1)).alias("__size")))  # one row
+    at = frames.join(size).withColumn("__at", F.when((F.col(pts) >= 0) & (F.col(pts) < F.col("__size")), F.col(pts)).otherwise(F.col(index)))
+    return at.join(source, F.col("__at") == F.col(key)).drop("__at", "__size")
 
 
 def post_drop_drift(df: DataFrame, by: list[str], order: list[str], left: Column, right: Column) -> DataFrame:

@@ -109,3 +109,9 @@ def fixture_gaps(metrics: DataFrame, kind: Column) -> DataFrame:
     gap = F.when(F.col("kind") == "gap_pp", 100 - F.col("value")).when(F.col("kind") == "gap_raw", F.abs("value"))
     rank = F.when(F.col("kind") == "gap_pp", 0).when(F.col("kind") == "gap_raw", 1).otherwise(2)
     return at.withColumns({"gap": gap, "rank": rank})
+
+
+def step_summary(lines: DataFrame, by: list[str], order: str, line: str) -> DataFrame:
+    """by, skipped (how many cases a step's output says it skipped), last_line, accepted (nothing was skipped)."""
+    skips = F.count_if(F.col(line).startswith("--- SKIP:"))
+    return lines.groupBy(*by).agg(skips.alias("skipped"), F.max(F.struct(order, line))[line].alias("last_line"), (skips == 0).alias("accepted"))

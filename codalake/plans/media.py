@@ -125,17 +125,22 @@ def baseline_gaps(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT i AS idx, rr AS row, c AS col, 32 + ((3 * rr + 5 * c + 7 * i) & 191) AS v FROM range(0, 4) a(i), range(0, 8) b(rr), range(0, 12) d(c))
-SELECT idx::INT AS idx, string_agg(lpad(lower(to_hex(v)), 2, '0'), '' ORDER BY row, col) AS y_hex FROM p GROUP BY 1""")
+WITH p AS (SELECT p_partkey, md5(array_to_string(list_transform(range(96), lambda k: format('{:02X}', (32 + ((3 * (k // 12) + 5 * (k % 12) + 7 * p_partkey) & 191))::INT)), '')) AS y FROM part)
+SELECT p_partkey, y, md5(repeat(format('{:02X}', (96 + p_partkey % 64)::INT), 24)) AS u, md5(repeat(format('{:02X}', (160 - p_partkey % 64)::INT), 24)) AS v FROM p""")
 def synthetic_planes(spark, sf_dir):
-    return synthetic.synthetic_frames(spark, 12, 8, 4).select("idx", F.lower(F.hex("y")).alias("y_hex"))
+    """A synthetic frame for each part, numbered by its key."""
+    rows = synthetic.frames_of(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 12, 8)
+    return rows.select("p_partkey", *[F.md5(F.hex(c)).alias(c) for c in "yuv"])
 
 
-@query("SELECT doc_id, md5(string_agg(substr(h, i * 32 + 1, 24), '' ORDER BY i)) AS visible_md5 FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(0, 8)) AS i FROM documents WHERE strlen(text) >= 128) GROUP BY doc_id")
+@query("""
+WITH d AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) // 16 AS n FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, string_agg(substr(h, (i * 32 + 1)::INT, 24), '' ORDER BY i) AS v FROM (SELECT doc_id, h, unnest(range(n)) AS i FROM d) GROUP BY doc_id)
+SELECT doc_id, md5(coalesce(v, '')) AS visible_md5 FROM d LEFT JOIN r USING (doc_id)""")
 def visible_plane(spark, sf_dir):
-    """A plane of eight rows with a stride of 16, of which 12 bytes are visible."""
-    d = read(spark, sf_dir, "documents").where(F.octet_length("text") >= 128)
-    return d.select("doc_id", F.md5(F.hex(quality.visible_rows(F.col("text").cast("binary"), 16, 12, 8))).alias("visible_md5"))
+    """Each text as a plane with a stride of 16, of which 12 bytes are visible."""
+    d = read(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("t", F.col("text").cast("binary"))
+    return d.select("doc_id", F.md5(F.hex(quality.visible_rows(F.col("t"), 16, 12, F.floor(F.length("t") / 16).cast("int")))).alias("visible_md5"))
 
 
 @query("""
@@ -169,11 +174,12 @@ def vp9_key_headers(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", headers.vp9_info(packet).alias("h")).select("p_partkey", *[f"h.{c}" for c in ("key_frame", "show_frame", "refresh_frame_flags", "width", "height")])
 
 
-@query("SELECT l_orderkey, l_linenumber, (l_partkey % 32768)::INT AS picture_id, l_partkey % 3 > 0 AS wide, (l_suppkey % 256)::INT AS tl0picidx, l_linenumber % 4 AS temporal_id, l_linenumber = 1 AS start FROM lineitem WHERE l_partkey % 3 > 0 OR l_partkey % 32768 < 128")
+@query("SELECT l_orderkey, l_linenumber, (l_partkey % 32768)::INT AS picture_id, l_partkey % 3 > 0 OR l_partkey % 32768 >= 128 AS wide, (l_suppkey % 256)::INT AS tl0picidx, l_linenumber % 4 AS temporal_id, l_linenumber = 1 AS start FROM lineitem")
 def vp8_descriptors(spark, sf_dir):
     """RTP descriptors as bytes, and what the parser reads from them."""
-    wide, pid = F.col("l_partkey") % 3 > 0, F.col("l_partkey") % 32768
-    li = read(spark, sf_dir, "lineitem").where(wide | (pid < 128))
+    pid = F.col("l_partkey") % 32768
+    wide = (F.col("l_partkey") % 3 > 0) | (pid >= 128)
+    li = read(spark, sf_dir, "lineitem")
     byte = lambda c: rtp.little_endian(c, 1)
     number = F.when(wide, F.unhex(F.lpad(F.hex((pid + 32768).cast("bigint")), 4, "0"))).otherwise(byte(pid))
     packet = F.concat(byte(F.when(F.col("l_linenumber") == 1, 0x90).otherwise(0x80)), F.unhex(F.lit("E0")), number, byte(F.col("l_suppkey") % 256), byte((F.col("l_linenumber") % 4) * 64))
@@ -434,14 +440,14 @@ def key_distances(spark, sf_dir):
     return walks.key_distance(e, ["user_id"], "f", "key", 61).select("user_id", F.col("f").cast("bigint").alias("f"), F.col("distance").cast("bigint").alias("distance"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN -1 WHEN doc_id % 3 = 1 THEN strlen(text)::INT ELSE (strlen(text) // 2)::INT END AS at FROM documents WHERE strlen(text) > 0 AND strlen(text) = length(text)")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN -1 WHEN doc_id % 3 = 1 THEN strlen(text)::INT ELSE (strlen(text) // 2)::INT END AS at FROM documents WHERE strlen(text) > 0")
 def byte_difference(spark, sf_dir):
     """Texts against themselves, against a longer one, and against one with another byte in the middle."""
-    d = read(spark, sf_dir, "documents").where((F.octet_length("text") > 0) & (F.octet_length("text") == F.length("text")))
-    k, t = F.col("doc_id") % 3, F.col("text")
+    d = read(spark, sf_dir, "documents").where(F.octet_length("text") > 0).select("doc_id", F.col("text").cast("binary").alias("t"))
+    k, t = F.col("doc_id") % 3, F.col("t")
     half = F.floor(F.length(t) / 2).cast("int")
-    other = F.when(k == 0, t).when(k == 1, F.concat(t, F.lit("x"))).otherwise(F.concat(F.substring(t, F.lit(1), half), F.lit("\x01"), F.substring(t, half + 2, F.length(t))))
-    return d.select("doc_id", walks.first_byte_difference(t.cast("binary"), other.cast("binary")).alias("at"))
+    other = F.when(k == 0, t).when(k == 1, F.concat(t, F.lit(b"x"))).otherwise(F.concat(F.substring(t, F.lit(1), half), F.lit(b"\x01"), F.substring(t, half + 2, F.length(t))))
+    return d.select("doc_id", walks.first_byte_difference(t, other).alias("at"))
 
 
 _RUNS = "SELECT user_id % 20 AS run, event_id, (round(value * 100))::BIGINT AS ns, event_type = 'error' AS dropped, (event_id % 5000)::BIGINT AS bytes, (event_id % 64)::BIGINT AS q, event_type = 'signup' AS key FROM events"
@@ -545,12 +551,11 @@ def report_ratio(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", r(compare.ratio(F.col("c_custkey"), F.col("c_acctbal")), 6).alias("ratio"))
 
 
-@query("SELECT l_orderkey, l_linenumber, s.o_orderkey AS source FROM (SELECT *, CASE WHEN l_partkey < (SELECT max(o_orderkey) FROM orders) THEN l_partkey ELSE l_orderkey END AS at FROM lineitem) l JOIN orders s ON s.o_orderkey = l.at")
+@query("SELECT l_orderkey, l_linenumber, s.o_orderkey AS source FROM (SELECT *, CASE WHEN l_partkey < (SELECT count(*) FROM orders) THEN l_partkey ELSE l_orderkey END AS at FROM lineitem) l JOIN orders s ON s.o_orderkey = l.at")
 def pts_join(spark, sf_dir):
     """A decoded frame meets its source by timestamp, or by index where the timestamp lies beyond the source."""
     o = read(spark, sf_dir, "orders")
-    n = o.agg(F.max("o_orderkey")).first()[0]
-    return compare.join_by_pts(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), o.select(F.col("o_orderkey").alias("source")), "l_partkey", "l_orderkey", "source", n).select("l_orderkey", "l_linenumber", "source")
+    return compare.join_by_pts(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), o.select(F.col("o_orderkey").alias("source")), "l_partkey", "l_orderkey", "source").select("l_orderkey", "l_linenumber", "source")
 
 
 @query("""
@@ -612,13 +617,13 @@ def encoder_rules(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 100 = floor(l_discount * 100) AND l_linenumber = 1 THEN l_partkey::VARCHAR ELSE rtrim(rtrim(printf('%.4f', l_partkey + 0.5), '0'), '.') END AS num, CASE WHEN l_linenumber = 1 THEN 'yes' ELSE 'no' END AS flag,
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_partkey::VARCHAR ELSE rtrim(rtrim(printf('%.4f', l_partkey + 0.5), '0'), '.') END AS num, CASE WHEN l_linenumber = 1 THEN 'yes' ELSE 'no' END AS flag,
        CASE WHEN l_linenumber = 3 THEN l_linenumber || ' ns' WHEN l_partkey = 0 THEN '7 ns' WHEN l_partkey < 1000 THEN printf('%.2f µs', (l_partkey * 1000 + 7) / 1000.0) ELSE printf('%.2f ms', (l_partkey * 1000 + 7) / 1000000.0) END AS took,
        CASE WHEN l_linenumber = 3 THEN l_linenumber || ' B' WHEN l_partkey = 0 THEN '7 B' WHEN l_partkey < 1024 THEN printf('%.2f KiB', (l_partkey * 1024 + 7) / 1024.0) ELSE printf('%.2f MiB', (l_partkey * 1024 + 7) / 1048576.0) END AS size, CASE WHEN l_linenumber = 2 OR l_suppkey <= 0 THEN '-' ELSE printf('%.2fx', l_suppkey / 4.0) END AS ratio,
-       l_linenumber || ',' || printf('%.6f', l_discount) || ',' || printf('%.9f', l_tax) AS csv, printf('%dpp', 100 - l_linenumber) AS gap FROM lineitem WHERE l_linenumber > 1 OR l_discount * 100 = floor(l_discount * 100)""")
+       l_linenumber || ',' || printf('%.6f', l_discount) || ',' || printf('%.9f', l_tax) AS csv, printf('%dpp', 100 - l_linenumber) AS gap FROM lineitem""")
 def figures_as_text(spark, sf_dir):
     p, n = F.col("l_partkey"), F.col("l_linenumber")
-    li = read(spark, sf_dir, "lineitem").where((n > 1) | (F.col("l_discount") * 100 == F.floor(F.col("l_discount") * 100)))
+    li = read(spark, sf_dir, "lineitem")
     return li.select(
         "l_orderkey", "l_linenumber", formats.trimmed(F.when(n == 1, p.cast("double")).otherwise(p + 0.5)).alias("num"), formats.yes_no(n == 1).alias("flag"), formats.duration(F.when(n == 3, n).otherwise(p * 1000 + 7)).alias("took"), formats.byte_size(F.when(n == 3, n).otherwise(p * 1024 + 7)).alias("size"),
         formats.ratio_text(F.when(n == 2, 0.0).otherwise(F.col("l_suppkey") / 4), "x").alias("ratio"), formats.csv_line((n, None), (F.col("l_discount"), 6), (F.col("l_tax"), 9)).alias("csv"), formats.gap_cell(F.lit("gap_pp"), n.cast("double")).alias("gap"),
@@ -669,12 +674,12 @@ def window_alerts(spark, sf_dir):
     return intervals.alerts(w, ["user_id", "start"], rules).select("user_id", F.to_date("start").alias("day"), "alert")
 
 
-@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN (event_id % 100)::DOUBLE END AS packets, CASE WHEN event_type <> 'error' AND event_id % 2 = 0 THEN value END AS decoded FROM events WHERE event_type <> 'signup'")
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN (event_id % 100)::DOUBLE END AS packets, CASE WHEN event_type <> 'error' AND event_id % 2 = 0 THEN value END AS decoded FROM events")
 def inbound_stats(spark, sf_dir):
     """The inbound video report of a map of reports; counters that are not finite are null."""
     from codalake.operators import intervals
 
-    e = read(spark, sf_dir, "events").where("event_type <> 'signup'")
+    e = read(spark, sf_dir, "events")
     video = F.struct(F.lit("inbound-rtp").alias("type"), F.lit("video").alias("kind"), (F.col("event_id") % 100).alias("packetsReceived"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("framesDecoded"))
     audio = F.struct(F.lit("inbound-rtp").alias("type"), F.lit("audio").alias("kind"), F.lit(1).alias("packetsReceived"))
     report = F.when(F.col("event_type") != "error", F.to_json(F.struct(audio.alias("a"), video.alias("v")))).otherwise(F.to_json(F.struct(audio.alias("a"))))
@@ -699,6 +704,7 @@ def repair_cap(spark, sf_dir):
 @query("SELECT conv_id, count(*) FILTER (role <> 'user') AS skipped, arg_max('line ' || turn, turn) AS last_line, count(*) FILTER (role <> 'user') = 0 AS accepted FROM conversations GROUP BY 1")
 def step_summary(spark, sf_dir):
     """The output of a step: its skips, its last line, and whether it counts."""
-    line = F.when(F.col("role") != "user", F.concat(F.lit("--- SKIP: "), F.col("turn"))).otherwise(F.lit("ok"))
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line"), F.concat(F.lit("line "), F.col("turn")).alias("t"))
-    return c.groupBy("conv_id").agg(F.count_if(F.col("line").startswith("--- SKIP:")).alias("skipped"), F.max(F.struct("turn", "t"))["t"].alias("last_line"), (F.count_if(F.col("line").startswith("--- SKIP:")) == 0).alias("accepted"))
+    skipped = F.when(F.col("role") != "user", F.concat(F.lit("--- SKIP: "), F.col("turn"))).otherwise(F.concat(F.lit("line "), F.col("turn")))
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", skipped.alias("line"))
+    out = reports.step_summary(c, ["conv_id"], "turn", "line")
+    return out.select("conv_id", "skipped", F.regexp_replace("last_line", "^--- SKIP: ", "line ").alias("last_line"), "accepted")

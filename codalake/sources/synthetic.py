@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-
-SCHEMA = "idx int, width int, height int, y binary, u binary, v binary"
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def frame(width: int, height: int, index: int) -> tuple[bytes, bytes, bytes]:
@@ -16,12 +19,20 @@ def frame(width: int, height: int, index: int) -> tuple[bytes, bytes, bytes]:
     return y, bytes([96 + index % 64]) * n, bytes([160 - index % 64]) * n
 
 
-def synthetic_frames(spark: SparkSession, width: int, height: int, count: int) -> DataFrame:
-    import pandas as pd
+def frames_of(rows: DataFrame, index: str, width: int, height: int) -> DataFrame:
+    """rows with the planes y, u, v of the frame that their index numbers."""
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("y binary, u binary, v binary").fields])
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(int(i), width, height, *frame(width, height, int(i))) for i in pdf["id"]]
-            yield pd.DataFrame(rows, columns=["idx", "width", "height", "y", "u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            planes = [frame(width, height, int(i)) for i in batch.column(index).to_pylist()]
+            made = [pa.array([p[k] for p in planes], pa.binary()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
-    return spark.range(count).mapInPandas(run, SCHEMA)
+    return rows.mapInArrow(run, schema)
+
+
+def synthetic_frames(spark: SparkSession, width: int, height: int, count: int) -> DataFrame:
+    """idx, width, height, y, u, v of the first frames."""
+    rows = spark.range(count).select(F.col("id").cast("int").alias("idx"), F.lit(width).alias("width"), F.lit(height).alias("height"))
+    return frames_of(rows, "idx", width, height)
