@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codalake.functions import layouts, quality
-from codalake.operators import folds, keyframes, packets, walks
+from codalake.operators import folds, keyframes, packets, sets, traces, walks
 from codalake.plans.catalog import read, registry
 from codalake.sources import baselines, containers, shared
 
@@ -284,3 +284,56 @@ def cursor_labels(spark, sf_dir):
     """Urls as cases of a fuzzer, labelled by the bytes that a cursor reads from them."""
     url = F.coalesce(F.col("url"), F.lit("")).cast("binary")
     return read(spark, sf_dir, "pages").select("page_id", layouts.option_label(url).alias("options"), layouts.layer_label(url).alias("layers"))
+
+
+# Projections, planes and keys
+
+
+@query("""
+SELECT event_id, 'click' AS type, 'user_id' AS field, user_id::VARCHAR AS text FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'click', 'n', (event_id % 7)::VARCHAR FROM events WHERE event_type = 'click' AND event_id % 7 > 0
+UNION ALL SELECT event_id, 'error', 'n', (event_id % 7)::VARCHAR FROM events WHERE event_type = 'error' AND event_id % 7 > 0""")
+def trace_projection(spark, sf_dir):
+    """Of two kinds of trace rows the allowed fields; fields that a row lacks stay absent, other kinds go."""
+    e = read(spark, sf_dir, "events")
+    row = F.to_json(F.struct(F.col("event_type").alias("type"), "user_id", F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 7).alias("n"), "event_id"))
+    rows = e.select(F.col("event_id").alias("line_no"), F.parse_json(row).alias("row"))
+    out = traces.project(rows, {"click": ["user_id", "n", "nothing"], "error": ["n"]})
+    return out.select(F.col("line_no").alias("event_id"), "type", F.explode("fields").alias("field", "text"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey % 3 = 1 AS one, l_partkey % 3 = 1 AND l_suppkey % 2 = 0 AS both, true AS every FROM lineitem")
+def wildcard_filters(spark, sf_dir):
+    """Equalities of which some are left out."""
+    p, s = F.col("l_partkey") % 3, F.col("l_suppkey") % 2
+    match = lambda a, b: traces.wildcard(p, a) & traces.wildcard(s, b)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", match(1, -1).alias("one"), match(1, 0).alias("both"), match(-1, -1).alias("every"))
+
+
+_PAIRS = """
+d AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) > 0),
+p AS (SELECT doc_id, n, k, ('0x' || x)::INT::DOUBLE AS x, ('0x' || y)::INT::DOUBLE AS y FROM (SELECT doc_id, n, unnest(range(n)) AS k, unnest(l) AS x, unnest(list_reverse(l)) AS y FROM d))"""
+
+
+@query(f"""
+WITH {_PAIRS}, m AS (SELECT doc_id, n, sum((x - y) * (x - y)) AS sse, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM p GROUP BY 1, 2)
+SELECT doc_id, round((n * ((2 * mx * my + 6.5025) * (2 * c + 58.5225) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))) + 8) / (n + 8), 6) AS ssim,
+       round(CASE WHEN sse = 0 THEN 100 ELSE least(100, 10 * log10(65025.0 * (n + 8) / sse)) END, 6) AS psnr FROM m""")
+def frame_quality_of_texts(spark, sf_dir):
+    """Each whole text as luma against itself backwards, with equal chroma of four pixels each."""
+    d = read(spark, sf_dir, "documents").where(F.octet_length("text") > 0).select("doc_id", F.col("text").cast("binary").alias("a"), F.lit(b"abcd").alias("u"))
+    back = F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex("a"), F.lit("(..)"), 1)), ""))
+    q = quality.frame_quality("a", "u", "u", "b", "u", "u")
+    return d.withColumn("b", back).select("doc_id", q.alias("q")).select("doc_id", F.round("q.ssim", 6).alias("ssim"), F.round("q.psnr", 6).alias("psnr"))
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, ((n + sum((n - k) * x::BIGINT)) % 65521 * 65536 + (1 + sum(x::BIGINT)) % 65521)::BIGINT AS adler FROM p GROUP BY doc_id, n")
+def plane_adler(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where(F.octet_length("text") > 0)
+    return d.select("doc_id", quality.adler32(F.col("text").cast("binary")).alias("adler"))
+
+
+@query("SELECT DISTINCT key FROM (SELECT unnest([event_type, 'k' || (user_id % 10)]) AS key FROM events) ORDER BY key")
+def union_of_keys(spark, sf_dir):
+    """The sorted union of the keys of maps."""
+    e = read(spark, sf_dir, "events").select(F.create_map(F.col("event_type"), F.lit(1), F.concat(F.lit("k"), F.col("user_id") % 10), F.lit(2)).alias("m"))
+    return sets.union_keys(e, "m")
