@@ -78,3 +78,15 @@ def layer_label(data: Column) -> Column:
     mode = lambda names: pick(data, 2, names * 2)  # noqa: E731  four values, of which the last bit counts
     shape = cursor_byte(data, 0) % 3
     return F.when(shape == 0, F.concat(F.lit("multires_"), tail)).when(shape == 1, F.concat(F.lit("svc2tl_"), mode(LAYER_MODES[0]), F.lit("_"), tail)).otherwise(F.concat(F.lit("svc3tl_"), mode(LAYER_MODES[1]), F.lit("_"), tail))
+
+
+def bits(value: Column, n: int) -> Column:
+    """A whole number as n binary digits."""
+    return F.lpad(F.bin(value.cast("bigint")), n, "0")
+
+
+def bytes_of_bits(digits: Column) -> Column:
+    """Binary digits as bytes, filled up with zeros."""
+    count = F.ceil(F.length(digits) / 8).cast("int")
+    one = lambda i: F.lpad(F.conv(F.rpad(F.substring(digits, 8 * i + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0")
+    return F.when(count > 0, F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), count - 1), one), ""))).otherwise(F.lit(b""))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codalake.functions import layouts, quality
-from codalake.operators import folds, keyframes, packets, sets, traces, walks
+from codalake.operators import folds, frameheaders, keyframes, packets, sets, traces, walks
 from codalake.plans.catalog import read, registry
 from codalake.sources import baselines, containers, shared
 
@@ -337,3 +337,37 @@ def union_of_keys(spark, sf_dir):
     """The sorted union of the keys of maps."""
     e = read(spark, sf_dir, "events").select(F.create_map(F.col("event_type"), F.lit(1), F.concat(F.lit("k"), F.col("user_id") % 10), F.lit(2)).alias("m"))
     return sets.union_keys(e, "m")
+
+
+@query("""
+WITH p AS (SELECT p_size AS s, p_partkey AS k, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part),
+f AS (SELECT *, n = 1 OR k % 10 = 0 AS key, n > 1 AND k % 10 <> 0 AND k % 3 = 0 AS takes, (k % 8)::INT AS slot, ((k + 3) % 8)::INT AS ref, k % 5 = 2 AS updates, k % 7 = 3 AS broken FROM p),
+w AS (SELECT *, CASE WHEN NOT takes THEN 64 + k % 2000 END AS own FROM f),
+kept AS (SELECT * FROM w WHERE NOT broken OR key)
+SELECT w.s AS p_size, w.k AS p_partkey, CASE WHEN w.broken AND NOT w.key THEN 'truncated header' END AS error,
+  CASE WHEN NOT (w.broken AND NOT w.key) THEN coalesce(w.own, z.own) END::INT AS width,
+  CASE WHEN NOT (w.broken AND NOT w.key) THEN CASE WHEN w.updates THEN w.k % 60 ELSE coalesce(d.delta, 0) END END::INT AS delta,
+  CASE WHEN NOT (w.broken AND NOT w.key) THEN (w.k % 255) END::INT AS base_q
+FROM w LEFT JOIN LATERAL (WITH RECURSIVE c AS (SELECT w.ref AS slot, w.n AS n, NULL::BIGINT AS own, w.takes AS open
+    UNION ALL
+    SELECT x.ref, x.n, x.own, x.takes FROM c JOIN LATERAL (SELECT * FROM kept k2 WHERE k2.s = w.s AND k2.n < c.n AND (k2.key OR k2.slot = c.slot) ORDER BY k2.n DESC LIMIT 1) x ON true WHERE c.open)
+  SELECT own FROM c WHERE NOT open LIMIT 1) z ON true
+LEFT JOIN LATERAL (SELECT CASE WHEN k3.updates THEN k3.k % 60 ELSE 0 END AS delta FROM kept k3 WHERE k3.s = w.s AND k3.n < w.n AND (k3.key OR k3.updates) AND NOT w.key ORDER BY k3.n DESC LIMIT 1) d ON true""")
+def frame_header_streams(spark, sf_dir):
+    """Parts as coded frames of a stream for each size: key frames, frames that take their size from a reference slot or bring their own,
+    loop-filter deltas that last until the next key frame, and frames that are cut short."""
+    b, k = layouts.bits, F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select("p_size", "p_partkey")
+    first = F.col("p_partkey") == F.min("p_partkey").over(Window.partitionBy("p_size"))
+    p = p.withColumn("key", first | (k % 10 == 0)).withColumn("takes", ~F.col("key") & (k % 3 == 0))
+    size = F.concat(b(63 + k % 2000, 16), b(F.lit(47), 16))
+    ref = F.concat(b((k + 3) % 8, 3), F.lit("0"))
+    key = F.concat(F.lit("10000010"), b(F.lit(frameheaders.SYNC), 24), F.lit("0010"), size, F.lit("0"))
+    inter = F.concat(F.lit("1000011000"), b(F.pow(F.lit(2), k % 8), 8), ref, ref, ref, F.when(F.col("takes"), "1").otherwise(F.concat(F.lit("000"), size)), F.lit("0"), F.lit("01"))
+    deltas = F.when(k % 5 == 2, F.concat(F.lit("1101"), b(k % 60, 6), F.lit("00000"))).otherwise("10")
+    # Zeros end the choice of tile columns and rows, and ones give the first partition a size, however many bits the choice takes.
+    tail = F.concat(F.lit("1000"), b(k % 64, 6), F.lit("000"), deltas, b(k % 255, 8), F.lit("000"), F.lit("0"), F.lit("00"), F.lit("1" * 24))
+    whole = layouts.bytes_of_bits(F.concat(F.when(F.col("key"), key).otherwise(inter), tail))
+    frames = p.withColumn("payload", F.when(~F.col("key") & (k % 7 == 3), F.substring(whole, F.lit(1), F.lit(4))).otherwise(whole)).select("p_size", "p_partkey", "payload")
+    out = frameheaders.frame_headers(frames, "p_size", ["p_partkey"], "payload")
+    return out.select("p_size", "p_partkey", "error", "width", F.get("ref_deltas", F.lit(1)).alias("delta"), "base_q")
