@@ -190,6 +190,18 @@ def rolling_average(df: DataFrame, by: str, order: list[str], value: str, weight
     return ordered_fold(df, by, order, [value], dict, step, "rolling bigint")
 
 
+def noise_average(levels: DataFrame, by: str, order: list[str], level: str, start: int = 0) -> DataFrame:
+    """Adds noise: (3 * before + 40 * bin) >> 2 in whole numbers, from `start`; bins are those of aggregates.noise_level. A frame
+    without one (null) leaves it as it is."""
+
+    def step(s: dict, found) -> tuple[int]:
+        if found is not None:
+            s["v"] = (3 * s["v"] + 40 * int(found)) >> 2
+        return (s["v"],)
+
+    return ordered_fold(levels, by, order, [level], lambda: {"v": start}, step, "noise bigint")
+
+
 @dataclass
 class Sequencer:
     picture: int = 0

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codalake.functions import layouts, quality
+from codalake.operators import aggregates as agg
 from codalake.operators import folds, frameheaders, keyframes, packets, sets, traces, walks
 from codalake.plans.catalog import read, registry
-from codalake.sources import baselines, containers, shared
+from codalake.sources import baselines, containers, shared, synthetic, text
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -371,3 +372,46 @@ def frame_header_streams(spark, sf_dir):
     frames = p.withColumn("payload", F.when(~F.col("key") & (k % 7 == 3), F.substring(whole, F.lit(1), F.lit(4))).otherwise(whole)).select("p_size", "p_partkey", "payload")
     out = frameheaders.frame_headers(frames, "p_size", ["p_partkey"], "payload")
     return out.select("p_size", "p_partkey", "error", "width", F.get("ref_deltas", F.lit(1)).alias("delta"), "base_q")
+
+
+@query("SELECT conv_id, turn, md5(text) AS seed_md5 FROM conversations WHERE text IS NOT NULL")
+def fuzz_seed_files(spark, sf_dir):
+    """Texts written as seed files of a fuzzer, one literal each with every byte escaped or plain, and read again."""
+    path = shared.shared_folder(spark, "seeds")
+    c = read(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    escaped = F.array_join(F.transform(F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit("(..)"), 1), lambda h: F.concat(F.lit("\\x"), h)), "")
+    plain = F.col("text")
+    for raw, quoted in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        plain = F.replace(plain, F.lit(raw), F.lit(quoted))
+    body = F.when(F.col("turn") % 2 == 0, escaped).otherwise(plain)
+    lines = c.select("conv_id", "turn", F.concat(F.lit('go test fuzz v1\n[]byte("'), body, F.lit('")')).alias("value"))
+    lines.write.partitionBy("conv_id", "turn").text(path)
+    # Each turn is a folder of one file.
+    found = text.fuzz_seeds(spark, path)
+    at = lambda name: F.regexp_extract("path", f"{name}=(\\d+)", 1).cast("bigint")
+    return found.select(at("conv_id").alias("conv_id"), at("turn").alias("turn"), F.md5("seed").alias("seed_md5"))
+
+
+@query("""
+WITH b AS (SELECT l_suppkey % 10 AS s, l_shipdate::DATE AS d, least(floor(l_quantity * 50 / 100), 19)::BIGINT AS bin, l_quantity * 50 / 100 AS raw FROM lineitem),
+h AS (SELECT s, d, bin, count(*) AS n FROM b WHERE floor(raw) < 30 GROUP BY ALL),
+m AS (SELECT s, d, x AS bin, sum(n) AS n FROM (SELECT s, d, n, unnest([bin - 1, bin, bin + 1]) AS x FROM h) WHERE x BETWEEN 0 AND 19 GROUP BY ALL),
+l AS (SELECT s, d, bin, row_number() OVER (PARTITION BY s ORDER BY d) AS k FROM (SELECT s, d, bin FROM m QUALIFY row_number() OVER (PARTITION BY s, d ORDER BY n DESC, bin) = 1)),
+r AS (SELECT s, 0::BIGINT AS k, NULL::DATE AS d, 0::BIGINT AS v FROM (SELECT DISTINCT s FROM l) UNION ALL SELECT l.s, l.k, l.d, (3 * r.v + 40 * l.bin) // 4 FROM r JOIN l ON l.s = r.s AND l.k = r.k + 1)""".replace("WITH b", "WITH RECURSIVE b")
+    + " SELECT s, d, v AS noise FROM r WHERE k > 0")
+def noise_averages(spark, sf_dir):
+    """The noise bin of each day of a group of suppliers, and its moving average over the days."""
+    li = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("s"), F.to_date("l_shipdate").alias("d"), (F.col("l_quantity") * 50).alias("v"))
+    return folds.noise_average(agg.noise_level(li, ["s", "d"], "v"), "s", ["d"], "bin").select("s", "d", "noise")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, 2 * p_partkey AS dx, p_partkey AS dy FROM part),
+t AS (SELECT p_partkey, k // 12 AS r, k % 12 AS c, dx, dy FROM (SELECT *, unnest(range(96)) AS k FROM p)),
+v AS (SELECT p_partkey, r, c, (c + dx + r + dy) % 256 AS a, (c + dx) % 64 AS b, (r + dy) % 64 AS d FROM t),
+y AS (SELECT p_partkey, r * 12 + c AS k, 64 + (CASE WHEN a < 128 THEN a ELSE 256 - a END) * 255 // 128 // 4 + (CASE WHEN b < 32 THEN b ELSE 64 - b END) * 255 // 32 // 4 + (CASE WHEN d < 32 THEN d ELSE 64 - d END) * 255 // 32 // 4 AS y FROM v)
+SELECT p_partkey, md5(string_agg(format('{:02X}', least(y, 255)::INT), '' ORDER BY k)) AS y FROM y GROUP BY 1""")
+def panning_planes(spark, sf_dir):
+    """A frame of moving waves for each part, numbered by its key."""
+    rows = synthetic.frames_of(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 12, 8, "panning")
+    return rows.select("p_partkey", F.md5(F.hex("y")).alias("y"))

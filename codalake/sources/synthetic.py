@@ -19,13 +19,46 @@ def frame(width: int, height: int, index: int) -> tuple[bytes, bytes, bytes]:
     return y, bytes([96 + index % 64]) * n, bytes([160 - index % 64]) * n
 
 
-def frames_of(rows: DataFrame, index: str, width: int, height: int) -> DataFrame:
-    """rows with the planes y, u, v of the frame that their index numbers."""
+def _triangle(x: np.ndarray, period: int) -> np.ndarray:
+    """A triangle wave from 0 to 255 in whole numbers."""
+    half, at = period // 2, x % period
+    return np.where(at < half, at, period - at) * 255 // half
+
+
+def panning(width: int, height: int, index: int) -> tuple[bytes, bytes, bytes]:
+    """Smooth waves that move by two columns and one row a frame."""
+    y, x = np.mgrid[:height, :width]
+    x, y = x + 2 * index, y + index
+    luma = 64 + _triangle(x + y, 256) // 4 + _triangle(x, 64) // 4 + _triangle(y, 64) // 4
+    v, u = np.mgrid[: (height + 1) // 2, : (width + 1) // 2]
+    chroma = lambda at: 128 + np.trunc((_triangle(at, 128) - 128) / 8).astype(np.int64)
+    return tuple(np.clip(p, 0, 255).astype(np.uint8).tobytes() for p in (luma, chroma(2 * u + 2 * index), chroma(2 * v + index)))
+
+
+def checker(width: int, height: int, index: int) -> tuple[bytes, bytes, bytes]:
+    """Squares of 16 pixels that move by a column a frame, and by a row every second one."""
+
+    def odd(step: int, rows: int, columns: int) -> np.ndarray:
+        r, c = np.ogrid[:rows, :columns]
+        return ((step * c + index) // 16 ^ (step * r + index // 2) // 16) & 1
+
+    cells = odd(2, (height + 1) // 2, (width + 1) // 2)
+    planes = np.where(odd(1, height, width), 208, 48), np.where(cells, 144, 112), np.where(cells, 112, 144)
+    return tuple(p.astype(np.uint8).tobytes() for p in planes)
+
+
+#: What frames_of() makes, by kind.
+KINDS = {"ramp": frame, "panning": panning, "checker": checker}
+
+
+def frames_of(rows: DataFrame, index: str, width: int, height: int, kind: str = "ramp") -> DataFrame:
+    """rows with the planes y, u, v of the frame of that kind that their index numbers."""
+    make = KINDS[kind]
     schema = StructType([*rows.schema.fields, *StructType.fromDDL("y binary, u binary, v binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            planes = [frame(width, height, int(i)) for i in batch.column(index).to_pylist()]
+            planes = [make(width, height, int(i)) for i in batch.column(index).to_pylist()]
             made = [pa.array([p[k] for p in planes], pa.binary()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 

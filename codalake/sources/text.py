@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,3 +135,53 @@ def first_pass_stats(spark: SparkSession, path: str, fields: list[str]) -> DataF
                 yield out
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+# Seeds of a fuzzer: text files with one line []byte("...") whose literal is quoted as in the Go language.
+
+# What a backslash and one letter stand for.
+_ESCAPES = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "\\": 92, '"': 34}
+_ESCAPE = re.compile(rb"""\\(?:([abfnrtv\\"])|x([0-9a-fA-F]{2})|([0-3][0-7]{2})|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|(.?))""", re.S)
+
+
+def unquoted(literal: bytes) -> bytes:
+    """The bytes of a quoted literal, with escapes or between backquotes; anything else is an error."""
+    if len(literal) > 1 and literal[:1] == literal[-1:] == b"`" and b"`" not in literal[1:-1]:
+        return literal[1:-1].replace(b"\r", b"")
+    body = literal[1:-1]
+    if len(literal) < 2 or literal[:1] != b'"' or literal[-1:] != b'"' or b"\n" in body or re.search(rb'(?<!\\)(?:\\\\)*"', body):
+        raise ValueError("no quoted literal")
+
+    def one(m: re.Match) -> bytes:
+        if m[1]:
+            return bytes([_ESCAPES[m[1].decode()]])
+        if m[2] or m[3]:
+            return bytes([int(m[2], 16) if m[2] else int(m[3], 8)])
+        code = int(m[4] or m[5] or b"110000", 16)
+        if code >= 0x110000 or 0xD800 <= code < 0xE000:
+            raise ValueError("bad escape")
+        return chr(code).encode()
+
+    return _ESCAPE.sub(one, body)
+
+
+def seed_bytes(content: Column | str) -> Column:
+    """The bytes of the first []byte(...) line of a seed file; a file without one, or with a literal that is none, is an error."""
+
+    @F.udf("binary", useArrow=True)
+    def run(text: str | None) -> bytes | None:
+        if text is None:
+            return None
+        for line in text.split("\n"):
+            line = line.strip()
+            if line.startswith("[]byte(") and line.endswith(")"):
+                return unquoted(line[7:-1].encode("utf-8", "surrogateescape"))
+        raise ValueError("no []byte(...) line found")
+
+    return run(content)
+
+
+def fuzz_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """path, seed: the bytes of all seed files below path."""
+    files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), seed_bytes("value").alias("seed"))

@@ -98,3 +98,25 @@ def test_scrapes(spark, tmp_path):
 def test_synthetic(spark):
     r = synthetic.synthetic_frames(spark, 6, 4, 3).orderBy("idx").collect()[2]
     assert bytes(r["y"])[7] == 32 + ((3 * 1 + 5 * 1 + 14) & 191) and len(r["u"]) == 6
+
+
+def test_synthetic_kinds():
+    y, u, v = synthetic.checker(40, 20, 5)
+    at = lambda r, c: y[r * 40 + c]
+    assert (len(y), len(u), len(v)) == (800, 200, 200)
+    assert all(at(r, c) == (48 if (((c + 5) // 16) ^ ((r + 2) // 16)) % 2 == 0 else 208) for r in range(20) for c in range(40))
+    assert {(a, b) for a, b in zip(u, v, strict=True)} == {(112, 144), (144, 112)}
+    y, u, v = synthetic.panning(5, 3, 7)
+    wave = lambda x, p: (x % p if x % p < p // 2 else p - x % p) * 255 // (p // 2)
+    assert list(y) == [min(255, 64 + wave(c + 14 + r + 7, 256) // 4 + wave(c + 14, 64) // 4 + wave(r + 7, 64) // 4) for r in range(3) for c in range(5)]
+    assert list(u) == [128 + int((wave(2 * c + 14, 128) - 128) / 8) for _ in range(2) for c in range(3)]
+    assert list(v) == [128 + int((wave(2 * r + 7, 128) - 128) / 8) for r in range(2) for _ in range(3)]
+
+
+def test_seed_literals():
+    good = {rb'"a\x00\n\"\\"': b'a\x00\n"\\', rb'"\u00e9\U0001F600\377\a"': "é😀".encode() + b"\xff\x07", b"`raw\\n`": b"raw\\n", b'""': b""}
+    for literal, want in good.items():
+        assert text.unquoted(literal) == want
+    for bad in (b"abc", b'"', b'"a"b"', rb'"\q"', rb'"\xZZ"', rb'"\ud800"', b'"a\nb"', b"`a`b`", rb'"a\"'):
+        with pytest.raises(ValueError):
+            text.unquoted(bad)
