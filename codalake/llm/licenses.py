@@ -38,6 +38,11 @@ from .common import map_texts
 # Short notices by which texts declare a licence, by family.
 TEMPLATES = {
     "mit": [
+        "MIT License",
+        "The MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The Software is provided 'as is', without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "This project is licensed under the terms of the MIT license.",
@@ -45,12 +50,21 @@ TEMPLATES = {
         "SPDX-License-Identifier: MIT",
     ],
     "apache": [
+        "Apache License, Version 2.0, January 2004",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an 'AS IS' basis, without warranties or conditions of any kind, either express or implied.",
+        "See the License for the specific language governing permissions and limitations.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "gpl": [
+        "GNU General Public License, Version 3, 29 June 2007",
+        "GNU General Public License, Version 2, June 1991",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Released under the GPL version 2 or later.",
@@ -58,16 +72,28 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "lgpl": [
+        "GNU Lesser General Public License",
+        "See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
     "agpl": [
+        "GNU Affero General Public License",
+        "See the GNU Affero General Public License for more details.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
         "This program is licensed under the GNU Affero General Public License, version 3.",
         "Released under the AGPL version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "bsd": [
+        "BSD 3-Clause License",
+        "BSD 2-Clause License",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "This software is provided by the copyright holders and contributors 'as is' and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
         "Released under the BSD 3-Clause License.",
         "Licensed under the 2-clause BSD license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
@@ -75,11 +101,15 @@ TEMPLATES = {
         "SPDX-License-Identifier: BSD-2-Clause",
     ],
     "mpl": [
+        "Mozilla Public License, Version 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
     "isc": [
+        "ISC License",
+        "The Software is provided 'as is' and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.",
         "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
         "SPDX-License-Identifier: ISC",
@@ -117,6 +147,11 @@ ORDINARY = [
     "These materials are made of the source of the common law of nature.",
     "The free person may modify the form, and the use of the files is permitted.",
     "An artistic boost to the public domain of the foundation was made available.",
+    "The committee granted a license to the museum, subject to conditions on the use of its name.",
+    "Persons to whom the building is furnished may copy the documents without limitation.",
+    "The holders of the contract are liable for damages arising from the event.",
+    "A particular purpose of the distribution is to be seen in the library for more details.",
+    "The general received a copy of the list with the names of all contributors.",
 ]
 NONE = "none"
 FAMILIES = [NONE, *TEMPLATES]

@@ -284,3 +284,83 @@ def test_bpe_long_pretoken(coders):
     library, own = coders
     text = "abracadabra" * 3000
     assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+# Paragraphs as they stand in files: wrapped, numbered, in capitals, and longer than the templates.
+REAL = {
+    "bsd": ("""BSD 3-Clause License
+
+Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES.""", 6),
+    "mit": ("""MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""", 4),
+    "gpl": ("""GNU GENERAL PUBLIC LICENSE
+Version 3, 29 June 2007
+
+The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""", 4),
+    "apache": ("""2. Grant of Copyright License. Subject to the terms and conditions of
+this License, each Contributor hereby grants to You a perpetual,
+worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+copyright license to reproduce, prepare Derivative Works of,
+publicly display, publicly perform, sublicense, and distribute the
+Work and such Derivative Works in Source or Object form.""", 1),
+}
+# No notices, though many of their words are a notice's.
+LOOKALIKE = """The committee granted a license to the museum, subject to conditions on the use of its name, and any damages arising from the event shall be paid by the holders of the contract. Without limitation, persons to whom the building is furnished may copy the documents.
+The software of the museum is provided with a warranty; the distribution of copies to contributors is free of charge."""
+
+
+@pytest.mark.parametrize("family", sorted(REAL))
+def test_licence_paragraphs_of_files(family):
+    m = licenses.train()
+    text, count = REAL[family]
+    found = [x[2] for block in licenses.paragraphs(f"An introduction.\n\n{text}\n\nThe end of it.".encode()) for x in m.notices([w for *_, w in block])]
+    assert found == [family] * count
+    assert [x for block in licenses.paragraphs(LOOKALIKE.encode()) for x in m.notices([w for *_, w in block])] == []
