@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .walks import bounded_walk
+
 # Least distance of a group, what weighs and bounds the score of a frame, and how many frames a test looks at.
 LEAST_GROUP, WEIGHT, MOST_SCORE, LOOK = 4, 1.40, 14.0, 16
 STILL = 0.999
@@ -110,3 +112,64 @@ def frames_to_key(df: DataFrame, by: list[str], order: list[str], frequency: int
     n = F.col("__n")
     out = at.withColumn(name, F.when(n > frequency, F.floor(n / 2)).otherwise(n).cast("int"))
     return out.drop("__cut", "__rate", "__rn", "__still", "__step", "__rows", "__n")
+
+
+# What weighs and bounds the boost of a frame, the floor of the decay, and the sums of motion at which a sweep ends.
+BOOST_WEIGHT, MOST_BOOST, LEAST_DECAY = 1.5, 48.0, 0.1
+MOST_RATIO, MOST_MOVED, LEAST_MOVED = 100.0, 3.0, -2.0
+
+
+def _frame_boost(x: Column, moved: Column, least_intra: float) -> Column:
+    """The boost of a frame: how much better it is predicted than coded by itself, weighed by what moves in or out."""
+    divisor = F.when(F.abs(x["coded_error"]) < 1e-12, 1.0).otherwise(x["coded_error"])
+    ratio = F.lit(BOOST_WEIGHT) * F.greatest(x["intra_error"], F.lit(least_intra)) / divisor
+    return F.least(ratio + ratio * F.when(moved > 0, moved * 2.0).otherwise(moved / 2.0), F.lit(MOST_BOOST))
+
+
+def _scaled(boost: Column) -> Column:
+    return F.shiftright((boost * 100.0).cast("int"), 4)
+
+
+def group_boost(df: DataFrame, by: list[str], order: list[str], interval: int, least_intra: float, name: str) -> DataFrame:
+    """Adds the boost of a group that begins at each row, from the next `interval` rows: the sum of their boosts, each times the
+    product of the decay rates up to it. Behind the fourth row, one that adds less than 2 ends the walk where the sum is above 20 or the row is
+    weakly predicted; what it has added is taken back. Rows also have mv_in_out."""
+    state = lambda i, total, decay, stop: F.struct(i.alias("i"), total.alias("total"), decay.alias("decay"), stop.alias("stop"))
+
+    def step(s: Column, x: Column) -> Column:
+        decay = F.greatest(s["decay"] * x["__rate"], F.lit(LEAST_DECAY))
+        total = s["total"] + decay * _frame_boost(x, x["mv_in_out"] * x["pcnt_motion"], least_intra)
+        ends = (s["i"] > LEAST_GROUP) & ((total > 20.0) | (x["pcnt_inter"] < 0.75)) & (total - s["total"] < 2.0)
+        return F.when(ends, state(s["i"], s["total"], decay, F.lit(True))).otherwise(state(s["i"] + 1, total, decay, F.lit(False)))
+
+    begin = state(F.lit(1), F.lit(0.0), F.lit(1.0), F.lit(False))
+    inputs = ["pcnt_inter", "pcnt_motion", "mv_in_out", "intra_error", "coded_error", "__rate"]
+    out = bounded_walk(df.withColumn("__rate", decay_rate()), by, order, inputs, interval, begin, step, name)
+    return out.withColumn(name, _scaled(F.col(f"{name}.total"))).drop("__rate")
+
+
+def sweep_boosts(df: DataFrame, by: list[str], order: list[str], forward: int, backward: int, least_intra: float) -> DataFrame:
+    """Adds f_boost (of this and the next rows, `forward` in all), b_boost (of the `backward` rows before it) and boost, their sum.
+
+    A sweep ends behind the row at which the motion that it has seen is too much: that row still counts. Rows also have mv_in_out, mvr and mvc.
+    """
+    state = lambda total, decay, moved, far, ratio, stop: F.struct(total.alias("total"), decay.alias("decay"), moved.alias("moved"), far.alias("far"), ratio.alias("ratio"), stop.alias("stop"))
+
+    def step(s: Column, x: Column) -> Column:
+        motion = x["pcnt_motion"]
+        in_out = x["mv_in_out"] * motion
+        share = lambda size, sum_: F.least(F.abs(x[size]) / _safe(F.abs(x[sum_])), x[size]) * motion
+        ratio = s["ratio"] + F.when(motion > 0.05, share("mvr_abs", "mvr") + share("mvc_abs", "mvc")).otherwise(0.0)
+        moved, far = s["moved"] + in_out, s["far"] + F.abs(in_out)
+        decay = F.greatest(s["decay"] * x["__rate"], F.lit(LEAST_DECAY))
+        total = s["total"] + decay * _frame_boost(x, in_out, least_intra)
+        return state(total, decay, moved, far, ratio, (ratio > MOST_RATIO) | (far > MOST_MOVED) | (moved < LEAST_MOVED))
+
+    zero = F.lit(0.0)
+    begin = state(zero, F.lit(1.0), zero, zero, zero, F.lit(False))
+    inputs = ["pcnt_motion", "mv_in_out", "mvr", "mvc", "mvr_abs", "mvc_abs", "intra_error", "coded_error", "__rate"]
+    out = df.withColumn("__rate", decay_rate())
+    out = bounded_walk(out, by, order, inputs, forward, begin, step, "f_boost", 0)
+    out = bounded_walk(out, by, order, inputs, backward, begin, step, "b_boost", -1)
+    out = out.withColumns({c: _scaled(F.col(f"{c}.total")) for c in ("f_boost", "b_boost")})
+    return out.withColumn("boost", F.col("f_boost") + F.col("b_boost")).drop("__rate")

@@ -215,6 +215,54 @@ def key_frame_walks(spark, sf_dir):
     return keyframes.frames_to_key(_stats(spark, sf_dir), ["l_suppkey"], _ORDER, 8, "frames").select("l_suppkey", "l_orderkey", "l_linenumber", "frames")
 
 
+_MOTION = """
+b AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n,
+  least(1.0::DOUBLE, l_discount * 12.0) AS pi, CASE WHEN l_tax <= 0.03 THEN 0.0::DOUBLE ELSE l_tax * 10.0 END AS pm, l_quantity AS ra, l_linenumber::DOUBLE AS ca,
+  l_quantity / 7.0 - 2.0 AS r, (l_linenumber - 3)::DOUBLE AS c, (l_partkey % 9 - 4) / 4.0::DOUBLE AS io, l_extendedprice AS ie, l_quantity * 500.0 AS ce FROM lineitem),
+e AS (SELECT *, io * pm AS mo, sqrt(abs(ra * pm) * abs(ra * pm) + abs(ca * pm) * abs(ca * pm)) / 250.0 AS far, 1.5 * greatest(ie, 3000.0) / (CASE WHEN abs(ce) < 1e-12 THEN 1.0 ELSE ce END) AS q FROM b),
+s AS (SELECT *, least(pi, 1.0 - pm / 20.0, CASE WHEN far > 1.0 THEN 0.0 ELSE 1.0 - far END) AS rate, least(q + q * (CASE WHEN mo > 0 THEN mo * 2.0 ELSE mo / 2.0 END), 48.0) AS fb,
+  CASE WHEN pm > 0.05 THEN least(abs(ra) / (abs(r) + 0.000001), ra) * pm + least(abs(ca) / (abs(c) + 0.000001), ca) * pm ELSE 0.0 END AS mr FROM e)"""
+
+
+def _motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tax = F.col("l_tax")
+    return read(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
+        F.least(F.lit(1.0), F.col("l_discount") * 12.0).alias("pcnt_inter"), F.when(tax <= 0.03, 0.0).otherwise(tax * 10.0).alias("pcnt_motion"),
+        F.col("l_quantity").alias("mvr_abs"), F.col("l_linenumber").cast("double").alias("mvc_abs"), (F.col("l_quantity") / 7.0 - 2.0).alias("mvr"), (F.col("l_linenumber") - 3).cast("double").alias("mvc"),
+        ((F.col("l_partkey") % 9 - 4) / F.lit(4.0)).alias("mv_in_out"), F.col("l_extendedprice").alias("intra_error"), (F.col("l_quantity") * 500.0).alias("coded_error"),
+    )
+
+
+@query(f"""
+WITH RECURSIVE {_MOTION},
+w AS (SELECT l_suppkey, n, 1 AS i, 0.0::DOUBLE AS total, 1.0::DOUBLE AS decay, false AS stop FROM s
+  UNION ALL
+  SELECT w.l_suppkey, w.n, w.i + 1, CASE WHEN z.ends THEN w.total ELSE z.total END, z.decay, z.ends
+  FROM w JOIN s x ON x.l_suppkey = w.l_suppkey AND x.n = w.n + w.i, LATERAL (SELECT greatest(w.decay * x.rate, 0.1) AS decay) y,
+    LATERAL (SELECT y.decay AS decay, w.total + y.decay * x.fb AS total, w.i > 4 AND (w.total + y.decay * x.fb > 20.0 OR x.pi < 0.75) AND (w.total + y.decay * x.fb) - w.total < 2.0 AS ends) z
+  WHERE NOT w.stop AND w.i <= 8)
+SELECT l_suppkey, l_orderkey, l_linenumber, (trunc(total * 100.0)::INT >> 4)::INT AS boost FROM s JOIN (SELECT l_suppkey, n, arg_max(total, i) AS total FROM w GROUP BY 1, 2) t USING (l_suppkey, n)""")
+def group_boosts(spark, sf_dir):
+    """The boost of a group of eight frames that begins at each line of a supplier, whose last frame may be taken back."""
+    return keyframes.group_boost(_motion(spark, sf_dir), ["l_suppkey"], _ORDER, 8, 3000.0, "boost").select("l_suppkey", "l_orderkey", "l_linenumber", "boost")
+
+
+@query(f"""
+WITH RECURSIVE {_MOTION},
+w AS (SELECT l_suppkey, n, d, 0 AS i, 0.0::DOUBLE AS total, 1.0::DOUBLE AS decay, 0.0::DOUBLE AS moved, 0.0::DOUBLE AS far, 0.0::DOUBLE AS ratio, false AS stop FROM s, (SELECT unnest([1, -1]) AS d)
+  UNION ALL
+  SELECT w.l_suppkey, w.n, w.d, w.i + 1, w.total + y.decay * x.fb, y.decay, y.moved, y.far, y.ratio, y.ratio > 100.0 OR y.far > 3.0 OR y.moved < -2.0
+  FROM w JOIN s x ON x.l_suppkey = w.l_suppkey AND x.n = CASE WHEN w.d = 1 THEN w.n + w.i ELSE w.n - 1 - w.i END,
+    LATERAL (SELECT greatest(w.decay * x.rate, 0.1) AS decay, w.moved + x.mo AS moved, w.far + abs(x.mo) AS far, w.ratio + x.mr AS ratio) y
+  WHERE NOT w.stop AND w.i < CASE WHEN w.d = 1 THEN 7 ELSE 5 END),
+t AS (SELECT l_suppkey, n, d, (trunc(arg_max(total, i) * 100.0)::INT >> 4)::INT AS boost FROM w GROUP BY 1, 2, 3)
+SELECT l_suppkey, l_orderkey, l_linenumber, f.boost AS f_boost, b.boost AS b_boost, f.boost + b.boost AS boost FROM s JOIN t f USING (l_suppkey, n) JOIN t b USING (l_suppkey, n) WHERE f.d = 1 AND b.d = -1""")
+def boost_sweeps(spark, sf_dir):
+    """From each line of a supplier a sweep of seven frames forwards and of five backwards, which end by the motion that they have seen."""
+    return keyframes.sweep_boosts(_motion(spark, sf_dir), ["l_suppkey"], _ORDER, 7, 5, 3000.0).select("l_suppkey", "l_orderkey", "l_linenumber", "f_boost", "b_boost", "boost")
+
+
 # Planes, layers and byte ranges
 
 
