@@ -75,6 +75,24 @@ def first_mismatch(zipped: DataFrame, by: list[str], same: Column) -> DataFrame:
     )
 
 
+def compare_transitions(left: DataFrame, right: DataFrame, by: list[str], order: list[str], index: str, dropped: str, always: list[str], kept: list[str], spreads: list[str]) -> DataFrame:
+    """by, n, <field>_mismatches and <field>_spread of two series of equal length: how many positions differ in each field (those of `kept`
+    count only where neither row is dropped), and the largest absolute difference of the others. A series that is longer than
+    the other, or a position whose indexes differ, is an error."""
+    zipped = zip_positional(left, right, by, order, "full")
+    of = lambda c: (F.col(f"l.{c}"), F.col(f"r.{c}"))
+    one_side = F.col("l").isNull() | F.col("r").isNull()
+    wrong = F.when(one_side, F.raise_error(F.concat(F.lit("series of unequal length at position "), F.col("position")))).when(
+        ~of(index)[0].eqNullSafe(of(index)[1]), F.raise_error(F.concat(F.lit("indexes differ at position "), F.col("position")))
+    )
+    both = ~(F.coalesce(of(dropped)[0], F.lit(False)) | F.coalesce(of(dropped)[1], F.lit(False)))
+    differs = lambda c: ~of(c)[0].eqNullSafe(of(c)[1])
+    counts = [F.count_if(differs(c)).alias(f"{c}_mismatches") for c in always] + [F.count_if(both & differs(c)).alias(f"{c}_mismatches") for c in kept]
+    spread = [F.coalesce(F.max(F.abs(of(c)[0] - of(c)[1])), F.lit(0)).alias(f"{c}_spread") for c in spreads]
+    checked = F.count(F.when(wrong.cast("string").isNull(), F.lit(1)))
+    return zipped.groupBy(*by).agg(checked.alias("n"), *counts, *spread)
+
+
 def drop_aware_same(left_dropped: Column, right_dropped: Column, left_bytes: Column, right_bytes: Column) -> Column:
     """Two dropped rows match, one does not, and else the bytes are equal and not empty."""
     return F.when(left_dropped & right_dropped, True).when(left_dropped | right_dropped, False).otherwise((left_bytes == right_bytes) & (F.length(left_bytes) > 0))

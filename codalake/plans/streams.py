@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codalake.functions import layouts, quality
 from codalake.operators import aggregates as agg
-from codalake.operators import folds, frameheaders, keyframes, packets, sets, traces, walks
+from codalake.operators import compare, folds, frameheaders, keyframes, packets, sets, traces, walks
 from codalake.plans.catalog import read, registry
 from codalake.sources import baselines, containers, shared, synthetic, text
 
@@ -263,6 +263,20 @@ def boost_sweeps(spark, sf_dir):
     return keyframes.sweep_boosts(_motion(spark, sf_dir), ["l_suppkey"], _ORDER, 7, 5, 3000.0).select("l_suppkey", "l_orderkey", "l_linenumber", "f_boost", "b_boost", "boost")
 
 
+@query("""
+WITH l AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_tax AS t, l_returnflag = 'R' AS d FROM lineitem),
+r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, q + CASE WHEN l_partkey % 5 = 0 THEN l_partkey % 3 ELSE 0 END AS q2, CASE WHEN l_partkey % 7 = 0 THEN 0 ELSE t END AS t2, d OR l_partkey % 11 = 0 AS d2 FROM l),
+z AS (SELECT l.*, q2, t2, d2 FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, q) AS k FROM l) l
+      JOIN (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, q2) AS k FROM r) r ON l.l_suppkey = r.l_suppkey AND l.k = r.k)
+SELECT l_suppkey, count(*) AS n, count(*) FILTER (d <> d2) AS dropped_mismatches, count(*) FILTER (NOT (d OR d2) AND t <> t2) AS tax_mismatches, max(abs(q - q2)) AS quantity_spread FROM z GROUP BY 1""")
+def transition_counts(spark, sf_dir):
+    """A supplier's lines against a changed copy of them: differences in the drops, those of kept rows in the tax, and the largest one in quantity."""
+    li = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax"), (F.col("l_returnflag") == "R").alias("dropped"))
+    p = F.col("l_partkey")
+    other = li.withColumns({"quantity": F.col("quantity") + F.when(p % 5 == 0, p % 3).otherwise(0), "tax": F.when(p % 7 == 0, 0.0).otherwise(F.col("tax")), "dropped": F.col("dropped") | (p % 11 == 0)})
+    return compare.compare_transitions(li, other, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "quantity"], "l_orderkey", "dropped", ["dropped"], ["tax"], ["quantity"])
+
+
 # Planes, layers and byte ranges
 
 

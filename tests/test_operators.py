@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codalake.operators import aggregates, compare, folds, ordered, packets, sets
@@ -160,3 +161,14 @@ def test_order_statistics(spark):
         if g is not None:
             assert row[g] == sorted((float(v), i) for i, v in enumerate(vs))[n // 2]
     assert aggregates.percentiles(df.limit(0), ["g"], "v", [50]).count() == 0
+
+
+def test_compare_transitions(spark):
+    kind = "s int, i int, d boolean, q int, t int"
+    a = [(1, 0, False, 5, 1), (1, 1, True, 6, 2), (1, 2, False, 7, None), (2, 0, False, 1, 1)]
+    b = [(1, 0, False, 9, 1), (1, 1, False, 6, 3), (1, 2, False, 4, 3), (2, 0, False, 1, 1)]
+    run = lambda x, y: compare.compare_transitions(spark.createDataFrame(x, kind), spark.createDataFrame(y, kind), ["s"], ["i"], "i", "d", ["d"], ["t"], ["q"]).orderBy("s").collect()
+    assert [tuple(r) for r in run(a, b)] == [(1, 3, 1, 1, 4), (2, 1, 0, 0, 0)]
+    for x, y, what in ((a, b[1:], "unequal length|indexes differ"), (a[:-1], b, "unequal length"), (a, [*b[:2], (1, 5, False, 4, 3), b[3]], "indexes differ")):
+        with pytest.raises(Exception, match=what):
+            run(x, y)
