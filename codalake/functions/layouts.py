@@ -90,3 +90,10 @@ def bytes_of_bits(digits: Column) -> Column:
     count = F.ceil(F.length(digits) / 8).cast("int")
     one = lambda i: F.lpad(F.conv(F.rpad(F.substring(digits, 8 * i + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0")
     return F.when(count > 0, F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), count - 1), one), ""))).otherwise(F.lit(b""))
+
+
+def ebml(name: int, body: Column) -> Column:
+    """An element with a size of four bytes."""
+    width = (name.bit_length() + 7) // 8
+    size = F.unhex(F.lpad(F.hex(F.length(body).cast("bigint") + F.lit(0x10000000)), 8, "0"))
+    return F.concat(F.lit(name.to_bytes(width, "big")), size, body)

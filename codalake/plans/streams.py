@@ -9,7 +9,7 @@ from codalake.functions import layouts, quality
 from codalake.operators import aggregates as agg
 from codalake.operators import compare, folds, frameheaders, keyframes, packets, sets, traces, walks
 from codalake.plans.catalog import read, registry
-from codalake.sources import baselines, containers, shared, synthetic, text
+from codalake.sources import baselines, containers, shared, synthetic, text, webm
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -46,6 +46,28 @@ def ivf_files_by_ranges(spark, sf_dir):
     return found.select(F.regexp_extract(_name("path"), r"s-(\d+)\.ivf", 1).cast("bigint").alias("conv_id"), "fourcc", "idx", F.md5("payload").alias("payload_md5"))
 
 
+@query("""
+WITH c AS (SELECT conv_id, turn, hex(encode(text)) AS h, strlen(text) AS n FROM conversations WHERE strlen(text) > 0),
+p AS (SELECT conv_id, turn, 0 AS part, h AS x FROM c WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 0, substr(h, 1, 2 * (n // 2)) FROM c WHERE turn % 2 = 1 UNION ALL SELECT conv_id, turn, 1, substr(h, 2 * (n // 2) + 1) FROM c WHERE turn % 2 = 1)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1)::INT AS idx, md5(x) AS payload_md5 FROM p""")
+def webm_files_by_ranges(spark, sf_dir):
+    """A WebM file for each conversation, a cluster for each turn, every second one with two packets in a laced block; read by small ranges."""
+    path = shared.shared_folder(spark, "webm")
+    c = read(spark, sf_dir, "conversations").where(F.octet_length("text") > 0).select("conv_id", F.col("turn").alias("idx"), F.col("text").cast("binary").alias("t"))
+    tracks = layouts.ebml(webm.TRACKS, layouts.ebml(webm.TRACK, F.concat(layouts.ebml(webm.NUMBER, F.lit(b"\x01")), layouts.ebml(webm.CODEC, F.lit(b"V_VP9")))))
+    # A segment of unknown size, so that clusters follow as they come.
+    head = F.concat(layouts.ebml(0x1A45DFA3, F.lit(b"head")), F.lit(webm.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7), tracks)
+    half = F.floor(F.length("t") / 2).cast("int")
+    lengths = F.unhex(F.concat(F.repeat(F.lit("FF"), F.floor(half / 255).cast("int")), F.lpad(F.hex((half % 255).cast("bigint")), 2, "0")))
+    block = F.when(F.col("idx") % 2 == 0, F.concat(F.lit(b"\x81\0\0\0"), F.col("t"))).otherwise(F.concat(F.lit(b"\x81\0\0\x02\x01"), lengths, F.col("t")))
+    cluster = layouts.ebml(webm.CLUSTER, F.concat(layouts.ebml(0xE7, F.lit(b"\0")), layouts.ebml(webm.SIMPLE, block)))
+    chunks = c.select("conv_id", F.col("idx").cast("bigint").alias("idx"), cluster.alias("chunk"))
+    heads = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("bigint").alias("idx"), head.alias("chunk"))
+    containers.write_chunks(chunks.unionByName(heads), path, "conv_id", ".webm")
+    found = containers.read_webm(spark, path, range_bytes=300)
+    return found.select(F.regexp_extract(_name("path"), r"s-(\d+)\.webm", 1).cast("bigint").alias("conv_id"), "idx", F.md5(F.hex("payload")).alias("payload_md5"))
+
+
 @query("""
 WITH f AS (SELECT DISTINCT 's-' || conv_id || '.ivf' AS name, conv_id FROM conversations WHERE strlen(text) > 0), ranked AS (SELECT name, row_number() OVER (ORDER BY name) AS k FROM f WHERE conv_id % 2 = 0)
 SELECT 'all' AS search, name FROM ranked UNION ALL SELECT 'first', name FROM ranked WHERE k <= 10 UNION ALL SELECT 'other codec', name FROM f WHERE conv_id % 2 = 1""")

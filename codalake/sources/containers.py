@@ -1,10 +1,11 @@
-"""Containers as Spark data sources: format("ivf") and format("i420"), and the search for files.
+"""Containers as Spark data sources: format("ivf"), format("webm") and format("i420"), and the search for files.
 
 format("ivf") reads files of any size: a file beyond rangeBytes is cut into ranges at frame borders, each read by a
 task of its own, with a few megabytes in memory. To find the borders the planner reads the frame headers of such files,
 12 bytes each, in blocks. With option("payload", "false") no file is cut and tasks read headers only, so that counts and
 sizes cost no payload bytes. Writing makes a file for each stream; frames go out as they come, and files appear when the
-whole job has succeeded.
+whole job has succeeded. format("webm") reads the VP9 track of WebM files by ranges of blocks in the same way; its planner
+reads the headers of elements and blocks, and a file's bytes are never held as a whole.
 
 Paths are those of any store that pyarrow opens (local ones, file:, s3:, gs:, hdfs:). Call register() once a session.
 """
@@ -29,7 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from . import ivf
+from . import ivf, webm
 
 #: Bytes of one range, and of the blocks in which a range and frame headers are read.
 RANGE_BYTES = 64 << 20
@@ -158,6 +159,134 @@ class IvfReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
 
+# WebM: a flat walk over the headers of elements; parents are entered.
+
+
+@dataclass
+class BlockPieces(InputPartition):
+    """(path, start, end, number of the first packet, track) of each piece."""
+
+    pieces: list[tuple[str, int, int, int, int]]
+
+
+def flat_elements(blocks: Blocks, at: int, end: int, nested: bool = True) -> Iterator[tuple[int, int, int, int]]:
+    """(id, start, body, stop) of elements in order, parents before what they hold; a size of all ones reaches to the end of the parent.
+    nested: an element that reaches beyond its parent is an error (a range from within a parent cannot tell)."""
+    ends = [end]
+    while at < end:
+        while len(ends) > 1 and at >= ends[-1]:
+            ends.pop()
+        head = blocks.get(at, 16)
+        name, place, _ = webm.vint(head, 0, True)
+        size, place, width = webm.vint(head, place, False)
+        stop = ends[-1] if size == (1 << 7 * width) - 1 else at + place + size
+        if stop > ends[-1] and (nested or name not in webm.PARENTS):
+            raise ValueError("element reaches beyond its parent")
+        yield name, at, at + place, stop
+        if name in webm.PARENTS:
+            at += place
+            if nested:
+                ends.append(stop)
+        else:
+            at = stop
+
+
+def block_header(blocks: Blocks, body: int, stop: int) -> tuple[int, int, int, int]:
+    """(track, kind of lacing, start of the frames, number of frames) of a block."""
+    head = blocks.get(body, 16)[: stop - body]
+    track, place, _ = webm.vint(head, 0, False)
+    if place + 3 > len(head):
+        raise ValueError("truncated block")
+    kind = head[place + 2] >> 1 & 0x03
+    if kind and place + 4 > len(head):
+        raise ValueError("empty laced block")
+    return track, kind, body + place + 3, head[place + 3] + 1 if kind else 1
+
+
+def vp9_blocks(path: str) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(start, stop, track, kind of lacing, start of the frames, number of frames, number of the first packet) of the blocks of a file's VP9 track."""
+    blocks = Blocks(path, HEADER_BLOCK)
+    track = number = None
+    first = 0
+    try:
+        for name, start, body, stop in flat_elements(blocks, 0, blocks.size):
+            if name == webm.TRACK:
+                number = None
+            elif name == webm.NUMBER:
+                number = int.from_bytes(blocks.get(body, stop - body), "big")
+            elif name == webm.CODEC and track is None and blocks.get(body, stop - body).rstrip(b"\0") == b"V_VP9":
+                track = number if number is not None else -1
+            elif name in (webm.SIMPLE, webm.BLOCK):
+                which, kind, frames, count = block_header(blocks, body, stop)
+                if track in (which, -1):
+                    yield start, stop, track, kind, frames, count, first
+                    first += count
+    finally:
+        blocks.close()
+    if track is None:
+        raise ValueError("no VP9 track")
+
+
+class WebmReader(DataSourceReader):
+    def __init__(self, schema: StructType, options: dict[str, str]):
+        self.schema, self.path, self.glob = schema, options["path"], options.get("glob", "*.webm")
+        self.most = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
+
+    def _ranges(self, path: str) -> list[tuple[str, int, int, int, int]]:
+        out: list[tuple[str, int, int, int, int]] = []
+        for start, stop, track, *_, first in vp9_blocks(path):
+            if out and stop - out[-1][1] <= self.most:
+                out[-1] = (path, out[-1][1], stop, *out[-1][3:])
+            else:
+                out.append((path, start, stop, first, track))
+        return out
+
+    def partitions(self) -> list[InputPartition]:
+        with ThreadPoolExecutor(16) as pool:
+            pieces = [p for part in pool.map(lambda f: self._ranges(f[0]), below(self.path, self.glob)) for p in part]
+        out, held, total = [], [], 0
+        for piece in pieces:
+            if held and total + piece[2] - piece[1] > self.most:
+                out.append(BlockPieces(held))
+                held, total = [], 0
+            held.append(piece)
+            total += piece[2] - piece[1]
+        return [*out, BlockPieces(held)] if held else [BlockPieces([])]
+
+    def read(self, partition: BlockPieces) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(self.schema)
+        for path, start, end, index, track in partition.pieces:
+            blocks = Blocks(path, BLOCK_BYTES)
+            rows, held = [], 0
+            for name, _, body, stop in flat_elements(blocks, start, end, nested=False):
+                if name not in (webm.SIMPLE, webm.BLOCK):
+                    continue
+                which, kind, frames, _ = block_header(blocks, body, stop)
+                if track not in (which, -1):
+                    continue
+                for payload in webm.laced(blocks.get(frames, stop - frames), kind):
+                    rows.append((index, payload))
+                    index, held = index + 1, held + len(payload)
+                if held > 8 * BLOCK_BYTES or len(rows) >= 8192:
+                    yield IvfReader.batch([path], rows, kinds)
+                    rows, held = [], 0
+            if rows:
+                yield IvfReader.batch([path], rows, kinds)
+            blocks.close()
+
+
+class WebmSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "webm"
+
+    def schema(self) -> str:
+        return "path string, idx int, payload binary"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return WebmReader(schema, dict(self.options))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """(temporary path, final name) of the files of a task."""
@@ -270,9 +399,31 @@ class I420Source(DataSource):
         return StreamFiles(dict(self.options), overwrite, ".i420", lambda row: b"", _i420_body)
 
 
+class ChunkSource(DataSource):
+    """A sink of files whose bytes come in chunks, for containers that are built as rows."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "chunks"
+
+    def schema(self) -> str:
+        raise NotImplementedError("a file does not tell its chunks")
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return StreamFiles(dict(self.options), overwrite, self.options.get("suffix", ".bin"), lambda row: b"", lambda row, index: bytes(row["chunk"]))
+
+
 def register(spark: SparkSession) -> None:
+    spark.dataSource.register(ChunkSource)
     spark.dataSource.register(IvfSource)
     spark.dataSource.register(I420Source)
+    spark.dataSource.register(WebmSource)
+
+
+def read_webm(spark: SparkSession, path: str, glob: str = "*.webm", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, idx, payload: one row per packet of the VP9 track of each matching file below path."""
+    register(spark)
+    return spark.read.format("webm").option("glob", glob).option("rangeBytes", str(range_bytes)).load(path)
 
 
 def read_ivf(spark: SparkSession, path: str, payload: bool = True, glob: str = "*.ivf", range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -309,6 +460,12 @@ def write_i420(df: DataFrame, path: str, stream: str, mode: str = "append") -> N
     _by_stream(df, stream, ["idx", "width", "height", "y", "u", "v", "y_stride", "u_stride", "v_stride"]).write.format("i420").mode(mode).save(path)
 
 
+def write_chunks(df: DataFrame, path: str, stream: str, suffix: str, mode: str = "append") -> None:
+    """A file for each stream from its chunks: stream, idx, chunk."""
+    register(df.sparkSession)
+    _by_stream(df, stream, ["idx", "chunk"]).write.format("chunks").option("suffix", suffix).mode(mode).save(path)
+
+
 # Files by what they are called and hold
 
 

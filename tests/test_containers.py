@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codalake.functions import layouts, quality
 from codalake.operators import keyframes, packets
-from codalake.sources import baselines, containers, ivf
+from codalake.sources import baselines, containers, ivf, webm
 
 FRAMES = "s string, idx int, payload binary"
 
@@ -259,3 +259,53 @@ def test_key_frame_walks(spark):
         got = {(x["s"], x["i"]): x["n"] for x in keyframes.frames_to_key(df, ["s"], ["i"], most, "n").collect()}
         assert got == {(s, i): plain_frames(rows, i, most) for s, rows in streams.items() for i in range(len(rows))}
     assert {x["n"] for x in keyframes.frames_to_key(df.where("s = 3"), ["s"], ["i"], 0, "n").collect()} == set(range(1, 10))
+
+
+def element(name, body, unknown=False):
+    size = b"\x01" + b"\xff" * 7 if unknown else (0x10000000 | len(body)).to_bytes(4, "big")
+    return name.to_bytes((name.bit_length() + 7) // 8, "big") + size + body
+
+
+def webm_file(seed, unknown=False, track=1):
+    """Clusters of blocks with all four lacings, of two tracks."""
+    r = random.Random(seed)
+    packets, clusters = [], b""
+    for _ in range(12):
+        body = element(0xE7, b"\x00")
+        for _ in range(r.randint(0, 6)):
+            kind = r.randrange(4)
+            n = r.randint(1, 4) if kind else 1
+            size = r.randint(1, 30)
+            own = [r.randbytes(size if kind == 2 else r.randint(1, 300)) for _ in range(n)]
+            sizes = b""
+            if kind == 1:
+                sizes = b"".join(b"\xff" * (len(x) // 255) + bytes([len(x) % 255]) for x in own[:-1])
+            elif kind == 3 and n > 1:
+                sizes = (0x4000 | len(own[0])).to_bytes(2, "big") + b"".join((0x4000 | (len(y) - len(x) + 0x1FFF)).to_bytes(2, "big") for x, y in zip(own, own[1:-1], strict=False))
+            mine = r.random() < 0.8
+            data = bytes([0x80 | (track if mine else track + 1), 0, 0, kind << 1]) + (bytes([n - 1]) + sizes if kind else b"") + b"".join(own)
+            body += element(webm.SIMPLE, data) if r.random() < 0.5 else element(webm.GROUP, element(webm.BLOCK, data))
+            packets += own if mine else []
+        clusters += element(webm.CLUSTER, body, unknown)
+    tracks = element(webm.TRACKS, element(webm.TRACK, element(webm.NUMBER, bytes([track])) + element(webm.CODEC, b"V_VP9")))
+    return element(0x1A45DFA3, b"head") + element(webm.SEGMENT, tracks + clusters, unknown), packets
+
+
+def test_webm_source(spark, tmp_path):
+    want = {}
+    for k, unknown in enumerate((False, True)):
+        data, packets = webm_file(k, unknown, 1 + k)
+        assert packets and webm.vp9_packets(data) == packets
+        (tmp_path / f"{k}.webm").write_bytes(data)
+        want[f"{k}.webm"] = packets
+    for size in (1, 700, 1 << 20):
+        df = containers.read_webm(spark, str(tmp_path), range_bytes=size)
+        rows = sorted((r["path"][-6:], r["idx"], bytes(r["payload"])) for r in df.collect())
+        assert rows == [(name, i, p) for name, packets in want.items() for i, p in enumerate(packets)]
+    assert containers.read_webm(spark, str(tmp_path), range_bytes=700).rdd.getNumPartitions() > 4
+    good = (tmp_path / "0.webm").read_bytes()
+    (tmp_path / "1.webm").unlink()
+    for bad, what in ((good[:-3], "beyond its parent"), (good.replace(b"V_VP9", b"V_VP8"), "no VP9 track")):
+        (tmp_path / "0.webm").write_bytes(bad)
+        with pytest.raises(Exception, match=what):
+            containers.read_webm(spark, str(tmp_path)).collect()
