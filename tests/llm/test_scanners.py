@@ -287,7 +287,7 @@ def test_bpe_long_pretoken(coders):
 
 
 # Paragraphs as they stand in files: wrapped, numbered, in capitals, and longer than the templates.
-REAL = {
+PARAGRAPHS = {
     "bsd": ("""BSD 3-Clause License
 
 Copyright (c) 2020, Somebody
@@ -357,10 +357,10 @@ LOOKALIKE = """The committee granted a license to the museum, subject to conditi
 The software of the museum is provided with a warranty; the distribution of copies to contributors is free of charge."""
 
 
-@pytest.mark.parametrize("family", sorted(REAL))
+@pytest.mark.parametrize("family", sorted(PARAGRAPHS))
 def test_licence_paragraphs_of_files(family):
     m = licenses.train()
-    text, count = REAL[family]
+    text, count = PARAGRAPHS[family]
     found = [x[2] for block in licenses.paragraphs(f"An introduction.\n\n{text}\n\nThe end of it.".encode()) for x in m.notices([w for *_, w in block])]
     assert found == [family] * count
     assert [x for block in licenses.paragraphs(LOOKALIKE.encode()) for x in m.notices([w for *_, w in block])] == []
