@@ -141,7 +141,7 @@ def first_pass_stats(spark: SparkSession, path: str, fields: list[str]) -> DataF
 
 # What a backslash and one letter stand for.
 _ESCAPES = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "\\": 92, '"': 34}
-_ESCAPE = re.compile(rb"""\\(?:([abfnrtv\\"])|x([0-9a-fA-F]{2})|([0-3][0-7]{2})|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|(.?))""", re.S)
+_ESCAPE = re.compile(rb"""((?:\\x[0-9a-fA-F]{2})+)|\\(?:([abfnrtv\\"])|([0-3][0-7]{2})|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|(.?))""", re.S)
 
 
 def unquoted(literal: bytes) -> bytes:
@@ -153,10 +153,12 @@ def unquoted(literal: bytes) -> bytes:
         raise ValueError("no quoted literal")
 
     def one(m: re.Match) -> bytes:
-        if m[1]:
-            return bytes([_ESCAPES[m[1].decode()]])
-        if m[2] or m[3]:
-            return bytes([int(m[2], 16) if m[2] else int(m[3], 8)])
+        if m[1]:  # a whole run of bytes
+            return bytes.fromhex(m[1].replace(b"\\x", b"").decode())
+        if m[2]:
+            return bytes([_ESCAPES[m[2].decode()]])
+        if m[3]:
+            return bytes([int(m[3], 8)])
         code = int(m[4] or m[5] or b"110000", 16)
         if code >= 0x110000 or 0xD800 <= code < 0xE000:
             raise ValueError("bad escape")
@@ -185,3 +187,22 @@ def fuzz_seeds(spark: SparkSession, path: str) -> DataFrame:
     """path, seed: the bytes of all seed files below path."""
     files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("_metadata.file_path").alias("path"), seed_bytes("value").alias("seed"))
+
+
+# Many seeds: archives of them, in which a line "-- name --" stands before each file (as in the Go language's txtar).
+
+_NEXT = "\n-- "
+
+
+def write_seed_archives(seeds: DataFrame, path: str) -> None:
+    """Archives of seed files from name and literal (one line, quoted); as many as there are partitions, so that no file is made for each seed."""
+    entry = F.concat(F.lit("-- "), F.col("name"), F.lit(' --\ngo test fuzz v1\n[]byte('), F.col("literal"), F.lit(")"))
+    seeds.select(entry.alias("value")).write.text(path)
+
+
+def archived_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """name, seed: the bytes of all seed files in the archives below path. Archives are cut between their files, at any size."""
+    files = spark.read.option("lineSep", _NEXT).option("recursiveFileLookup", "true").text(path)
+    # Only an archive's first file keeps its mark.
+    name = F.regexp_extract("value", r"^(?:-- )?([^\n]*) --(?:\n|$)", 1)
+    return files.select(name.alias("name"), seed_bytes("value").alias("seed"))

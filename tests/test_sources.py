@@ -120,3 +120,24 @@ def test_seed_literals():
     for bad in (b"abc", b'"', b'"a"b"', rb'"\q"', rb'"\xZZ"', rb'"\ud800"', b'"a\nb"', b"`a`b`", rb'"a\"'):
         with pytest.raises(ValueError):
             text.unquoted(bad)
+
+
+def test_seed_archives(spark, tmp_path):
+    """Many seeds make few files; an archive is cut wherever its splits end."""
+    rows = [(f"d/{i}", ('"' + "\\x41" * (i % 40) + ("\\n-- no mark --\\n" if i % 3 else "\r\\x00") + '"')) for i in range(500)]
+    want = {(name, text.unquoted(literal.encode())) for name, literal in rows}
+    path = str(tmp_path / "x")
+    text.write_seed_archives(spark.createDataFrame(rows, "name string, literal string").coalesce(2), path)
+    assert len(list((tmp_path / "x").glob("part-*"))) == 2
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "997"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = text.archived_seeds(spark, path)
+            assert size == before or got.rdd.getNumPartitions() > 20
+            assert sorted((r["name"], bytes(r["seed"])) for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a").write_text('go test fuzz v1\n[]byte("\\x00\\x01b")\n')
+    assert bytes(text.fuzz_seeds(spark, str(tmp_path / "one")).first()["seed"]) == b"\0\1b"
