@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,20 +28,27 @@ def gap_cell(kind: Column, value: Column) -> Column:
     return F.when(value.isNull(), "").when(kind == "gap_pp", F.concat(trimmed(100 - value), F.lit("pp"))).otherwise(trimmed(value))
 
 
-def duration(ns: Column) -> Column:
+def duration(ns: Column, largest: str = "s") -> Column:
+    """A time in the unit that fits, up to the largest one."""
     scaled = lambda by, unit: F.concat(fixed(ns / by, 2), F.lit(f" {unit}"))
-    return (
-        F.when(ns <= 0, "-")
-        .when(ns < 1_000, F.concat(ns.cast("string"), F.lit(" ns")))
-        .when(ns < 1_000_000, scaled(1_000, "µs"))
-        .when(ns < 1_000_000_000, scaled(1_000_000, "ms"))
-        .otherwise(scaled(1_000_000_000, "s"))
-    )
-
-
-def byte_size(n: Column) -> Column:
-    scaled = lambda power, unit: F.concat(fixed(n / 1024**power, 2), F.lit(f" {unit}"))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1, "KiB")).when(n < 1024**3, scaled(2, "MiB")).otherwise(scaled(3, "GiB"))
+    units = [("µs", 1_000), ("ms", 1_000_000), ("s", 1_000_000_000)]
+    return _in_units(F.when(ns <= 0, "-"), ns, "ns", units, largest, scaled)
+
+
+def byte_size(n: Column, largest: str = "GiB") -> Column:
+    """A size in the unit that fits, up to the largest one."""
+    scaled = lambda by, unit: F.concat(fixed(n / by, 2), F.lit(f" {unit}"))
+    return _in_units(F, n, "B", [("KiB", 1024), ("MiB", 1024**2), ("GiB", 1024**3)], largest, scaled)
+
+
+def _in_units(out, value: Column, one: str, units: list[tuple[str, int]], largest: str, scaled: Callable[[int, str], Column]) -> Column:
+    """Continues `out` (F or a case) by the value itself below the first unit, and from each unit on, up to the largest one, scaled."""
+    names = [name for name, _ in units]
+    units = units[: names.index(largest) + 1]
+    out = out.when(value < units[0][1], F.concat(value.cast("string"), F.lit(f" {one}")))
+    for (name, by), (_, end) in zip(units, units[1:], strict=False):
+        out = out.when(value < end, scaled(by, name))
+    return out.otherwise(scaled(units[-1][1], units[-1][0]))
 
 
 def ratio_text(ratio: Column, suffix: str) -> Column:
