@@ -27,12 +27,19 @@ def _triangle(x: np.ndarray, period: int) -> np.ndarray:
 
 def panning(width: int, height: int, index: int) -> tuple[bytes, bytes, bytes]:
     """Smooth waves that move by two columns and one row a frame."""
-    y, x = np.mgrid[:height, :width]
-    x, y = x + 2 * index, y + index
+    return tuple(p.tobytes() for p in panning_many(width, height, np.array([index], np.int64)))
+
+
+def panning_many(width: int, height: int, indexes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many frames at once: a row of pixels for each."""
+    k = indexes[:, None, None]
+    y, x = np.ogrid[:height, :width]
+    x, y = x + 2 * k, y + k
     luma = 64 + _triangle(x + y, 256) // 4 + _triangle(x, 64) // 4 + _triangle(y, 64) // 4
-    v, u = np.mgrid[: (height + 1) // 2, : (width + 1) // 2]
+    v, u = np.ogrid[: (height + 1) // 2, : (width + 1) // 2]
     chroma = lambda at: 128 + np.trunc((_triangle(at, 128) - 128) / 8).astype(np.int64)
-    return tuple(np.clip(p, 0, 255).astype(np.uint8).tobytes() for p in (luma, chroma(2 * u + 2 * index), chroma(2 * v + index)))
+    small = np.zeros((1, (height + 1) // 2, (width + 1) // 2), np.int64)
+    return tuple(np.clip(p, 0, 255).astype(np.uint8).reshape(len(indexes), -1) for p in (luma, chroma(2 * u + 2 * k) + small, chroma(2 * v + k) + small))
 
 
 def checker(width: int, height: int, index: int) -> tuple[bytes, bytes, bytes]:
@@ -49,18 +56,33 @@ def checker(width: int, height: int, index: int) -> tuple[bytes, bytes, bytes]:
 
 #: What frames_of() makes, by kind.
 KINDS = {"ramp": frame, "panning": panning, "checker": checker}
+#: Those that are made for many rows at once, and the pixels of a time.
+MANY, _PIXELS = {"panning": panning_many}, 1 << 20
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary array of rows of equal length."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
 
 
 def frames_of(rows: DataFrame, index: str, width: int, height: int, kind: str = "ramp") -> DataFrame:
     """rows with the planes y, u, v of the frame of that kind that their index numbers."""
-    make = KINDS[kind]
+    make, many = KINDS[kind], MANY.get(kind)
+    step = max(1, _PIXELS // max(1, width * height))
     schema = StructType([*rows.schema.fields, *StructType.fromDDL("y binary, u binary, v binary").fields])
 
+    def planes_of(batch: pa.RecordBatch) -> list[pa.Array]:
+        if many and not batch.column(index).null_count:
+            return [_binary(p) for p in many(width, height, batch.column(index).cast(pa.int64()).to_numpy(zero_copy_only=False))]
+        planes = [make(width, height, int(i)) for i in batch.column(index).to_pylist()]
+        return [pa.array([p[k] for p in planes], pa.binary()) for k in range(3)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            planes = [make(width, height, int(i)) for i in batch.column(index).to_pylist()]
-            made = [pa.array([p[k] for p in planes], pa.binary()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *planes_of(batch)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
