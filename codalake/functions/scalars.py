@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +20,14 @@ def _saturated(x: Column) -> Column:
 
 
 def saturating_add(a: Column, b: Column) -> Column:
-    return _saturated(_wide(a) + _wide(b))
+    """Bounds are told before adding: a sum that overflows would cost an exception a row."""
+    a, b = a.cast("bigint"), b.cast("bigint")
+    return F.when((b > 0) & (a > HIGH - b), F.lit(HIGH)).when((b < 0) & (a < F.lit(LOW) - b), F.lit(LOW)).otherwise(a + b)
 
 
 def saturating_sub(a: Column, b: Column) -> Column:
-    return _saturated(_wide(a) - _wide(b))
+    a, b = a.cast("bigint"), b.cast("bigint")
+    return F.when((b > 0) & (a < F.lit(LOW) + b), F.lit(LOW)).when((b < 0) & (a > F.lit(HIGH) + b), F.lit(HIGH)).otherwise(a - b)
 
 
 def percent_of(value: Column, percent: Column) -> Column:
@@ -31,9 +37,17 @@ def percent_of(value: Column, percent: Column) -> Column:
     return _saturated((F.when(product < 0, -whole).otherwise(whole)).cast("decimal(38,0)"))
 
 
+def _div(a: Column, b: Column) -> Column:
+    """Truncated toward zero."""
+    return F.call_function("div", a, b)
+
+
 def checked_mul(a: Column, b: Column) -> Column:
-    """Null where the product does not fit."""
-    return F.try_multiply(a, b)
+    """Null where the product does not fit, which is told by division beforehand."""
+    a, b = a.cast("bigint"), b.cast("bigint")
+    high, low = _div(F.lit(HIGH), b), _div(F.lit(LOW), b)
+    fits = F.when(b > 0, (a <= high) & (a >= low)).when(b < -1, (a >= high) & (a <= low)).otherwise((b == 0) | (a > LOW))
+    return F.when(fits, a * b)
 
 
 def clamp(value: Column, low: Column, high: Column) -> Column:
@@ -61,6 +75,14 @@ def size_bits(size: Column) -> Column:
 
 def bits_per_frame(bandwidth: Column, num: Column, den: Column, duration: Column) -> Column:
     """Bandwidth times frame duration, rounded to the nearest bit; 0 unless both are positive."""
+    product, under = checked_mul(checked_mul(bandwidth, num), duration), den.cast("bigint")
+    half = _div(under, F.lit(2).cast("bigint"))
+    whole = F.when((product > 0) & (under > 0), _div(product + half, under)).otherwise(0).cast("bigint")
+    return F.when(product <= F.lit(HIGH) - F.greatest(half, F.lit(0)), whole).otherwise(_wide_bits(bandwidth, num, den, duration))
+
+
+def _wide_bits(bandwidth: Column, num: Column, den: Column, duration: Column) -> Column:
+    """The same for products beyond 64 bits."""
     over, under = _wide(bandwidth) * num * duration, _wide(den)
     return F.when((over > 0) & (under > 0), F.floor((over + F.floor(under / 2)) / under)).otherwise(0).cast("bigint")
 
@@ -163,7 +185,12 @@ def clamp_frame_rate(fps: Column) -> Column:
 
 
 def greatest_divisor(a: Column, b: Column) -> Column:
-    """Greatest common divisor of two positive whole numbers by Euclid's rule in at most 64 steps, as an expression."""
-    pair = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
-    halve = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.greatest(s["b"], F.lit(1))).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), pair, halve)["a"]
+    """Greatest common divisor of two whole numbers that are not negative, for all rows of a batch at once; null where one is null."""
+
+    @F.arrow_udf("bigint")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        none = np.asarray(pc.or_(x.is_null(), y.is_null()))
+        p, q = (np.asarray(v.fill_null(0)) for v in (x, y))
+        return pa.array(np.gcd(p, q), pa.int64(), mask=none)
+
+    return run(a.cast("bigint"), b.cast("bigint"))

@@ -1,6 +1,9 @@
+import numpy as np
 from pyspark.sql import functions as F
 
+from codalake.functions import formats
 from codalake.functions import scalars as s
+from codalake.sources import synthetic
 
 
 def one(spark, *cols):
@@ -50,3 +53,47 @@ def test_frames(spark):
     assert [r["sync"] for r in got] == [False, True, False, True]
     kinds = spark.createDataFrame([("mode_match_pct",), ("hist_l1",), ("q_mean",)], "n string").select(a.metric_kind(F.col("n")))
     assert [r[0] for r in kinds.collect()] == ["gap_pp", "gap_raw", "value"]
+
+
+def test_greatest_divisor_of_large_numbers(spark):
+    """Neighbours of the Fibonacci row take Euclid's rule the most steps: more than 64."""
+    a, b = 1, 1
+    while a + b < 1 << 63:
+        a, b = b, a + b
+    rows = [(b, a), (a, b), (0, 5), (5, 0), (3 * 2**60, 2**61), (None, 3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a bigint, b bigint")
+    got = [r[0] for r in df.orderBy("i").select(s.greatest_divisor(F.col("a"), F.col("b"))).collect()]
+    assert got == [1, 1, 5, 5, 2**60, None]
+
+
+def test_figures_up_to_a_unit(spark):
+    df = spark.createDataFrame([(0,), (999,), (5_000_000,), (1_000_000_007,), (3 << 30,)], "n bigint")
+    texts = lambda c: [r[0] for r in df.select(c).collect()]
+    assert texts(formats.duration(F.col("n"), "ms")) == ["-", "999 ns", "5.00 ms", "1000.00 ms", "3221.23 ms"]
+    assert texts(formats.duration(F.col("n"))) == ["-", "999 ns", "5.00 ms", "1.00 s", "3.22 s"]
+    assert texts(formats.byte_size(F.col("n"), "MiB")) == ["0 B", "999 B", "4.77 MiB", "953.67 MiB", "3072.00 MiB"]
+    assert texts(formats.byte_size(F.col("n")))[-1] == "3.00 GiB"
+
+
+def test_many_frames(spark):
+    """Frames made for many rows at once are those that are made one by one, and as many calls as batches make them."""
+    df = spark.range(300).withColumn("k", F.col("id") * 7 - 20)
+    for width, height in ((5, 3), (12, 8)):
+        got = synthetic.frames_of(df, "k", width, height, "panning").orderBy("id").collect()
+        assert [tuple(bytes(r[c]) for c in "yuv") for r in got] == [synthetic.panning(width, height, r["k"]) for r in got]
+    assert [p.shape for p in synthetic.panning_many(5, 3, np.arange(7))] == [(7, 15), (7, 6), (7, 6)]
+
+
+def test_bounds_without_exceptions(spark):
+    """At the bounds of 64 bits sums, products and bits are those of Python's whole numbers; nothing is tried and caught."""
+    edge = [0, 1, -1, 2, -2, 3037000500, -3037000500, s.HIGH, s.LOW, s.HIGH - 1, s.LOW + 1, s.HIGH // 2, s.LOW // 2, s.HIGH // 3 + 1]
+    df = spark.createDataFrame([(a, b) for a in edge for b in edge] + [(None, 1), (1, None)], "a bigint, b bigint")
+    a, b = F.col("a"), F.col("b")
+    cut = lambda x: min(max(x, s.LOW), s.HIGH)
+    out = df.select("a", "b", s.saturating_add(a, b), s.saturating_sub(a, b), s.checked_mul(a, b))
+    for x, y, add, sub, mul in out.collect():
+        assert (add, sub, mul) == ((None, None, None) if x is None or y is None else (cut(x + y), cut(x - y), x * y if s.LOW <= x * y <= s.HIGH else None)), (x, y)
+    assert "try_" not in out._jdf.queryExecution().optimizedPlan().toString()
+    bits = spark.createDataFrame([(s.HIGH, 1, 3, 1), (s.HIGH, 7, 100, 1), (10**6, 1001, 30000, 1), (5, 1, 2, 1), (0, 1, 2, 1), (-4, 1, 2, 1), (5, 1, 0, 1), (5, 1, -2, 1)], "w bigint, n bigint, d bigint, t bigint")
+    want = [(w * n * t + d // 2) // d if w * n * t > 0 and d > 0 else 0 for w, n, d, t in [tuple(r) for r in bits.collect()]]
+    assert [r[0] for r in bits.select(s.bits_per_frame(*map(F.col, "wndt"))).collect()] == want
