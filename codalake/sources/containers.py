@@ -1,8 +1,8 @@
 """Containers as Spark data sources: format("ivf"), format("webm") and format("i420"), and the search for files.
 
-format("ivf") reads files of any size: a file beyond rangeBytes is cut into ranges at frame borders, each read by a
-task of its own, with a few megabytes in memory. To find the borders the planner reads the frame headers of such files,
-12 bytes each, in blocks. With option("payload", "false") no file is cut and tasks read headers only, so that counts and
+format("ivf") reads files of any size: a file beyond rangeBytes is cut into ranges at frame borders, with a few megabytes in
+memory. A task takes one range, or several where there would be more than TASKS tasks. To find the borders of files that
+are more than a task's share, the planner reads their frame headers, 12 bytes each, in blocks; tasks cut all other files. With option("payload", "false") no file is cut and tasks read headers only, so that counts and
 sizes cost no payload bytes. Writing makes a file for each stream; frames go out as they come, and files appear when the
 whole job has succeeded. format("webm") reads the VP9 track of WebM files by ranges of blocks in the same way; its planner
 reads the headers of elements and blocks, and a file's bytes are never held as a whole.
@@ -16,7 +16,7 @@ import fnmatch
 import posixpath
 import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from decimal import Decimal
@@ -36,6 +36,8 @@ from . import ivf, webm
 RANGE_BYTES = 64 << 20
 BLOCK_BYTES = 1 << 20
 HEADER_BLOCK = 1 << 13
+#: How many tasks may read small ranges; with more bytes each takes more of them, up to RANGE_BYTES.
+TASKS = 256
 HEADERS = "path string, fourcc string, width int, height int, tb_den bigint, tb_num bigint, idx int, pts decimal(20,0), offset bigint, size bigint, first_byte int"
 
 
@@ -92,71 +94,92 @@ def headers(blocks: Blocks, start: int, end: int, index: int) -> Iterator[tuple[
 
 @dataclass
 class Pieces(InputPartition):
-    """(path, start, end, index of the first frame) of each piece."""
+    """(path, start, end, index of the first frame) of each piece; a file whose end is None is cut by the task that reads it."""
 
-    pieces: list[tuple[str, int, int, int]]
+    pieces: list[tuple[str, int, int | None, int]]
 
 
-def ranges(path: str, size: int, most: int) -> list[tuple[str, int, int, int]]:
-    """Pieces of a file of about `most` bytes each, cut at frame borders."""
-    if size - 32 <= most:
-        return [(path, 32, size, 0)]
-    blocks = Blocks(path, HEADER_BLOCK)
-    out, start, first = [], 32, 0
-    for index, _, at, length in headers(blocks, 32, size, 0):
-        if at + length - start >= most:
-            out.append((path, start, at + length, first))
-            start, first = at + length, index + 1
-    blocks.close()
-    return [*out, (path, start, size, first)] if start < size else out
+def ranges(blocks: Blocks, most: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, index of the first frame) of the pieces of a file, of about `most` bytes each, cut at frame borders."""
+    start, first = 32, 0
+    if blocks.size - 32 > most:
+        for index, _, at, length in headers(blocks, 32, blocks.size, 0):
+            if at + length - start >= most:
+                yield start, at + length, first
+                start, first = at + length, index + 1
+    if start < blocks.size or not first:
+        yield start, blocks.size, first
+
+
+def shares(files: list[tuple[str, int]], most: int) -> int:
+    """The bytes that a task takes: one range, or more where there would be more than TASKS of them."""
+    return max(most, min(RANGE_BYTES, sum(size for _, size in files) // TASKS))
+
+
+def packed(pieces: Iterable[tuple[tuple, int]], share: int) -> list[list[tuple]]:
+    """Pieces, given with their weights, in lists of about a share each."""
+    out, held, total = [], [], 0
+    for piece, weight in pieces:
+        if held and total + weight > share:
+            out.append(held)
+            held, total = [], 0
+        held.append(piece)
+        total += weight
+    return [*out, held]
 
 
 class IvfReader(DataSourceReader):
+    """The planner reads headers only of files that are more than a task's share; tasks cut all others, so that a great many small files
+    cost it no more than their names."""
+
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.schema, self.path, self.glob = schema, options["path"], options.get("glob", "*.ivf")
         self.payload = options.get("payload", "true").lower() != "false"
         self.most = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
 
+    def _cut(self, path: str) -> list[tuple[str, int, int, int]]:
+        blocks = Blocks(path, HEADER_BLOCK)
+        try:
+            return [(path, *piece) for piece in ranges(blocks, self.most)]
+        finally:
+            blocks.close()
+
     def partitions(self) -> list[InputPartition]:
         files = below(self.path, self.glob)
+        share = shares(files, self.most)
         if self.payload:
             with ThreadPoolExecutor(16) as pool:
-                pieces = [(p, p[2] - p[1]) for part in pool.map(lambda f: ranges(*f, self.most), files) for p in part]
+                large = dict(zip((large := [f for f, size in files if size - 32 > share]), pool.map(self._cut, large), strict=True))
+            pieces = ((p, (p[2] or size) - p[1] + 1024) for path, size in files for p in large.get(path, [(path, 32, None, 0)]))
         else:
-            pieces = [((path, 32, size, 0), size >> 8) for path, size in files]  # headers are a small part of a file
-        out, held, total = [], [], 0
-        for piece, weight in pieces:
-            if held and total + weight > self.most:
-                out.append(Pieces(held))
-                held, total = [], 0
-            held.append(piece)
-            total += weight + 1024
-        return [*out, Pieces(held)] if held else [Pieces([])]
+            pieces = (((path, 32, None, 0), (size >> 8) + 1024) for path, size in files)  # headers are a small part of a file
+        return [Pieces(part) for part in packed(pieces, share)]
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         kinds = to_arrow_schema(self.schema)
+        rows, held = [], 0
         for path, start, end, first in partition.pieces:
             blocks = Blocks(path, BLOCK_BYTES if self.payload else HEADER_BLOCK)
             head = ivf.parse_header(blocks.get(0, 32))
-            fixed = [path, head["fourcc"], head["width"], head["height"], head["tb_den"], head["tb_num"]]
-            rows, held = [], 0
-            for index, pts, at, size in headers(blocks, start, end, first):
-                if self.payload:
-                    rows.append((index, Decimal(pts), blocks.get(at, size)))
-                    held += size
-                else:
-                    rows.append((index, Decimal(pts), at, size, blocks.get(at, 1)[0] if size else None))
-                if held > 8 * BLOCK_BYTES or len(rows) >= 8192:
-                    yield self.batch(fixed, rows, kinds)
-                    rows, held = [], 0
-            if rows:
-                yield self.batch(fixed, rows, kinds)
+            fixed = path, head["fourcc"], head["width"], head["height"], head["tb_den"], head["tb_num"]
+            parts = [(start, end, first)] if end is not None else ranges(blocks, self.most) if self.payload else [(start, blocks.size, first)]
+            for start, end, first in parts:
+                for index, pts, at, size in headers(blocks, start, end, first):
+                    if self.payload:
+                        rows.append((*fixed, index, Decimal(pts), blocks.get(at, size)))
+                        held += size
+                    else:
+                        rows.append((*fixed, index, Decimal(pts), at, size, blocks.get(at, 1)[0] if size else None))
+                    if held > 8 * BLOCK_BYTES or len(rows) >= 8192:
+                        yield self.batch(rows, kinds)
+                        rows, held = [], 0
             blocks.close()
+        if rows:
+            yield self.batch(rows, kinds)
 
     @staticmethod
-    def batch(fixed: list, rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
-        columns = [*([v] * len(rows) for v in fixed), *zip(*rows, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+    def batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
 
 # WebM: a flat walk over the headers of elements; parents are entered.
@@ -164,9 +187,9 @@ class IvfReader(DataSourceReader):
 
 @dataclass
 class BlockPieces(InputPartition):
-    """(path, start, end, number of the first packet, track) of each piece."""
+    """(path, start, end, number of the first packet, track) of each piece; a file whose end is None is cut by the task that reads it."""
 
-    pieces: list[tuple[str, int, int, int, int]]
+    pieces: list[tuple[str, int, int | None, int, int]]
 
 
 def flat_elements(blocks: Blocks, at: int, end: int, nested: bool = True) -> Iterator[tuple[int, int, int, int]]:
@@ -242,37 +265,35 @@ class WebmReader(DataSourceReader):
         return out
 
     def partitions(self) -> list[InputPartition]:
+        files = below(self.path, self.glob)
+        share = shares(files, self.most)
         with ThreadPoolExecutor(16) as pool:
-            pieces = [p for part in pool.map(lambda f: self._ranges(f[0]), below(self.path, self.glob)) for p in part]
-        out, held, total = [], [], 0
-        for piece in pieces:
-            if held and total + piece[2] - piece[1] > self.most:
-                out.append(BlockPieces(held))
-                held, total = [], 0
-            held.append(piece)
-            total += piece[2] - piece[1]
-        return [*out, BlockPieces(held)] if held else [BlockPieces([])]
+            large = dict(zip((large := [f for f, size in files if size > share]), pool.map(self._ranges, large), strict=True))
+        pieces = ((p, (p[2] or size) - p[1]) for path, size in files for p in large.get(path, [(path, 0, None, 0, 0)]))
+        return [BlockPieces(part) for part in packed(pieces, share)]
 
     def read(self, partition: BlockPieces) -> Iterator[pa.RecordBatch]:
         kinds = to_arrow_schema(self.schema)
-        for path, start, end, index, track in partition.pieces:
+        rows, held = [], 0
+        for path, *piece in partition.pieces:
+            parts = [piece] if piece[1] is not None else [p[1:] for p in self._ranges(path)]
             blocks = Blocks(path, BLOCK_BYTES)
-            rows, held = [], 0
-            for name, _, body, stop in flat_elements(blocks, start, end, nested=False):
-                if name not in (webm.SIMPLE, webm.BLOCK):
-                    continue
-                which, kind, frames, _ = block_header(blocks, body, stop)
-                if track not in (which, -1):
-                    continue
-                for payload in webm.laced(blocks.get(frames, stop - frames), kind):
-                    rows.append((index, payload))
-                    index, held = index + 1, held + len(payload)
-                if held > 8 * BLOCK_BYTES or len(rows) >= 8192:
-                    yield IvfReader.batch([path], rows, kinds)
-                    rows, held = [], 0
-            if rows:
-                yield IvfReader.batch([path], rows, kinds)
+            for start, end, index, track in parts:
+                for name, _, body, stop in flat_elements(blocks, start, end, nested=False):
+                    if name not in (webm.SIMPLE, webm.BLOCK):
+                        continue
+                    which, kind, frames, _ = block_header(blocks, body, stop)
+                    if track not in (which, -1):
+                        continue
+                    for payload in webm.laced(blocks.get(frames, stop - frames), kind):
+                        rows.append((path, index, payload))
+                        index, held = index + 1, held + len(payload)
+                    if held > 8 * BLOCK_BYTES or len(rows) >= 8192:
+                        yield IvfReader.batch(rows, kinds)
+                        rows, held = [], 0
             blocks.close()
+        if rows:
+            yield IvfReader.batch(rows, kinds)
 
 
 class WebmSource(DataSource):
@@ -289,7 +310,7 @@ class WebmSource(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """(temporary path, final name) of the files of a task."""
+    """(temporary name, final name) of the files of a task."""
 
     files: list[tuple[str, str]]
 
@@ -316,8 +337,8 @@ class StreamFiles(DataSourceWriter):
                 begun, now, index = True, row["stream"], 0
                 # Nothing that a name holds is taken for a folder or a hidden file.
                 name = f"{'s-' + quote(str(now), safe='') if now is not None else 'null'}{self.suffix}"
-                part = f"{hidden}/{uuid.uuid4().hex}"
-                out = where.open_output_stream(part)
+                part = uuid.uuid4().hex
+                out = where.open_output_stream(f"{hidden}/{part}")
                 out.write(self.head(row))
                 done.append((part, name))
             out.write(self.body(row, index))
@@ -335,11 +356,12 @@ class StreamFiles(DataSourceWriter):
             for path, _ in below(self.path, f"*{self.suffix}"):
                 if posixpath.dirname(store(path)[1]) == local and posixpath.basename(path) not in new:
                     where.delete_file(store(path)[1])
-        elif taken := [n for n in new if where.get_file_info(f"{local}/{n}").type != pafs.FileType.NotFound]:
+        elif taken := new.keys() & {f.base_name for f in where.get_file_info(pafs.FileSelector(local))}:
             self.abort(messages)
             raise FileExistsError(f"{self.path} holds {sorted(taken)[0]} already")
-        for name, part in new.items():
-            where.move(part, f"{local}/{name}")
+        with ThreadPoolExecutor(16) as pool:
+            for _ in pool.map(lambda n: where.move(f"{hidden}/{new[n]}", f"{local}/{n}"), new):
+                pass
         self.abort([])
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -309,3 +309,29 @@ def test_webm_source(spark, tmp_path):
         (tmp_path / "0.webm").write_bytes(bad)
         with pytest.raises(Exception, match=what):
             containers.read_webm(spark, str(tmp_path)).collect()
+
+
+def test_many_small_files_need_few_tasks_and_no_planning(spark, tmp_path, monkeypatch):
+    """However small the ranges are, tasks hold many of them, and the planner opens no file that is less than a task's share."""
+    rows = [(f"{i:04d}", k, bytes([k]) * 40) for i in range(600) for k in range(6)]
+    path = str(tmp_path / "x")
+    containers.write_ivf(frames(spark, rows), path, "s")
+    df = containers.read_ivf(spark, path, range_bytes=64)
+    assert df.rdd.getNumPartitions() <= 1024  # one for each range before: 3,600
+    assert sorted((r["path"][-8:-4], r["idx"], bytes(r["payload"])) for r in df.collect()) == rows
+    (tmp_path / "w").mkdir()
+    data, packets = webm_file(3)
+    for i in range(300):
+        (tmp_path / "w" / f"{i:03d}.webm").write_bytes(data)
+    df = containers.read_webm(spark, str(tmp_path / "w"), range_bytes=100)
+    assert df.rdd.getNumPartitions() <= 300  # one for each range of blocks before: thousands
+    assert sorted((r["path"][-8:-5], r["idx"], bytes(r["payload"])) for r in df.collect()) == [(f"{i:03d}", k, p) for i in range(300) for k, p in enumerate(packets)]
+    opened = []
+    plain = containers.Blocks.__init__
+    monkeypatch.setattr(containers.Blocks, "__init__", lambda self, path, block: (opened.append(path), plain(self, path, block))[1])
+    schema = spark.createDataFrame([], containers.ivf.SCHEMA).schema
+    options = {"path": path, "rangeBytes": "64"}
+    monkeypatch.setattr(containers, "TASKS", 64)
+    parts = containers.IvfReader(schema, options).partitions()
+    assert len(parts) <= 600 and not opened
+    assert len(containers.WebmReader(schema, {"path": str(tmp_path / "w"), "rangeBytes": "100"}).partitions()) <= 300 and not opened
