@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Magic, header and frame header layouts (little endian; the denominator of the time base comes first), known codecs.
 MAGIC, HEADER, FRAME, CODECS = b"DKIF", "<4sHH4sHHIIII", "<IQ", (b"VP80", b"VP90")
+#: Bytes of frames or files that leave a worker at a time.
+OUT_BYTES = 8 << 20
 SCHEMA = "path string, fourcc string, width int, height int, tb_den bigint, tb_num bigint, idx int, pts decimal(20,0), payload binary"
 
 
@@ -53,34 +57,31 @@ def read_ivf(spark: SparkSession, path: str, glob: str = "*.ivf") -> DataFrame:
 
 def parse_ivf(files: DataFrame) -> DataFrame:
     """One row per frame of files given as path and content."""
-    from decimal import Decimal
-
     names = [x.split()[0] for x in SCHEMA.replace("decimal(20,0)", "d").split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size = [], 0
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                head = parse_header(content)
-                fixed = [name, head["fourcc"], head["width"], head["height"], head["tb_den"], head["tb_num"]]
-                part, size = [], 0
-                for row in frames(content):
-                    part.append(row)
-                    size += len(row[2])
-                    if size > 8 << 20:
-                        yield _batch(names, fixed, part, Decimal)
+            # One file at a time; frames of many small files leave together.
+            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                data = content.as_py()
+                head = parse_header(data)
+                fixed = name.as_py(), head["fourcc"], head["width"], head["height"], head["tb_den"], head["tb_num"]
+                for index, pts, payload in frames(data):
+                    part.append((*fixed, index, Decimal(pts), payload))
+                    size += len(payload) + 128
+                    if size > OUT_BYTES:
+                        yield _batch(names, part)
                         part, size = [], 0
-                if part:
-                    yield _batch(names, fixed, part, Decimal)
+        if part:
+            yield _batch(names, part)
 
     return files.mapInArrow(run, SCHEMA)
 
 
-def _batch(names, fixed, part, decimal) -> pa.RecordBatch:
-    n = len(part)
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    cols = [pa.array([v] * n, k) for v, k in zip(fixed, kinds, strict=True)]
-    cols += [pa.array([p[0] for p in part], pa.int32()), pa.array([decimal(p[1]) for p in part], pa.decimal128(20, 0)), pa.array([p[2] for p in part], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=names)
+def _batch(names: list[str], part: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.decimal128(20, 0), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
 
 def sizes(df: DataFrame) -> DataFrame:
@@ -90,11 +91,35 @@ def sizes(df: DataFrame) -> DataFrame:
 
 
 def build_files(df: DataFrame, stream: str) -> DataFrame:
-    """stream, content: the file of each stream from its frames (stream, fourcc, width, height, idx, payload), in order of idx."""
-    parts = df.groupBy(stream).agg(F.first("fourcc").alias("fourcc"), F.first("width").alias("width"), F.first("height").alias("height"), F.array_sort(F.collect_list(F.struct("idx", "payload"))).alias("f"))
-
-    @F.udf("binary", useArrow=True)
-    def content(fourcc, width, height, f):
-        return build(fourcc, width, height, [bytes(x["payload"]) for x in f])
+    """stream, content: the file of each stream from its frames (stream, fourcc, width, height, idx, payload), in order of idx. Frames are
+    read in order, and a worker holds one file."""
+    kind = dict(df.dtypes)[stream]
+    ddl = f"`{stream}` {kind}, content binary"
+    schema = to_arrow_schema(df.sparkSession.createDataFrame([], ddl).schema)
 
-    return parts.select(stream, content("fourcc", "width", "height", "f").alias("content"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def files() -> Iterator[tuple]:
+            head, payloads = None, []
+            for batch in batches:
+                columns = [batch.column(c) for c in (stream, "fourcc", "width", "height", "payload")]
+                for now, fourcc, width, height, payload in zip(*columns, strict=True):
+                    if head is None or now.as_py() != head[0]:
+                        if head:
+                            yield head[0], build(*head[1:], payloads)
+                        head, payloads = (now.as_py(), fourcc.as_py(), width.as_py(), height.as_py()), []
+                    payloads.append(payload.as_py())
+            if head:
+                yield head[0], build(*head[1:], payloads)
+
+        held, size = [], 0
+        for name, content in files():
+            held.append((name, content))
+            size += len(content) + 64
+            if size > OUT_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    rows = df.select(stream, "fourcc", "width", "height", "idx", "payload")
+    return rows.repartition(stream).sortWithinPartitions(stream, "idx", "payload").mapInArrow(run, ddl)
