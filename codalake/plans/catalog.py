@@ -594,6 +594,5 @@ def superframe_round_trip(spark, sf_dir):
 def rtp_round_trip(spark, sf_dir):
     """Cuts each document into RTP packets with descriptors, and assembles it from them."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text")).where(F.length("text") > 0)
-    packets_ = d.select("doc_id", F.posexplode(rtp.vp8_packets("text", 1200)).alias("seq", "p")).select("doc_id", "seq", "p.payload", "p.marker")
-    whole = packets_.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "payload", "marker"))).alias("f"))
-    return whole.select("doc_id", F.md5(rtp.vp8_frame("f")).alias("payload_md5"))
+    cut = rtp.packet_rows(d, "doc_id", "text", lambda f: rtp.packetize_vp8({}, f, 1200))
+    return rtp.frame_rows(cut, "doc_id", rtp.assemble_vp8).select("doc_id", F.md5("frame").alias("payload_md5"))

@@ -159,3 +159,22 @@ def test_session_descriptions(spark):
     m = F.col("m")
     got = df.select("i", sdp.vp8_negotiates(m), sdp.vp8_negotiates(m, sdp.RECEIVES), sdp.vp8_negotiates(m, sdp.SENDS)).orderBy("i").collect()
     assert [tuple(r)[1:] for r in got] == [c[1:] for c in cases]
+
+
+def test_packets_one_frame_at_a_time(spark):
+    """Frames and packets leave a worker in small batches; a frame that lacks a packet is null, and an empty one has none."""
+    data = [(k, bytes([k % 256]) * (k * 700 % 9000)) for k in range(1, 400)] + [(0, b""), (1000, None)]
+    df = spark.createDataFrame(data, "k bigint, f binary").repartition(3)
+    desc = {"picture_id": 5, "picture_id_15bit": True}
+    for cut, join in ((lambda f: rtp.packetize_vp8({}, f, 1200), rtp.assemble_vp8), (lambda f: rtp.packetize_vp9(desc, f, 1200), rtp.assemble_vp9)):
+        packets = rtp.packet_rows(df, "k", "f", cut)
+        want = {k: (f, len(cut(f))) for k, f in data if f}
+        assert {r["k"]: (bytes(r["frame"]), r["packets"]) for r in rtp.frame_rows(packets, "k", join).collect()} == want
+        broken = {r["k"]: r["frame"] for r in rtp.frame_rows(packets.where("seq > 0 OR k > 9"), "k", join).where("k <= 9").collect()}
+        assert broken and set(broken.values()) == {None}
+    rows = ((("a", i, b"x" * 1000, True), 1000) for i in range(5000))
+    import pyarrow as pa
+
+    schema = pa.schema([("k", pa.string()), ("seq", pa.int32()), ("payload", pa.binary()), ("marker", pa.bool_())])
+    sizes = [b.nbytes for b in rtp._batches(rows, schema)]
+    assert len(sizes) > 4 and max(sizes) < 2 << 20
