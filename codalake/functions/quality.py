@@ -39,10 +39,14 @@ def ssim_global(a: list[bytes], b: list[bytes]) -> float:
 def frame_quality(*planes: str) -> Column:
     """psnr and ssim of two frames given by the columns of their planes: y, u, v of one, then of the other."""
 
-    @F.pandas_udf("struct<psnr:double,ssim:double>")
-    def run(ay: pd.Series, au: pd.Series, av: pd.Series, by: pd.Series, bu: pd.Series, bv: pd.Series) -> pd.DataFrame:
-        rows = [([bytes(p) for p in r[:3]], [bytes(p) for p in r[3:]]) for r in zip(ay, au, av, by, bu, bv, strict=True)]
-        return pd.DataFrame({"psnr": [psnr(a, b) for a, b in rows], "ssim": [ssim_global(a, b) for a, b in rows]})
+    @F.arrow_udf("struct<psnr:double,ssim:double>")
+    def run(ay: pa.Array, au: pa.Array, av: pa.Array, by: pa.Array, bu: pa.Array, bv: pa.Array) -> pa.Array:
+        # One pair of frames at a time; the others stay in the batch as they came.
+        made = []
+        for row in zip(ay, au, av, by, bu, bv, strict=True):
+            p = [bytes(x.as_py()) for x in row]
+            made.append((psnr(p[:3], p[3:]), ssim_global(p[:3], p[3:])))
+        return pa.StructArray.from_arrays([pa.array([m[k] for m in made], pa.float64()) for k in range(2)], names=["psnr", "ssim"])
 
     return run(*planes)
 
