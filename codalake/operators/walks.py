@@ -20,8 +20,11 @@ def next_valid_before_gap(df: DataFrame, by: list[str], frame: str, value: Colum
 def bounded_walk(df: DataFrame, by: list[str], order: list[str], inputs: list[str], most: int, start: Column, step, name: str, first: int = 1) -> DataFrame:
     """Adds the state after a walk over the next rows, `most` at the most, beginning `first` rows ahead (-1: backwards from the
     row before). step(state, row) gives the next state, a struct with a boolean `stop`; a state that has stopped stays."""
-    w = Window.partitionBy(*by).orderBy(*[F.col(c).desc() if first < 0 else F.col(c) for c in order])
-    rows = F.collect_list(F.struct(*inputs)).over(w.rowsBetween(abs(first), abs(first) + most - 1))
+    # Both directions are frames of one order, so that walks both ways share a sort.
+    w = Window.partitionBy(*by).orderBy(*order)
+    ends = (first - most + 1, first) if first < 0 else (first, first + most - 1)
+    rows = F.collect_list(F.struct(*inputs)).over(w.rowsBetween(*ends))
+    rows = F.reverse(rows) if first < 0 else rows
     return df.withColumn("__rows", rows).withColumn(name, F.aggregate("__rows", start, lambda s, x: F.when(s["stop"], s).otherwise(step(s, x)))).drop("__rows")
 
 
