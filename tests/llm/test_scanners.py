@@ -286,6 +286,35 @@ def test_bpe_long_pretoken(coders):
     assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_new_words_are_merged_together(coders, monkeypatch):
+    library, own = coders
+    r = random.Random(7)
+    parts = ["an", "ber", "ción", "ße", "th", "é", "ou", "🙂", "日本", "z", "QU", "ing"]
+    words = ["".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(6000)] + ["xy" * r.randint(60, 200) + parts[i % 12] for i in range(200)]
+    texts = [" ".join(words[i::40]) + "<|endoftext|>" * (i % 3) for i in range(40)] + ["", "<|endoftext|>", " \n"]
+    own._forget()
+    alone, merge = [], own.merge
+    monkeypatch.setattr(own, "merge", lambda data: alone.append(data) or merge(data))
+    ids, ends = own.encode_all(texts)
+    # Only words that share their tree's size with few others, or are very long, have a tree of their own.
+    assert len({*words}) > 4000 and len(alone) < 250 and all(len(x) >= 64 for x in alone if len(x) > 3)
+    made = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == made
+    assert own.decode_all(ids, ends) == library.decode_batch(made, skip_special_tokens=False)
+
+
+def test_bpe_forgets_words(coders, monkeypatch):
+    library, own = coders
+    monkeypatch.setattr(bpe, "CACHE", 20)
+    monkeypatch.setattr(bpe, "TOGETHER", 200)
+    monkeypatch.setattr(bpe, "EXPANDED", 7)
+    texts = [" ".join(f"{chr(97 + (i * k) % 26)}{i * k} the" for k in range(i % 23)) for i in range(60)]
+    found = [(own_ids.tolist(), text) for ids, ends, cut in bpe.encoded(own, [t.encode() for t in texts]) for own_ids, text in zip(cut, own.decode_all(ids, ends), strict=True)]
+    assert found == [(library.encode(t, add_special_tokens=False).ids, t) for t in texts]
+    # One group's words at most beyond the bound.
+    assert len(own.known) <= 20 + 200
+
+
 # Paragraphs as they stand in files: wrapped, numbered, in capitals, and longer than the templates.
 PARAGRAPHS = {
     "bsd": ("""BSD 3-Clause License
